@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from dragoman.functions import dims
 
@@ -61,7 +62,7 @@ def fold_arabic(c: Column) -> Column:
     return F.when(c.rlike("[\\u0610-\\u06FF]"), folded).otherwise(c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 

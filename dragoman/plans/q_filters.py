@@ -179,8 +179,9 @@ def chunk_metadata(spark, sf):
         F.substring(heads, 1, 400).alias("headings"),
         (F.col("source") == "pdf_scanned").alias("is_scanned"),
         (F.length("text") < dims.SHORT_DOC).alias("is_short_doc"),
-        F.posexplode("p").alias("chunk_index", "chunk"),
+        "p",
     )
+    meta = meta.select("*", F.posexplode("p").alias("chunk_index", "chunk")).drop("p")
     return meta.withColumn("n_chars", F.length("chunk").cast("long")).drop("chunk")
 
 
