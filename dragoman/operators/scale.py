@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dragoman.session import scratch_dir
+
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores on input that arrives in fewer partitions than there are cores.
@@ -18,52 +20,91 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
-def running_sums(
-    df: DataFrame, keys: list[str], order: list[str], block: Column, sums: dict[str, Column]
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate table to the shared scratch folder and continue from it, so that later
+    steps that read it twice do not repeat what led to it."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def running(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    block: str,
+    sums: dict[str, Column] | None = None,
+    maxes: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Running sums per key, inclusive of the current row, with a hot key split into blocks.
+    """Running sums and maxima per key, current row included, with a hot key split into blocks.
 
-    ``block`` must not decrease along ``order`` within a key. Each (key, block) is summed on its
-    own; the totals of earlier blocks, one row per block, are added by a join on (key, block).
+    ``block`` names a column that does not decrease along ``order`` within a key. Each (key, block)
+    is scanned on its own; what earlier blocks contribute is one row per block, joined back on
+    (key, block).
     """
-    part = [*keys, "_block"]
-    blocked = df.withColumn("_block", block)
-    for name, expr in sums.items():
-        blocked = blocked.withColumn(f"_v_{name}", expr.cast("long"))
-    totals = blocked.groupBy(*part).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
-    before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    sums, maxes = sums or {}, maxes or {}
+    part = [*keys, block]
+    out = df
+    for name, expr in {**sums, **maxes}.items():
+        out = out.withColumn(f"_v_{name}", expr)
+    totals = out.groupBy(*part).agg(
+        *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums],
+        *[F.max(f"_v_{n}").alias(f"_t_{n}") for n in maxes],
+    )
+    before = W.partitionBy(*keys).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
     carried = totals.select(
-        *part, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums]
+        *part,
+        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums],
+        *[F.max(f"_t_{n}").over(before).alias(f"_c_{n}") for n in maxes],
     )
     inside = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = blocked
     for n in sums:
         out = out.withColumn(f"_r_{n}", F.sum(f"_v_{n}").over(inside))
+    for n in maxes:
+        out = out.withColumn(f"_r_{n}", F.max(f"_v_{n}").over(inside))
     out = join_on_keys(out, carried, part)
     for n in sums:
         out = out.withColumn(n, F.col(f"_r_{n}") + F.col(f"_c_{n}"))
-    return out.drop("_block", *[f"_{p}_{n}" for n in sums for p in "vrc"])
+    for n in maxes:
+        out = out.withColumn(n, F.greatest(f"_r_{n}", f"_c_{n}"))
+    return out.drop(*[f"_{p}_{n}" for n in [*sums, *maxes] for p in "vrc"])
 
 
-def previous_row(
-    df: DataFrame, keys: list[str], order: list[str], block: Column, value: Column, name: str
+def with_previous(
+    df: DataFrame, keys: list[str], order: list[str], block: str, value: Column
 ) -> DataFrame:
-    """``value`` of the previous row of the same key (null for the first), split into blocks.
+    """Add ``prev1`` and ``prev2``: ``value`` one and two rows earlier in the key (null at its start).
 
-    ``order`` must be a total order within a key.
+    ``order`` must be a total order within a key and ``value`` not null.
     """
-    part = [*keys, "_block"]
-    blocked = df.withColumn("_block", block).withColumn("_val", value)
-    last = blocked.groupBy(*part).agg(F.max_by("_val", F.struct(*order)).alias("_last"))
-    before = W.partitionBy(*keys).orderBy("_block")
-    carried = last.select(*part, F.lag("_last").over(before).alias("_carried"))
+    part = [*keys, block]
     inside = W.partitionBy(*part).orderBy(*order)
-    out = blocked.withColumn("_first", F.row_number().over(inside) == 1).withColumn(
-        "_lag", F.lag("_val").over(inside)
+    out = (
+        df.withColumn("_val", value)
+        .withColumn("_n", F.row_number().over(inside))
+        .withColumn("_l1", F.lag("_val", 1).over(inside))
+        .withColumn("_l2", F.lag("_val", 2).over(inside))
+    )
+    ends = out.groupBy(*part).agg(
+        F.max_by(F.struct("_val", "_l1"), F.struct(*order)).alias("_end")
+    )
+    blocks = W.partitionBy(*keys).orderBy(block)
+    carried = ends.withColumn("_e1", F.lag("_end", 1).over(blocks)).withColumn(
+        "_e2", F.lag("_end", 2).over(blocks)
+    )
+    carried = carried.select(
+        *part,
+        F.col("_e1._val").alias("_c1"),
+        F.coalesce(F.col("_e1._l1"), F.col("_e2._val")).alias("_c2"),
     )
     out = join_on_keys(out, carried, part)
-    out = out.withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_lag")))
-    return out.drop("_block", "_val", "_first", "_lag", "_carried")
+    first, second = F.col("_n") == 1, F.col("_n") == 2
+    out = out.withColumn("prev1", F.when(first, F.col("_c1")).otherwise(F.col("_l1")))
+    out = out.withColumn(
+        "prev2",
+        F.when(first, F.col("_c2")).when(second, F.col("_c1")).otherwise(F.col("_l2")),
+    )
+    return out.drop("_val", "_n", "_l1", "_l2", "_c1", "_c2")
 
 
 def with_halo(
