@@ -20,6 +20,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
+def explode_rows(df: DataFrame, array: str, pos: str, value: str) -> DataFrame:
+    """Rows of an array column with their position.
+
+    A plain explode makes the optimizer add a size test on the array below it, and pushing that test
+    down repeats the whole expression that built the array. The outer form adds no test; the rows it
+    keeps for empty arrays are dropped here.
+    """
+    rest = [c for c in df.columns if c != array]
+    out = df.select(*rest, F.posexplode_outer(array).alias(pos, value))
+    return out.filter(F.col(pos).isNotNull())
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write an intermediate table to the shared scratch folder and continue from it, so that later
     steps that read it twice do not repeat what led to it."""

@@ -198,7 +198,8 @@ def bm25_topk(
     terms = terms.withColumn("dl", F.size("terms"))
     qt = queries.select("query_id", analyzer(F.col("text")).alias("terms"))
     pairs = (
-        qt.select("query_id", F.explode("terms").alias("term"))
+        qt.select("query_id", F.explode_outer("terms").alias("term"))
+        .filter("term IS NOT NULL")
         .groupBy("query_id", "term")
         .agg(F.count("*").alias("qtf"))
     )
@@ -212,7 +213,7 @@ def bm25_topk(
         # document frequency of the block's terms; the extra empty term counts documents and tokens
         wanted = spark.createDataFrame(pd.DataFrame({"term": [*vocab, ""]}))
         seen = terms.filter("dl > 0").select(
-            "dl", F.explode(F.array_append(F.array_distinct("terms"), F.lit(""))).alias("term")
+            "dl", F.explode_outer(F.array_append(F.array_distinct("terms"), F.lit(""))).alias("term")
         )
         stats = (
             seen.join(F.broadcast(wanted), "term")
@@ -287,9 +288,9 @@ def postings(chunks: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     fields = F.map_from_arrays(
         F.array(F.lit("document"), F.lit("document.english")), F.array("plain", "english")
     )
-    rows = per_doc.select("chunk_id", F.explode(fields).alias("field", "terms")).select(
-        "chunk_id", "field", F.explode("terms").alias("term")
-    )
+    rows = per_doc.select("chunk_id", F.explode_outer(fields).alias("field", "terms")).select(
+        "chunk_id", "field", F.explode_outer("terms").alias("term")
+    ).filter("term IS NOT NULL")
     return rows.groupBy("field", "term", "chunk_id").agg(F.count("*").alias("tf"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dragoman.functions import dims
 from dragoman.functions import text as X
+from dragoman.operators.scale import explode_rows
 
 
 def tokenize(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -14,7 +15,7 @@ def tokenize(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     t = F.col(text)
     # two projections: columns next to an explode are evaluated once per exploded row
     per_doc = df.select(id_col, X.is_arabic(t).alias("arabic"), X.tokens(t).alias("toks"))
-    return per_doc.select(id_col, "arabic", F.posexplode("toks").alias("pos", "token"))
+    return explode_rows(per_doc, "toks", "pos", "token")
 
 
 def stop_table(
@@ -57,7 +58,7 @@ def remove_stopwords(
         arabic.alias("arabic"),
         F.when(arabic, runs).otherwise(X.latin_tokens(t)).alias("toks"),
     )
-    toks = per_doc.select(id_col, "arabic", F.posexplode("toks").alias("pos", "raw"))
+    toks = explode_rows(per_doc, "toks", "pos", "raw")
     kept = toks.filter(~is_stop(F.col("raw"), F.col("arabic"), extra)).withColumn(
         "token", F.when(F.col("arabic"), X.light_stem(F.col("raw"))).otherwise(F.col("raw"))
     )
