@@ -120,5 +120,5 @@ def rate_window_counts(requests: DataFrame, seconds: int = dims.RATE_WINDOW) ->
     block = F.floor(F.col("us") / width)
     copies = counted.select("*", F.posexplode(F.array(block, block + 1)).alias("_copy", "_block"))
     w = W.partitionBy("client", "_block").orderBy("us").rangeBetween(1 - width, 0)
-    sums = copies.withColumn("trailing", F.sum("n").over(w)).filter("_copy = 0")
-    return sums.select("client", "us", "n", "trailing")
+    sums = copies.withColumn("in_window", F.sum("n").over(w)).filter("_copy = 0")
+    return sums.select("client", "us", "n", "in_window")

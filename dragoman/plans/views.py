@@ -171,11 +171,14 @@ def event_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Timestamps are compressed 20 times so that sessions and rate windows hold several messages.
     """
-    e = table(spark, sf_dir, "events")
+    return as_event_turns(table(spark, sf_dir, "events"))
+
+
+def as_event_turns(e: DataFrame) -> DataFrame:
+    """The same for any frame, streaming or not, with the columns of ``events``."""
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     base = 1704067200 * 1_000_000  # 2024-01-01
     ts = F.timestamp_micros(F.lit(base) + F.floor((micros - F.lit(base)) / 20))
-    intent = F.lit(None).cast("string")
     chain = None
     for kind, name in EVENT_INTENTS.items():
         cond = F.col("event_type") == kind
