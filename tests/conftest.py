@@ -12,8 +12,8 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = get_session("tests", cpus=8)
-    session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("scratch")))
+    scratch = str(tmp_path_factory.mktemp("scratch"))
+    session = get_session("tests", cpus=8, **{"spark.checkpoint.dir": scratch})
     yield session
     session.stop()
 
