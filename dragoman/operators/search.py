@@ -212,9 +212,8 @@ def bm25_topk(
         vocab = np.sort(q["term"].unique())
         # document frequency of the block's terms; the extra empty term counts documents and tokens
         wanted = spark.createDataFrame(pd.DataFrame({"term": [*vocab, ""]}))
-        seen = terms.filter("dl > 0").select(
-            "dl", F.explode_outer(F.array_append(F.array_distinct("terms"), F.lit(""))).alias("term")
-        )
+        own = F.when(F.col("dl") > 0, F.array_append(F.array_distinct("terms"), F.lit("")))
+        seen = terms.select("dl", F.explode_outer(own).alias("term"))
         stats = (
             seen.join(F.broadcast(wanted), "term")
             .groupBy("term")
@@ -232,9 +231,8 @@ def bm25_topk(
         m = np.zeros((len(vocab), len(qids)))
         rows = np.searchsorted(vocab, q["term"].to_numpy())
         m[rows, pd.Index(qids).get_indexer(q["query_id"])] = q["qtf"].to_numpy() * idf[rows]
-        items = terms.filter("dl > 0")
         encode = _bm25_encoder(vocab, avgdl, len(qids))
-        parts.append(_block_topk(items, encode, m, qids, k, True, query_type))
+        parts.append(_block_topk(terms, encode, m, qids, k, True, query_type))
     if not parts:
         return _no_hits(terms, query_type).withColumnRenamed("score", "bm25_score")
     return top_per_query(_union(parts), k).withColumnRenamed("score", "bm25_score")

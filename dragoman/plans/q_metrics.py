@@ -75,9 +75,9 @@ RANKED = """near AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, q.label
    row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9), 9), v.vec_id) AS rank
    FROM embeddings q, embeddings v),
  hits AS (SELECT * FROM near WHERE rank <= 10), nrel AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label),
- per AS (SELECT query_id, count_if(relevant AND rank <= 3) AS h, min(CASE WHEN relevant AND rank > 1 THEN rank END) AS first,
+ per AS (SELECT query_id, count_if(relevant AND rank <= 3) AS h, min(CASE WHEN relevant AND rank > 1 THEN rank END) AS first, min(CASE WHEN relevant THEN rank END) AS first_all,
    coalesce(sum(CASE WHEN relevant AND rank <= 3 THEN 1 / log2(rank + 1) END), 0) AS dcg FROM hits GROUP BY query_id),
- sc AS (SELECT query_id, h / 3 AS precision, h / n AS recall, coalesce(1 / first, 0) AS rr,
+ sc AS (SELECT query_id, h / 3 AS precision, h / n AS recall, coalesce(1 / first, 0) AS rr, coalesce(1 / first_all, 0) AS rr_all,
    dcg / list_sum(list_transform(range(1, least(3, n) + 1), lambda i: 1 / log2(i + 1))) AS ndcg
    FROM per JOIN embeddings e ON e.vec_id = query_id JOIN nrel USING (label))"""
 
@@ -131,8 +131,9 @@ def evaluation_report(spark, sf):
     p = pairs(spark, sf)
     ner = M.ner_micro_f1(spans(spark, sf, "[A-Z][a-z]+"), spans(spark, sf, "[A-Z]?[a-z]{6,}"))
     retrieval = scores(spark, sf).agg(
-        *[F.round(F.avg(c), 4).alias(f"retrieval_{c}{at}") for c, at in (("precision", "_at_k"), ("recall", "_at_k"), ("ndcg", "_at_k"))]
+        *[F.round(F.avg(c), 4).alias(f"retrieval_{c}{at}") for c, at in (("precision", "_at_k"), ("recall", "_at_k"), ("rr", ""), ("ndcg", "_at_k"))]
     )
+    retrieval = retrieval.withColumnRenamed("retrieval_rr", "retrieval_mrr")
     parts = [
         M.intent_accuracy(p).withColumnRenamed("accuracy", "intent_accuracy"),
         M.macro_f1(M.per_class_f1(p)).withColumnRenamed("macro_f1", "intent_macro_f1"),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dragoman.functions import dims
+from dragoman.operators.scale import explode_rows, spread
 
 AS_OF = "2025-01-01"
 
@@ -119,12 +120,10 @@ records AS (SELECT *, {PRIORITY_SQL} AS priority FROM rec0)"""
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chunk per non-blank line of a record, numbered from 0 within the document."""
-    r = records(spark, sf_dir)
+    r = spread(records(spark, sf_dir), "doc_id")
     parts = F.filter(F.split("text", "\\n"), lambda x: F.trim(x) != "")
-    return r.select(
-        "doc_id", "doc_name", "lang", "category", "priority", "source", "scraped_at",
-        F.posexplode(parts).alias("pos", "text"),
-    )
+    meta = ["doc_id", "doc_name", "lang", "category", "priority", "source", "scraped_at"]
+    return explode_rows(r.select(*meta, parts.alias("_p")), "_p", "pos", "text")
 
 
 LINES = (
