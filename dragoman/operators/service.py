@@ -14,6 +14,7 @@ from dragoman.operators import corpus as C
 from dragoman.operators import dialogue as D
 from dragoman.operators import entities as N
 from dragoman.operators import intents as I
+from dragoman.operators import metrics as M
 from dragoman.operators import ranking as R
 from dragoman.operators.scale import cut
 
@@ -90,6 +91,76 @@ def ingest_corpus(
     return chunks, status
 
 
+def ingest_records(
+    records: DataFrame,
+    store: DataFrame | None = None,
+    lang: str | None = None,
+    category: str | None = None,
+    skip_scanned: bool = False,
+) -> DataFrame:
+    """Chunk rows from records that are chunks already (the output of ``readers.good_records``).
+
+    Filter, skip documents in ``store``, gate, first copy of each text, ids and metadata.
+    """
+    rows = C.ingest_filter(records, lang, category, skip_scanned)
+    if store is not None:
+        rows = C.skip_indexed(rows, store)
+    rows = rows.filter(C.lenient_quality(F.col("text"))).withColumn("text", X.strip(F.col("text")))
+    rows = C.content_dedup(rows, ["doc_name", "chunk_index", "id"])
+    named = F.when(F.col("doc_name") != "", F.col("doc_name")).otherwise(
+        F.left(C.content_hash(F.col("url")), F.lit(8))
+    )
+    made = C.chunk_id(F.col("url"), F.col("chunk_index"))
+    return rows.select(
+        F.when(F.col("id") != "", F.col("id")).otherwise(made).alias("chunk_id"),
+        named.alias("doc_name"), "url", F.substring("title", 1, 200).alias("title"), "lang", "category",
+        "source", "chunk_index", C.priority_tier(F.col("category")).alias("priority"), "scraped_at",
+        "text", "content_hash",
+    )
+
+
+def run_evaluation(
+    fixture: DataFrame, model: PipelineModel, chunks: DataFrame, as_of: str, k: int = 3
+) -> DataFrame:
+    """All metrics of an evaluation fixture as (metric, value) rows.
+
+    ``fixture`` is the output of ``readers.read_eval_fixture``; retrieval is scored only for examples
+    that name relevant chunks, and is 0 when none does.
+    """
+    keyed = fixture.withColumn("example", F.xxhash64("text", "intent"))
+    ex = cut(keyed.withColumn("clean", X.for_classification(F.col("text"))), "evaluation")
+    pairs = I.predict_intent(ex.select("example", "clean"), model, "clean")
+    truth = ex.select("example", F.col("intent").alias("truth"))
+    pairs = pairs.select("example", F.col("intent").alias("predicted")).join(truth, "example")
+    found = N.extract_entities(ex.select("example", "text"), "example").select("example", "type", "value")
+    wanted = ex.select("example", F.explode("entities").alias("e")).select("example", "e.type", "e.value")
+    asked = ex.filter(F.size("relevant_chunk_ids") > 0).select(
+        F.col("example").alias("query_id"), F.col("clean").alias("text"), "relevant_chunk_ids"
+    )
+    hits = R.hybrid_topk(chunks, asked.select("query_id", "text"), as_of, k)
+    rel = asked.select("query_id", F.array_distinct("relevant_chunk_ids").alias("rel"))
+    scored = hits.join(rel, "query_id").select(
+        "query_id", "rank", "chunk_id",
+        F.array_contains("rel", F.col("chunk_id").cast("string")).alias("relevant"),
+    )
+    per_query = M.retrieval_scores(scored, rel, rel.select("query_id", F.size("rel").alias("n")), k)
+    means = [
+        M.mean_of(per_query, column, f"retrieval_{name}")
+        for column, name in (
+            ("precision", "precision_at_k"), ("recall", "recall_at_k"), ("rr", "mrr"), ("ndcg", "ndcg_at_k"),
+        )
+    ]
+    ner = M.ner_micro_f1(found, wanted)
+    tables = [
+        M.intent_accuracy(pairs).withColumnRenamed("accuracy", "intent_accuracy"),
+        M.macro_f1(M.per_class_f1(pairs)).withColumnRenamed("macro_f1", "intent_macro_f1"),
+        ner.select(*[F.col(c).alias(f"ner_{c}") for c in ner.columns]),
+        *means,
+        ex.agg(F.count("*").alias("num_examples")),
+    ]
+    return M.evaluation_report([M.as_rows(t) for t in tables])
+
+
 def classify_batch(messages: DataFrame, model: PipelineModel, id_col: str = "message_id") -> DataFrame:
     """Intent, confidence, scores and entity map per message, without retrieval."""
     clean = messages.select(id_col, "text", X.for_classification(F.col("text")).alias("clean"))

@@ -125,7 +125,7 @@ def ndcg_at_k(spark, sf):
     "SELECT 'intent_macro_f1', round(avg(f1), 4) FROM per_class UNION ALL "
     "SELECT 'ner_precision', round(p, 4) FROM er UNION ALL SELECT 'ner_recall', round(r, 4) FROM er UNION ALL SELECT 'ner_f1', round(2 * p * r / (p + r), 4) FROM er UNION ALL "
     "SELECT 'retrieval_precision_at_k', round(avg(precision), 4) FROM sc UNION ALL SELECT 'retrieval_recall_at_k', round(avg(recall), 4) FROM sc UNION ALL "
-    "SELECT 'retrieval_ndcg_at_k', round(avg(ndcg), 4) FROM sc UNION ALL SELECT 'num_examples', count(*)::DOUBLE FROM pairs",
+    "SELECT 'retrieval_mrr', round(avg(rr_all), 4) FROM sc UNION ALL SELECT 'retrieval_ndcg_at_k', round(avg(ndcg), 4) FROM sc UNION ALL SELECT 'num_examples', count(*)::DOUBLE FROM pairs",
 )
 def evaluation_report(spark, sf):
     p = pairs(spark, sf)

@@ -40,9 +40,12 @@ def good_records(records: DataFrame) -> DataFrame:
 
 
 def bad_record_counts(records: DataFrame) -> DataFrame:
+    """Readable and unreadable lines, and the characters of text in the readable ones. (Spark refuses
+    a scan that asks for nothing but the unreadable lines.)"""
     return records.agg(
         F.count_if(F.col("_bad").isNull()).alias("good"),
         F.count_if(F.col("_bad").isNotNull()).alias("bad"),
+        F.sum(F.length("text")).alias("n_chars"),
     )
 
 
