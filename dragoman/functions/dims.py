@@ -33,7 +33,8 @@ HIGH_CATEGORIES = [
 LOW_CATEGORIES = ["news_events", "community", "jobs"]
 EXCLUDED_CATEGORIES = ["news_events", "jobs", "community"]
 
-# Ordered category rules, first match wins.
+# Ordered category rules, first match wins. Site-specific host words are passed by the
+# caller as rules of its own.
 CATEGORY_RULES = [
     ("admissions", "admis registr apply tuition fees scholarship financial"),
     ("academics", "college faculty depart program course curriculum syllabus degree catalog"),
@@ -46,7 +47,7 @@ CATEGORY_RULES = [
     ("documents", "handbook guide regulation bylaw policy"),
 ]
 RELABEL_RULES = [
-    ("academics", "college faculty depart program course curriculum catalog dar.ppu"),
+    ("academics", "college faculty depart program course curriculum catalog"),
     ("admissions", "admis registr tuition fees scholarship"),
     ("research", "research thesis publication journal"),
     ("student_life", "student housing club scholarship"),

@@ -84,10 +84,12 @@ def assign_category(doc_name: Column, text: Column) -> Column:
     return first_rule(haystack, dims.CATEGORY_RULES, "general")
 
 
-def recategorize(df: DataFrame) -> DataFrame:
+def recategorize(
+    df: DataFrame, rules: list[tuple[str, str]] = dims.RELABEL_RULES
+) -> DataFrame:
     """Relabel rows of category ``documents`` from url and title; other rows stay."""
     haystack = F.lower(F.concat_ws(" ", "url", "title"))
-    label = first_rule(haystack, dims.RELABEL_RULES, "documents")
+    label = first_rule(haystack, rules, "documents")
     return df.withColumn(
         "category", F.when(F.col("category") == "documents", label).otherwise(F.col("category"))
     )

@@ -32,15 +32,16 @@ def vector_topk_approx(
     vectors: DataFrame,
     queries: DataFrame,
     k: int = 10,
-    bucket_length: float = 0.6,
-    tables: int = 4,
-    radius: float = 1.2,
+    bucket_length: float = 0.15,
+    tables: int = 6,
+    radius: float = 1.5,
     seed: int = 7,
 ) -> DataFrame:
     """Approximate nearest neighbours: random projection buckets, then the exact cosine distance.
 
     The join is an equi-join on buckets. For unit vectors squared Euclidean distance is twice the
-    cosine distance, so the radius bounds what is emitted.
+    cosine distance, so the radius bounds what is emitted. Narrower buckets compare fewer pairs and
+    miss more neighbours; more tables win some back.
     """
     lsh = BucketedRandomProjectionLSH(
         inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=seed

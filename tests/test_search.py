@@ -60,3 +60,14 @@ def test_vectors_ties_and_blocks(spark, monkeypatch):
 def test_similarity(spark):
     df = spark.createDataFrame([(0.2,), (None,), (1.7,), (-0.5,)], "d double")
     assert [r[0] for r in df.select(S.similarity(F.col("d"))).collect()] == [0.8, 0.0, 0.0, 1.0]
+
+
+def test_approximate_search_finds_most_exact_neighbours(spark, sf):
+    from dragoman.operators.embedding import vector_topk_approx
+    from dragoman.plans.q_search import as_queries, vectors
+
+    v = vectors(spark, sf)
+    q = as_queries(v)
+    exact = S.vector_topk(v, q, 10).select("query_id", "chunk_id")
+    near = vector_topk_approx(v, q, 10).select("query_id", "chunk_id")
+    assert near.join(exact, ["query_id", "chunk_id"]).count() / exact.count() > 0.85
