@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dragoman.llm import mixing, quality, secrets
+from dragoman.llm import mixing, quality, secrets, substring_dedup
 from dragoman.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,8 @@ FROM documents d LEFT JOIN per USING (doc_id)"""
 @query("op4_secret_scan", _secrets_sql())
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
+
+
+@query("op1_substring_dedup")
+def remove_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept_text")
