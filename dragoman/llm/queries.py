@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dragoman.llm import mixing, quality, secrets, substring_dedup
+from dragoman.llm import mixing, packing, quality, secrets, substring_dedup
 from dragoman.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,8 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_substring_dedup")
 def remove_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept_text")
+
+
+@query("op8_packing")
+def pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
