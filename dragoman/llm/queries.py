@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dragoman.llm import mixing, packing, quality, secrets, substring_dedup
+from dragoman.llm import language, mixing, packing, quality, secrets, substring_dedup
 from dragoman.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,8 @@ def remove_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_packing")
 def pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
+
+
+@query("op2_language_id")
+def identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "documents"))
