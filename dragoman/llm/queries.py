@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dragoman.llm import language, mixing, packing, quality, secrets, substring_dedup
+from dragoman.llm import jaccard, language, mixing, packing, quality, secrets, substring_dedup
 from dragoman.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,8 @@ def pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_language_id")
 def identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents"))
+
+
+@query("op10_jaccard_join")
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(read(spark, sf_dir, "documents"))
