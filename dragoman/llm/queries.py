@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dragoman.llm import jaccard, language, mixing, packing, quality, secrets, substring_dedup
+from dragoman.llm import jaccard, language, lines, mixing, packing, quality, secrets, substring_dedup
 from dragoman.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,35 @@ def identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_jaccard_join")
 def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(read(spark, sf_dir, "documents"))
+
+
+LINES_SQL = """
+tokens AS (
+  SELECT doc_id, line, list_distinct(list_filter(regexp_split_to_array(content, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS s
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS content,
+          unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS line FROM documents)
+  WHERE regexp_matches(content, '[^\\x20\\x09-\\x0D]')
+),
+classes AS (SELECT list_sort(s) AS s, min((doc_id, line)) AS pos FROM tokens GROUP BY list_sort(s)),
+numbered AS (SELECT *, row_number() OVER (ORDER BY pos) AS c, len(s) AS n FROM classes),
+words AS (SELECT c, pos, n, unnest(s) AS w FROM numbered),
+shared AS (
+  SELECT x.c AS later, y.c AS earlier, x.n AS n, y.n AS m, count(*) AS common FROM words x JOIN words y ON x.w = y.w AND y.c < x.c
+  AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) GROUP BY ALL
+),
+matched AS (SELECT DISTINCT later FROM shared WHERE 9 * common >= 4 * (n + m)),
+gone AS (
+  SELECT t.doc_id, t.line FROM tokens t JOIN numbered k ON list_sort(t.s) = k.s LEFT JOIN matched m ON m.later = k.c
+  WHERE m.later IS NOT NULL OR (t.doc_id, t.line) <> k.pos
+)"""
+
+
+@query(
+    "op7_line_dedup",
+    f"""WITH {LINES_SQL}
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, []::INT[]) AS removed
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n_lines FROM tokens GROUP BY doc_id) USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n_removed, list(line::INT ORDER BY line) AS removed FROM gone GROUP BY doc_id) USING (doc_id)""",
+)
+def dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(read(spark, sf_dir, "documents"))
