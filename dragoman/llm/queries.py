@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dragoman.llm import jaccard, language, lines, mixing, packing, quality, secrets, substring_dedup
+from dragoman.llm import jaccard, language, lines, mixing, neighbours, packing, quality, secrets, substring_dedup, warc
 from dragoman.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,3 +206,13 @@ LEFT JOIN (SELECT doc_id, count(*) AS n_removed, list(line::INT ORDER BY line) A
 )
 def dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(read(spark, sf_dir, "documents"))
+
+
+@query("op6_nearest_neighbours")
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"))
+
+
+@query("op9_warc_derivatives")
+def warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(read(spark, sf_dir, "pages"))).withColumnRenamed("key", "page_id")
