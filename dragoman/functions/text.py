@@ -184,3 +184,17 @@ def search_terms(c: Column) -> Column:
         F.regexp_replace(F.lower(c), "[\\u064B-\\u0652\\u0640]", ""), "أإآىة", "ااايه"
     )
     return F.regexp_extract_all(folded, F.lit("([\\p{L}\\p{N}_]+)"), 1)
+
+
+def counted(terms: str | Column) -> Column:
+    """Array of (term, tf) of an array of terms: equal terms lie together once sorted, heads tell the counts."""
+    terms = F.col(terms) if isinstance(terms, str) else terms
+
+    def of(s: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        ends = F.transform(F.array(heads), lambda h: F.transform(
+            h, lambda i, j: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(h, j + 1), F.size(s)) - i).cast("long").alias("tf"))
+        ))
+        return F.get(ends, F.lit(0))
+
+    return F.when(F.size(terms) > 0, F.get(F.transform(F.array(F.sort_array(terms)), of), F.lit(0)))

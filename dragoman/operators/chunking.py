@@ -30,9 +30,14 @@ NOISE = (
 LIST_ITEM = "(?U)^\\s*(?:[-•*·◦▪▸]\\s+\\S|\\d+[.)]\\s+\\S|[\\u0661-\\u0669][.)]\\s+\\S)"
 OVERSIZED_BREAK = "(?U)(?<=[.!?؟؛])\\s+|(?<=\\n)\\s*(?=\\S)"
 SENTENCE_BREAK = "(?U)(?<=[.!?؟؛])\\s+|(?<=။)\\s+|\\n+"
-# start of a sentence break: white space after a terminator, or the first line end of a run that no
-# terminator precedes
-BREAK_START = "(?:(?<=[.!?؟؛။])\\s|(?<!\\n)(?<![.!?؟؛။]\\s{1,40})\\n)"
+
+
+def break_start(reach: int) -> str:
+    """Start of a sentence break: white space after a terminator, or the first line end of a run that no
+    terminator precedes. ``reach`` is the length of the window the pattern looks at."""
+    return f"(?:(?<=[.!?؟؛။])\\s|(?<!\\n)(?<![.!?؟؛။]\\s{{1,{reach}}})\\n)"
+
+
 
 STRATEGIES = ("contextual", "structural", "char", "sentence", "semantic")
 _NONE = "cast(null AS string)"
@@ -108,17 +113,21 @@ def with_blocks(df: DataFrame, text: str = "text") -> DataFrame:
 def extract_blocks(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Block rows (id, pos, kind, text, heading); heading is the nearest one at or before the block."""
     at = F.filter(
-        F.transform("blocks", lambda b, i: F.when(b["kind"] == "heading", i)), lambda i: i.isNotNull()
+        F.transform("blocks", lambda b, i: F.when((b["kind"] == "heading") | (i == 0), i)), lambda i: i.isNotNull()
     )
 
-    def titled(b: Column, i: Column) -> Column:
-        last = F.array_max(F.filter("_at", lambda h: h <= i))
-        head = F.when(last.isNotNull(), F.get("blocks", last)["text"]).otherwise("")
-        return F.struct(b["kind"].alias("kind"), b["text"].alias("text"), head.alias("heading"))
+    def section(begin: Column, j: Column) -> Column:
+        """Blocks from one heading to the next, all under that heading."""
+        first = F.get("blocks", begin)
+        head = F.when(first["kind"] == "heading", first["text"]).otherwise("")
+        inside = F.slice("blocks", begin + 1, F.coalesce(F.get("_at", j + 1), F.size("blocks")) - begin)
+        return F.transform(
+            inside, lambda b: F.struct(b["kind"].alias("kind"), b["text"].alias("text"), head.alias("heading"))
+        )
 
     # the heading is attached inside the array: columns used next to an explode are evaluated per row
     rows = with_blocks(df, text).withColumn("_at", at)
-    rows = rows.select(id_col, F.transform("blocks", titled).alias("_b"))
+    rows = rows.select(id_col, F.flatten(F.transform("_at", section)).alias("_b"))
     return explode_rows(rows, "_b", "pos", "b").select(
         id_col, "pos", "b.kind", "b.text", "b.heading"
     )
@@ -297,21 +306,33 @@ def chunk_char(
     n = F.length(text)
     steps = F.sequence(F.lit(1), F.ceil(n / (tail + 1 - overlap)).cast("int") + 1)
     start = F.struct(F.expr(_EMPTY).alias("out"), F.lit(0).alias("at"))
-
-    def step(acc: Column, _: Column) -> Column:
-        at = acc["at"]
-        window = F.substring(text, at + tail + 1, F.lit(size - tail))
-        cut = (at + size < n) & window.rlike(BREAK_START)
-        before = F.length(F.regexp_extract(window, f"(?s)^(.*){BREAK_START}", 1))
-        end = at + F.when(cut, tail + before + 1).otherwise(size)
-        piece = X.strip(F.substring(text, at + 1, end - at))
-        live = at < n
-        return F.struct(
-            F.when(live, _close(acc["out"], piece, dims.MIN_CHUNK)).otherwise(acc["out"]).alias("out"),
-            F.when(live, end - overlap).otherwise(at).alias("at"),
-        )
-
-    return F.aggregate(steps, start, step, lambda a: a["out"])
+    head = break_start(size - tail)
+
+    def folded(pages: Column) -> Column:
+        def part(at: Column, length: Column) -> Column:
+            # at most ``size`` characters, so two pages hold them wherever they begin
+            page = F.floor(at / size).cast("int")
+            two = F.concat(F.get(pages, page), F.coalesce(F.get(pages, page + 1), F.lit("")))
+            return F.substring(two, (at - page * size + 1).cast("int"), length)
+
+        def step(acc: Column, _: Column) -> Column:
+            at = acc["at"]
+            live = at < n
+            window = F.when(at + tail < n, part(at + tail, F.lit(size - tail))).otherwise("")
+            cut = (at + size < n) & window.rlike(head)
+            before = F.length(F.regexp_extract(window, f"(?s)^(.*){head}", 1))
+            end = at + F.when(cut, tail + before + 1).otherwise(size)
+            piece = X.strip(part(at, (end - at).cast("int")))
+            return F.struct(
+                F.when(live, _close(acc["out"], piece, dims.MIN_CHUNK)).otherwise(acc["out"]).alias("out"),
+                F.when(live, end - overlap).otherwise(at).alias("at"),
+            )
+
+        return F.aggregate(steps, start, step, lambda a: a["out"])
+
+    # pages of fixed length: a window is found without walking the text from its start
+    pages = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return F.get(F.transform(F.array(pages), folded), F.lit(0))
 
 
 def chunk_document(

@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dragoman.functions import text as X
+from dragoman.operators.scale import cut
+from dragoman.operators.search import vector_topk
 
 
 def fit_embedder(df: DataFrame, text: str = "text", width: int = 384) -> PipelineModel:
@@ -34,14 +36,14 @@ def vector_topk_approx(
     k: int = 10,
     bucket_length: float = 0.15,
     tables: int = 6,
-    radius: float = 1.5,
     seed: int = 7,
 ) -> DataFrame:
     """Approximate nearest neighbours: random projection buckets, then the exact cosine distance.
 
-    The join is an equi-join on buckets. For unit vectors squared Euclidean distance is twice the
-    cosine distance, so the radius bounds what is emitted. Narrower buckets compare fewer pairs and
-    miss more neighbours; more tables win some back.
+    The join is an equi-join on buckets; unit vectors are at most 2 apart, so its radius drops no pair. For
+    unit vectors squared Euclidean distance is twice the cosine distance. Narrower buckets compare fewer
+    pairs and miss more neighbours; more tables win some back. Queries whose buckets hold fewer than k items are
+    searched exactly, so every query gets k rows if the collection has them.
     """
     lsh = BucketedRandomProjectionLSH(
         inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=seed
@@ -49,10 +51,13 @@ def vector_topk_approx(
     items = vectors.select("chunk_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
     asks = queries.select("query_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
     model = lsh.fit(items)
-    near = model.approxSimilarityJoin(asks, items, radius, "d").select(
+    near = model.approxSimilarityJoin(asks, items, 2.5, "d").select(
         F.col("datasetA.query_id").alias("query_id"),
         F.col("datasetB.chunk_id").alias("chunk_id"),
         F.round(F.col("d") * F.col("d") / 2, 9).alias("distance"),
     )
     w = W.partitionBy("query_id").orderBy("distance", "chunk_id")
-    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    near = cut(near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), "approx-hits")
+    full = near.filter(F.col("rank") == k).select("query_id")
+    exact = vector_topk(vectors, queries.join(full, "query_id", "left_anti"), k)
+    return near.join(full, "query_id", "left_semi").unionByName(exact)

@@ -49,7 +49,7 @@ def per_class_f1(pairs: DataFrame, labels: list[str] | None = None) -> DataFrame
         sums = sums.filter(F.col("tp") + F.col("fn") > 0)
     else:
         named = pairs.sparkSession.createDataFrame([(x,) for x in labels], "label string")
-        sums = F.broadcast(named).join(sums, "label", "left").na.fill(0)
+        sums = named.join(sums, "label", "left").na.fill(0)
     p = _ratio(F.col("tp"), F.col("tp") + F.col("fp"))
     r = _ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     return sums.select(
@@ -62,7 +62,7 @@ def per_class_f1(pairs: DataFrame, labels: list[str] | None = None) -> DataFrame
 
 
 def macro_f1(per_class: DataFrame) -> DataFrame:
-    return per_class.agg(F.coalesce(F.round(F.avg("f1"), 4), F.lit(0.0)).alias("macro_f1"))
+    return per_class.agg(mean("f1").alias("macro_f1"))
 
 
 def ner_micro_f1(predicted: DataFrame, truth: DataFrame) -> DataFrame:
@@ -118,8 +118,14 @@ def retrieval_scores(hits: DataFrame, relevant: DataFrame, n_relevant: DataFrame
     )
 
 
+def mean(column: str | Column) -> Column:
+    """Mean to four digits, summed in decimals so that the order of the rows does not decide a rounding tie."""
+    value = F.col(column) if isinstance(column, str) else column
+    return F.coalesce(F.round(F.avg(value.cast("decimal(20,12)")), 4).cast("double"), F.lit(0.0))
+
+
 def mean_of(scores: DataFrame, column: str, out: str) -> DataFrame:
-    return scores.agg(F.coalesce(F.round(F.avg(column), 4), F.lit(0.0)).alias(out))
+    return scores.agg(mean(column).alias(out))
 
 
 def evaluation_report(parts: list[DataFrame]) -> DataFrame:

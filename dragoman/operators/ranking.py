@@ -16,7 +16,6 @@ from dragoman.functions.arrow import hash_vector
 from dragoman.operators import search as S
 from dragoman.operators.search import top_per_query
 
-SMALL_HITS = 1_000_000  # hits that may be broadcast to fetch chunk columns
 DIGITS = 9
 
 
@@ -95,11 +94,9 @@ def freshness(category: Column, scraped_at: Column, current: Column, as_of: str)
     return F.when(current & (category == "news_events") & stale, dims.STALE_FACTOR).otherwise(1.0)
 
 
-def with_chunk_columns(hits: DataFrame, chunks: DataFrame, columns: list[str], n_hits: int) -> DataFrame:
-    """Fetch chunk columns for hits. A hit table of known small size is broadcast, so the chunk table
-    is only scanned; a larger one is joined by shuffling both sides on the chunk id."""
-    side = F.broadcast(hits) if n_hits <= SMALL_HITS else hits
-    return chunks.select("chunk_id", *columns).join(side, "chunk_id")
+def with_chunk_columns(hits: DataFrame, chunks: DataFrame, columns: list[str | Column]) -> DataFrame:
+    """Fetch chunk columns for hits; the planner picks the join by the sizes it finds."""
+    return chunks.select("chunk_id", *columns).join(hits, "chunk_id")
 
 
 def candidates(
@@ -116,7 +113,6 @@ def candidates(
     categories after its top k, the vector side only later, so the pools keep their meaning.
     """
     bm25 = S.bm25_topk(chunks, queries, bm25_k)
-    n_queries = queries.count()
     vectors = chunks.select("chunk_id", hash_vector(X.search_terms(F.col("text"))).alias("embedding"))
     asks = queries.select("query_id", hash_vector(X.search_terms(F.col("text"))).alias("embedding"))
     near = S.vector_topk(vectors, asks, embed_k)
@@ -124,7 +120,7 @@ def candidates(
     hits = merge_candidates(bm25, near).withColumn("from_bm25", F.col("bm25_score") > 0)
     hits = hits.join(flags, "query_id")
     meta = ["category", "priority", "scraped_at"]
-    full = with_chunk_columns(hits, chunks, meta, n_queries * (bm25_k + embed_k))
+    full = with_chunk_columns(hits, chunks, meta)
     out = is_excluded(F.col("category"), F.col("current"), exclude, include_news)
     # an excluded keyword hit leaves the pool, unless the vector side found the chunk as well
     full = full.withColumn("excluded", out).withColumn(
@@ -363,11 +359,10 @@ def retrieval_answers(
         )
         asks = queries.select("query_id", hash_vector(X.search_terms(F.col("text"))).alias("embedding"))
         near = S.vector_topk(vectors, asks, top_k)
-        hits = with_chunk_columns(near, chunks, ["category", "priority"], queries.count() * top_k)
+        hits = with_chunk_columns(near, chunks, ["category", "priority"])
     best = rerank(hits, rerank_k, threshold)
-    n_hits = queries.count() * rerank_k
     docs = with_chunk_columns(
         best.select("query_id", "chunk_id", "score"), chunks,
-        [F.col("text").alias("document"), "doc_name", "page"], n_hits,
+        [F.col("text").alias("document"), "doc_name", "page"],
     )
     return context_budget(docs)

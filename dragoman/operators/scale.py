@@ -9,17 +9,6 @@ from pyspark.sql import functions as F
 from dragoman.session import scratch_dir
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores on input that arrives in fewer partitions than there are cores.
-
-    A table of many files passes through untouched, so nothing is shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() > cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
 def explode_rows(df: DataFrame, array: str, pos: str, value: str) -> DataFrame:
     """Rows of an array column with their position.
 

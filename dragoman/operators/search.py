@@ -1,85 +1,58 @@
 """Keyword and vector search of whole query tables.
 
-Both searches score every item against a block of queries inside the scan stage and keep the best k
-per query and task, so the only shuffle carries k rows per query and task: no postings join on
-frequent terms, no query x item rows. The query side is counted first; it is cut into blocks of
-bounded size, each block is one pass over the items, and no result is dropped.
+Queries and items are dealt to bounded blocks by hash, and every task scores one block of items against one block
+of queries (``blocks.score_blocks``), keeping the best k per query. Only these are shuffled again. A term that
+occurs in every document never becomes a hot join key, neither side passes through the driver, and more queries
+mean more blocks, not fewer results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DoubleType, StructField, StructType
 
 from dragoman.functions import dims
 from dragoman.functions import text as X
 from dragoman.functions.arrow import english_terms
+from dragoman.operators.blocks import score_blocks
 
-MAX_QUERY_PAIRS = 200_000  # (query, term) pairs, or query vector components / 64, per block
-CELLS = 4_000_000  # floats of one dense working block in a task
 DIGITS = 9  # scores are ranked at this precision so that equal texts tie in every task
 
 
-def _best(c: pd.DataFrame, k: int) -> pd.DataFrame:
-    c = c.sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable")
-    return c.groupby("q", sort=False).head(k)
+def _best(rows: np.ndarray, cols: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best items (cols) of each query (rows), ties by id."""
+    frame = pd.DataFrame({"q": rows, "id": ids[cols], "score": scores})
+    frame = frame.sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable")
+    return frame.groupby("q", sort=False).head(k).index.to_numpy()
 
 
-def _candidates(ids: np.ndarray, scores: np.ndarray, k: int, positive: bool) -> pd.DataFrame:
-    """The k best rows of each column of ``scores``, ties by id."""
+def _hits(q: pa.Table, x: pa.Table, scores: np.ndarray, k: int, positive: bool, exclude_self: bool) -> pa.RecordBatch:
+    """The k best columns of each row of ``scores`` (queries by items)."""
     scores = np.round(scores, DIGITS)
-    m = len(scores)
     mask = scores > 0 if positive else np.ones(scores.shape, dtype=bool)
-    if m > k:
-        mask &= scores >= np.partition(scores, m - k, axis=0)[m - k]
+    ids, asks = x["chunk_id"].to_numpy(), q["query_id"].to_numpy()
+    if exclude_self:
+        mask &= asks[:, None] != ids[None, :]
+    spare = k + exclude_self
+    if scores.shape[1] > spare:
+        mask &= scores >= np.partition(scores, scores.shape[1] - spare, axis=1)[:, [scores.shape[1] - spare]]
     rows, cols = np.nonzero(mask)
-    return _best(pd.DataFrame({"q": cols, "id": ids[rows], "score": scores[rows, cols]}), k)
+    best = _best(rows, cols, ids, scores[rows, cols], k)
+    rows, cols = rows[best], cols[best]
+    return pa.RecordBatch.from_arrays(
+        [q["query_id"].combine_chunks().take(pa.array(rows)), x["chunk_id"].combine_chunks().take(pa.array(cols)), pa.array(scores[rows, cols])],
+        ["query_id", "chunk_id", "score"],
+    )
 
 
-def _block_topk(
-    items: DataFrame,
-    encode: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]],
-    matrix: np.ndarray,
-    query_ids: np.ndarray,
-    k: int,
-    positive: bool,
-    query_type: DataType,
-) -> DataFrame:
-    """(query_id, chunk_id, score) candidates: best k per query and task."""
-    bm = items.sparkSession.sparkContext.broadcast((matrix, query_ids))
-    schema = _hit_schema(items, query_type)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, qids = bm.value
-        kept: list[pd.DataFrame] = []
-        size = 0
-        for batch in batches:
-            for ids, rows in encode(batch):
-                kept.append(_candidates(ids, rows @ m, k, positive))
-                size += len(kept[-1])
-                if size > 8 * k * len(qids) + 100_000:
-                    kept = [_best(pd.concat(kept), k)]
-                    size = len(kept[0])
-        if kept:
-            out = _best(pd.concat(kept), k)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "query_id": pa.array(qids[out["q"].to_numpy()]),
-                    "chunk_id": pa.array(out["id"].to_numpy()),
-                    "score": pa.array(out["score"].to_numpy()),
-                }
-            )
-
-    return items.mapInArrow(run, schema)
+def _schema(items: DataFrame, queries: DataFrame) -> str:
+    return f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(items.dtypes)['chunk_id']}, score double"
 
 
 def top_per_query(hits: DataFrame, k: int, score: str = "score") -> DataFrame:
@@ -87,19 +60,6 @@ def top_per_query(hits: DataFrame, k: int, score: str = "score") -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _blocks(queries: DataFrame, n: int, per_block: int) -> list[DataFrame]:
-    """Split rows by the hash of their query into blocks of about ``per_block`` rows."""
-    count = max(1, -(-n // per_block))
-    if count == 1:
-        return [queries]
-    bucket = F.pmod(F.xxhash64("query_id"), F.lit(count))
-    return [queries.filter(bucket == b) for b in range(count)]
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
 # ---------------------------------------------------------------- vectors
 
 
@@ -110,58 +70,28 @@ def vector_topk(
     doc_filter: Column | None = None,
     vector: str = "embedding",
     id_col: str = "chunk_id",
+    exclude_self: bool = False,
 ) -> DataFrame:
     """k nearest vectors per query by cosine distance: (query_id, chunk_id, distance, rank).
 
-    ``doc_filter`` restricts the collection before the search; k is capped by what is left.
-    ``queries`` has (query_id, embedding).
+    ``doc_filter`` restricts the collection before the search; k is capped by what is left. ``exclude_self``
+    leaves out the item that has the query's own id. ``queries`` has (query_id, embedding).
     """
     if doc_filter is not None:
         vectors = vectors.filter(doc_filter)
     items = vectors.select(F.col(id_col).alias("chunk_id"), F.col(vector).cast("array<double>").alias("v"))
-    query_type = queries.schema["query_id"].dataType
     queries = queries.select("query_id", F.col("embedding").cast("array<double>").alias("v"))
-    # the query table is the bounded side; each block is a few tens of megabytes at most
-    parts = []
-    for block in _blocks(queries, queries.count(), 4096):
-        q = block.toPandas()
-        if q.empty:
-            continue
-        m = np.stack(q["v"].to_numpy())
-        norms = np.linalg.norm(m, axis=1, keepdims=True)
-        m = np.divide(m, norms, out=np.zeros_like(m), where=norms > 0).T
-
-        def encode(batch: pa.RecordBatch, width: int = m.shape[0], n_q: int = m.shape[1]):
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            norms = np.linalg.norm(rows, axis=1, keepdims=True)
-            rows = np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
-            step = max(1, CELLS // max(width, n_q))
-            for s in range(0, len(ids), step):
-                yield ids[s : s + step], rows[s : s + step]
-
-        parts.append(_block_topk(items, encode, m, q["query_id"].to_numpy(), k, False, query_type))
-    if not parts:
-        return _no_hits(items, query_type).withColumn("distance", F.lit(0.0)).drop("score")
-    top = top_per_query(_union(parts), k)
-    return top.select(
-        "query_id", "chunk_id", F.round(1.0 - F.col("score"), DIGITS).alias("distance"), "rank"
-    )
-
 
-def _hit_schema(items: DataFrame, query_type: DataType) -> StructType:
-    return StructType(
-        [
-            StructField("query_id", query_type),
-            StructField("chunk_id", items.schema[0].dataType),
-            StructField("score", DoubleType()),
-        ]
-    )
+    def unit(t: pa.Table) -> np.ndarray:
+        rows = np.asarray(t["v"].combine_chunks().flatten()).reshape(len(t), -1)
+        norms = np.linalg.norm(rows, axis=1, keepdims=True)
+        return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
+    def score(x: pa.Table, q: pa.Table) -> pa.RecordBatch:
+        return _hits(q, x, unit(q) @ unit(x).T, k, False, exclude_self)
 
-def _no_hits(items: DataFrame, query_type: DataType) -> DataFrame:
-    empty = items.sparkSession.createDataFrame([], _hit_schema(items, query_type))
-    return empty.withColumn("rank", F.lit(1))
+    top = top_per_query(score_blocks(items, queries, score, _schema(items, queries)), k)
+    return top.select("query_id", "chunk_id", F.round(1.0 - F.col("score"), DIGITS).alias("distance"), "rank")
 
 
 def similarity(distance: Column) -> Column:
@@ -181,6 +111,12 @@ def english_field(text: Column) -> Column:
     return english_terms(X.search_terms(text))
 
 
+def index_terms(chunks: DataFrame, analyzer: Callable[[Column], Column] = plain_terms, id_col: str = "chunk_id") -> DataFrame:
+    """What a keyword search reads of a text: (chunk_id, terms as hashes with repeats, dl)."""
+    terms = chunks.select(F.col(id_col).alias("chunk_id"), F.transform(analyzer(F.col("text")), lambda t: F.xxhash64(t)).alias("terms"))
+    return terms.withColumn("dl", F.coalesce(F.size("terms"), F.lit(0)))
+
+
 def bm25_topk(
     chunks: DataFrame,
     queries: DataFrame,
@@ -190,78 +126,51 @@ def bm25_topk(
 ) -> DataFrame:
     """BM25 top k per query: (query_id, chunk_id, bm25_score, rank).
 
-    ``chunks`` has (chunk_id, text), ``queries`` (query_id, text). Two scans: one for the statistics
-    of the query terms, one for the scores.
+    ``chunks`` has (chunk_id, text), ``queries`` (query_id, text).
     """
-    spark = chunks.sparkSession
-    terms = chunks.select(F.col(id_col).alias("chunk_id"), analyzer(F.col("text")).alias("terms"))
-    terms = terms.withColumn("dl", F.size("terms"))
-    qt = queries.select("query_id", analyzer(F.col("text")).alias("terms"))
-    pairs = (
-        qt.select("query_id", F.explode_outer("terms").alias("term"))
-        .filter("term IS NOT NULL")
-        .groupBy("query_id", "term")
-        .agg(F.count("*").alias("qtf"))
-    )
-    query_type = queries.schema["query_id"].dataType
-    parts = []
-    for block in _blocks(pairs, pairs.count(), MAX_QUERY_PAIRS):
-        q = block.toPandas()
-        if q.empty:
-            continue
-        vocab = np.sort(q["term"].unique())
-        # document frequency of the block's terms; the extra empty term counts documents and tokens
-        wanted = spark.createDataFrame(pd.DataFrame({"term": [*vocab, ""]}))
-        own = F.when(F.col("dl") > 0, F.array_append(F.array_distinct("terms"), F.lit("")))
-        seen = terms.select("dl", F.explode_outer(own).alias("term"))
-        stats = (
-            seen.join(F.broadcast(wanted), "term")
-            .groupBy("term")
-            .agg(F.count("*").alias("df"), F.sum("dl").alias("tokens"))
-            .toPandas()
-            .set_index("term")
-        )
-        if "" not in stats.index:
-            continue
-        n_docs = int(stats.loc["", "df"])
-        avgdl = float(stats.loc["", "tokens"]) / n_docs
-        df = stats["df"].reindex(vocab).fillna(0).to_numpy(dtype=float)
-        idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-        qids = q["query_id"].unique()
-        m = np.zeros((len(vocab), len(qids)))
-        rows = np.searchsorted(vocab, q["term"].to_numpy())
-        m[rows, pd.Index(qids).get_indexer(q["query_id"])] = q["qtf"].to_numpy() * idf[rows]
-        encode = _bm25_encoder(vocab, avgdl, len(qids))
-        parts.append(_block_topk(terms, encode, m, qids, k, True, query_type))
-    if not parts:
-        return _no_hits(terms, query_type).withColumnRenamed("score", "bm25_score")
-    return top_per_query(_union(parts), k).withColumnRenamed("score", "bm25_score")
-
-
-def _bm25_encoder(vocab: np.ndarray, avgdl: float, n_q: int):
+    return bm25_over(index_terms(chunks, analyzer, id_col), queries, k, analyzer)
+
+
+def bm25_over(
+    indexed: DataFrame, queries: DataFrame, k: int = dims.POOL_SIZE, analyzer: Callable[[Column], Column] = plain_terms
+) -> DataFrame:
+    """The same over a stored index, the rows of ``index_terms``."""
+    full = indexed.filter("dl > 0").select("chunk_id", "terms", "dl")
+    asked = queries.select("query_id", F.explode_outer(F.transform(analyzer(F.col("text")), lambda t: F.xxhash64(t))).alias("term"))
+    asked = asked.filter("term IS NOT NULL").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    seen = full.select(F.explode_outer(F.array_distinct("terms")).alias("term"))
+    df = seen.join(asked.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("df"))
+    shape = full.agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
+    n, avgdl = shape.select("n").scalar(), shape.select("avgdl").scalar()
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = asked.join(df, "term").select("query_id", F.struct("term", (F.col("qtf") * idf).alias("weight")).alias("w"))
+    asks = weighted.groupBy("query_id").agg(F.sort_array(F.collect_list("w")).alias("wanted")).withColumn("avgdl", avgdl)
     k1, b = dims.BM25_K1, dims.BM25_B
-    width = len(vocab)
-    words = vocab.tolist()
-
-    def encode(batch: pa.RecordBatch):
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
-        dl = batch.column(2).to_numpy(zero_copy_only=False)
-        codes = pc.index_in(batch.column(1).flatten(), value_set=pa.array(words, pa.string()))
-        codes = codes.fill_null(-1).to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(ids)), lengths)
-        row, codes = row[codes >= 0], codes[codes >= 0]
-        cell, tf = np.unique(row * width + codes, return_counts=True)
-        row, term = cell // width, cell % width
-        weight = tf / (tf + k1 * (1 - b + b * dl[row] / avgdl))
-        step = max(1, CELLS // max(width, n_q))
-        for s in range(0, len(ids), step):
-            part = slice(*np.searchsorted(row, [s, s + step]))
-            dense = np.zeros((min(step, len(ids) - s), width))
-            dense[row[part] - s, term[part]] = weight[part]
-            yield ids[s : s + step], dense
-
-    return encode
+
+    def score(x: pa.Table, q: pa.Table) -> pa.RecordBatch:
+        wanted = q["wanted"].combine_chunks()
+        asked_terms = np.asarray(wanted.flatten().field("term"))
+        weights, edges = np.asarray(wanted.flatten().field("weight")), np.append(0, np.cumsum(np.asarray(wanted.value_lengths())))
+        vocab, code_of = np.unique(asked_terms, return_inverse=True)
+        terms = x["terms"].combine_chunks()
+        row = np.repeat(np.arange(len(x)), np.asarray(terms.value_lengths()))
+        flat = np.asarray(terms.flatten())
+        code = np.minimum(np.searchsorted(vocab, flat), len(vocab) - 1)
+        known = vocab[code] == flat
+        cell, tf = np.unique(code[known] * len(x) + row[known], return_counts=True)
+        code, row = cell // len(x), cell % len(x)
+        part = tf / (tf + k1 * (1 - b + b * x["dl"].to_numpy()[row] / q["avgdl"][0].as_py()))
+        first = np.searchsorted(code, np.arange(len(vocab) + 1))
+        scores = np.zeros((len(q), len(x)))
+        for i in range(len(q)):
+            line = scores[i]
+            for t in range(edges[i], edges[i + 1]):
+                there = slice(first[code_of[t]], first[code_of[t] + 1])
+                line[row[there]] += weights[t] * part[there]
+        return _hits(q, x, scores, k, True, False)
+
+    hits = score_blocks(full, asks, score, _schema(full, queries), per_item_block=1024, per_query_block=512)
+    return top_per_query(hits, k).withColumnRenamed("score", "bm25_score")
 
 
 def bm25_best_field(chunks: DataFrame, queries: DataFrame, k: int = dims.POOL_SIZE) -> DataFrame:
@@ -279,17 +188,16 @@ def bm25_best_field(chunks: DataFrame, queries: DataFrame, k: int = dims.POOL_SI
 
 
 def postings(chunks: DataFrame, id_col: str = "chunk_id") -> DataFrame:
-    """Inverted index rows (field, term, chunk_id, tf) for both fields."""
+    """Inverted index rows (field, term, chunk_id, tf) for both fields, counted inside the document's row."""
     per_doc = chunks.select(
         F.col(id_col).alias("chunk_id"), X.search_terms(F.col("text")).alias("plain")
     ).withColumn("english", english_terms(F.col("plain")))
     fields = F.map_from_arrays(
         F.array(F.lit("document"), F.lit("document.english")), F.array("plain", "english")
     )
-    rows = per_doc.select("chunk_id", F.explode_outer(fields).alias("field", "terms")).select(
-        "chunk_id", "field", F.explode_outer("terms").alias("term")
-    ).filter("term IS NOT NULL")
-    return rows.groupBy("field", "term", "chunk_id").agg(F.count("*").alias("tf"))
+    rows = per_doc.select("chunk_id", F.explode_outer(fields).alias("field", "terms"))
+    rows = rows.select("chunk_id", "field", F.explode_outer(X.counted("terms")).alias("t")).filter("t IS NOT NULL")
+    return rows.select("field", "t.term", "chunk_id", "t.tf")
 
 
 def doc_lengths(chunks: DataFrame, id_col: str = "chunk_id") -> DataFrame:

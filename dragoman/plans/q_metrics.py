@@ -43,7 +43,7 @@ def per_class_f1(spark, sf):
     return M.per_class_f1(pairs(spark, sf))
 
 
-@query("macro_f1", f"WITH {PER_CLASS} SELECT round(avg(f1), 4) AS macro_f1 FROM per_class")
+@query("macro_f1", f"WITH {PER_CLASS} SELECT round(avg(f1::DECIMAL(20,12)), 4) AS macro_f1 FROM per_class")
 def macro_f1(spark, sf):
     return M.macro_f1(M.per_class_f1(pairs(spark, sf)))
 
@@ -73,46 +73,43 @@ def ner_micro_f1(spark, sf):
 
 RANKED = """near AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, q.label = v.label AS relevant,
    row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9), 9), v.vec_id) AS rank
-   FROM embeddings q, embeddings v),
- hits AS (SELECT * FROM near WHERE rank <= 10), nrel AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label),
- per AS (SELECT query_id, count_if(relevant AND rank <= 3) AS h, min(CASE WHEN relevant AND rank > 1 THEN rank END) AS first, min(CASE WHEN relevant THEN rank END) AS first_all,
+   FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id),
+ hits AS (SELECT * FROM near WHERE rank <= 10), nrel AS (SELECT label, count(*) - 1 AS n FROM embeddings GROUP BY label),
+ per AS (SELECT query_id, count_if(relevant AND rank <= 3) AS h, min(CASE WHEN relevant THEN rank END) AS first,
    coalesce(sum(CASE WHEN relevant AND rank <= 3 THEN 1 / log2(rank + 1) END), 0) AS dcg FROM hits GROUP BY query_id),
- sc AS (SELECT query_id, h / 3 AS precision, h / n AS recall, coalesce(1 / first, 0) AS rr, coalesce(1 / first_all, 0) AS rr_all,
-   dcg / list_sum(list_transform(range(1, least(3, n) + 1), lambda i: 1 / log2(i + 1))) AS ndcg
+ sc AS (SELECT query_id, h / 3 AS precision, CASE WHEN n > 0 THEN h / n ELSE 0 END AS recall, coalesce(1 / first, 0) AS rr,
+   CASE WHEN n > 0 THEN dcg / list_sum(list_transform(range(1, least(3, n) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END AS ndcg
    FROM per JOIN embeddings e ON e.vec_id = query_id JOIN nrel USING (label))"""
 
 
-def scores(spark, sf, skip_self_rank=False):
+def scores(spark, sf):
+    """Scores of each vector as a query for its label; the vector itself is left out before the top k."""
     v = vectors(spark, sf)
     q = as_queries(v)
-    top = S.vector_topk(v, q, 10)
+    top = S.vector_topk(v, q, 10, exclude_self=True)
     labelled = top.join(q.select("query_id", "q_label"), "query_id").join(v.select("chunk_id", "label"), "chunk_id")
-    relevant = F.col("q_label") == F.col("label")
-    if skip_self_rank:
-        relevant = relevant & (F.col("rank") > 1)
-    hits = labelled.select("query_id", "rank", "chunk_id", relevant.alias("relevant"))
-    counts = v.groupBy("label").agg(F.count("*").alias("n"))
-    n = q.join(F.broadcast(counts), F.col("q_label") == F.col("label")).select("query_id", "n")
+    hits = labelled.select("query_id", "rank", "chunk_id", (F.col("q_label") == F.col("label")).alias("relevant"))
+    counts = v.groupBy("label").agg((F.count("*") - 1).alias("n"))
+    n = q.join(counts, F.col("q_label") == F.col("label")).select("query_id", "n")
     return M.retrieval_scores(hits, q, n)
 
 
-@query("precision_at_k", f"WITH {RANKED} SELECT round(avg(precision), 4) AS precision_at_k FROM sc")
+@query("precision_at_k", f"WITH {RANKED} SELECT round(avg(precision::DECIMAL(20,12)), 4) AS precision_at_k FROM sc")
 def precision_at_k(spark, sf):
     return M.mean_of(scores(spark, sf), "precision", "precision_at_k")
 
 
-@query("recall_at_k", f"WITH {RANKED} SELECT round(avg(recall), 4) AS recall_at_k FROM sc")
+@query("recall_at_k", f"WITH {RANKED} SELECT round(avg(recall::DECIMAL(20,12)), 4) AS recall_at_k FROM sc")
 def recall_at_k(spark, sf):
     return M.mean_of(scores(spark, sf), "recall", "recall_at_k")
 
 
-@query("mrr", f"WITH {RANKED} SELECT round(avg(rr), 4) AS mrr FROM sc")
+@query("mrr", f"WITH {RANKED} SELECT round(avg(rr::DECIMAL(20,12)), 4) AS mrr FROM sc")
 def mrr(spark, sf):
-    # the query vector itself is always the first hit, so it is not counted as relevant here
-    return M.mean_of(scores(spark, sf, skip_self_rank=True), "rr", "mrr")
+    return M.mean_of(scores(spark, sf), "rr", "mrr")
 
 
-@query("ndcg_at_k", f"WITH {RANKED} SELECT round(avg(ndcg), 4) AS ndcg_at_k FROM sc")
+@query("ndcg_at_k", f"WITH {RANKED} SELECT round(avg(ndcg::DECIMAL(20,12)), 4) AS ndcg_at_k FROM sc")
 def ndcg_at_k(spark, sf):
     return M.mean_of(scores(spark, sf), "ndcg", "ndcg_at_k")
 
@@ -122,16 +119,16 @@ def ndcg_at_k(spark, sf):
     f"WITH {PER_CLASS}, {SPANS.replace('p AS', 'ep AS', 1).replace(', t AS', ', et AS').replace('p.example', 'ep.example').replace('t.example', 'et.example').replace('p.type = t.type', 'ep.type = et.type').replace('p.value = t.value', 'ep.value = et.value').replace('FROM p FULL OUTER JOIN t', 'FROM ep FULL OUTER JOIN et').replace('s AS (SELECT count', 'es AS (SELECT count')}, {RANKED}, "
     "er AS (SELECT tp / (tp + fp) AS p, tp / (tp + fn) AS r FROM es) "
     "SELECT 'intent_accuracy' AS metric, round(avg((predicted = truth)::INT), 4) AS value FROM pairs UNION ALL "
-    "SELECT 'intent_macro_f1', round(avg(f1), 4) FROM per_class UNION ALL "
+    "SELECT 'intent_macro_f1', round(avg(f1::DECIMAL(20,12)), 4) FROM per_class UNION ALL "
     "SELECT 'ner_precision', round(p, 4) FROM er UNION ALL SELECT 'ner_recall', round(r, 4) FROM er UNION ALL SELECT 'ner_f1', round(2 * p * r / (p + r), 4) FROM er UNION ALL "
-    "SELECT 'retrieval_precision_at_k', round(avg(precision), 4) FROM sc UNION ALL SELECT 'retrieval_recall_at_k', round(avg(recall), 4) FROM sc UNION ALL "
-    "SELECT 'retrieval_mrr', round(avg(rr_all), 4) FROM sc UNION ALL SELECT 'retrieval_ndcg_at_k', round(avg(ndcg), 4) FROM sc UNION ALL SELECT 'num_examples', count(*)::DOUBLE FROM pairs",
+    "SELECT 'retrieval_precision_at_k', round(avg(precision::DECIMAL(20,12)), 4) FROM sc UNION ALL SELECT 'retrieval_recall_at_k', round(avg(recall::DECIMAL(20,12)), 4) FROM sc UNION ALL "
+    "SELECT 'retrieval_mrr', round(avg(rr::DECIMAL(20,12)), 4) FROM sc UNION ALL SELECT 'retrieval_ndcg_at_k', round(avg(ndcg::DECIMAL(20,12)), 4) FROM sc UNION ALL SELECT 'num_examples', count(*)::DOUBLE FROM pairs",
 )
 def evaluation_report(spark, sf):
     p = pairs(spark, sf)
     ner = M.ner_micro_f1(spans(spark, sf, "[A-Z][a-z]+"), spans(spark, sf, "[A-Z]?[a-z]{6,}"))
     retrieval = scores(spark, sf).agg(
-        *[F.round(F.avg(c), 4).alias(f"retrieval_{c}{at}") for c, at in (("precision", "_at_k"), ("recall", "_at_k"), ("rr", ""), ("ndcg", "_at_k"))]
+        *[M.mean(c).alias(f"retrieval_{c}{at}") for c, at in (("precision", "_at_k"), ("recall", "_at_k"), ("rr", ""), ("ndcg", "_at_k"))]
     )
     retrieval = retrieval.withColumnRenamed("retrieval_rr", "retrieval_mrr")
     parts = [

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from dragoman.functions import dims
 from dragoman.functions import text as X
 from dragoman.operators import tokens as T
-from dragoman.operators.scale import spread
 from dragoman.plans import views as V
 from dragoman.plans.q_filters import ANY_AR, AR, sql_count
 from dragoman.plans.registry import query
@@ -67,7 +66,7 @@ def content_sql(extra_ar=(), extra_en=()) -> str:
 
 
 def corpus(spark, sf):
-    return spread(V.bilingual(spark, sf), "doc_id")
+    return V.bilingual(spark, sf)
 
 
 @query(

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dragoman.session import ship
+
 Runner = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Runner] = {}
 ORACLES: dict[str, str] = {}
@@ -15,7 +17,12 @@ def query(key: str, sql: str | None = None) -> Callable[[Runner], Runner]:
     def register(fn: Runner) -> Runner:
         if key in QUERIES:
             raise ValueError(f"query {key} is registered twice")
-        QUERIES[key] = fn
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[key] = run
         if sql is not None:
             ORACLES[key] = sql
         return fn

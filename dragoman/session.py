@@ -1,13 +1,17 @@
-"""Session settings and the shared scratch folder."""
+"""Session settings, the shared scratch folder, and shipping of the package to the workers."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+PACKAGE = Path(__file__).resolve().parent
+
 
 def get_session(app: str = "dragoman", cpus: int | None = None, **conf: str) -> SparkSession:
     """A local session for tests and benches; on a cluster pass the platform's own session around."""
@@ -21,23 +25,48 @@ def get_session(app: str = "dragoman", cpus: int | None = None, **conf: str) ->
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # small inputs in few files are still cut for all cores, at the scan
+        .config("spark.sql.files.minPartitionNum", str(cpus))
+        .config("spark.sql.files.openCostInBytes", "65536")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder every executor can reach.
+def ship(spark: SparkSession) -> None:
+    """Hand the package to every Python worker of the session, once, as a zip that Spark serves."""
+    sc = spark.sparkContext
+    if getattr(sc, "_dragoman_shipped", False):
+        return
+    path = Path(tempfile.mkdtemp(prefix="dragoman-")) / "dragoman.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(PACKAGE.rglob("*.py")):
+            z.write(f, f"{PACKAGE.name}/{f.relative_to(PACKAGE)}")
+    sc.addPyFile(str(path))
+    sc._dragoman_shipped = True
+
 
-    The folder is the one named in ``spark.checkpoint.dir``. Only a local-mode session without that
-    setting falls back to the machine's temporary folder.
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables, on a file system that all executors share.
+
+    It lies in ``spark.checkpoint.dir``, and where that is not set (tests, a notebook) in the warehouse, which
+    is shared as well. ``clear_scratch`` removes it; nothing else does.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by the executors")
-        root = tempfile.mkdtemp(prefix="dragoman-")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A fresh path for one intermediate table."""
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables. Call it when no result reads them any more."""
+    jvm, path = spark._jvm, scratch_root(spark)
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

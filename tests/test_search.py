@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dragoman.functions import dims
+from dragoman.operators import blocks
 from dragoman.operators import search as S
 
 DOCS = [(i, t) for i, t in enumerate(
@@ -34,27 +35,53 @@ def brute_bm25(k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("pairs", [200_000, 2])
-def test_bm25_matches_brute_force_in_one_or_many_blocks(spark, monkeypatch, pairs):
-    monkeypatch.setattr(S, "MAX_QUERY_PAIRS", pairs)
-    docs = spark.createDataFrame(DOCS, "chunk_id long, text string").repartition(4)
-    asks = spark.createDataFrame(ASKS, "query_id long, text string")
-    # blocks hold whole queries because they are cut by the hash of the query
+@pytest.fixture
+def tiny_blocks(monkeypatch):
+    """Blocks of two rows, so that every search runs over many of them."""
+    whole = blocks.score_blocks
+
+    def small(*args, **named):
+        return whole(*args, **{**named, "per_item_block": 4, "per_query_block": 2})
+
+    def on():
+        monkeypatch.setattr(S, "score_blocks", small)
+
+    return on
+
+
+@pytest.mark.parametrize("tiny", [False, True])
+def test_bm25_matches_brute_force_in_one_or_many_blocks(spark, tiny_blocks, tiny):
+    if tiny:
+        tiny_blocks()
+    docs = spark.createDataFrame([*DOCS, (99, None), (98, "")], "chunk_id long, text string").repartition(4)
+    asks = spark.createDataFrame([*ASKS, (14, None)], "query_id long, text string")
     got = S.bm25_topk(docs, asks, 5).collect()
     assert sorted((r.query_id, r.chunk_id, r.rank) for r in got) == brute_bm25(5)
+    stored = S.bm25_over(S.index_terms(docs), asks, 5).collect()
+    assert sorted(map(str, stored)) == sorted(map(str, got))
 
 
-def test_vectors_ties_and_blocks(spark, monkeypatch):
+def test_vectors_ties_and_blocks(spark, tiny_blocks):
     rows = [(i, [1.0, 0.0] if i % 3 else [0.0, 1.0]) for i in range(60)]
     v = spark.createDataFrame(rows, "chunk_id long, embedding array<double>").repartition(5)
     q = spark.createDataFrame([(i, [1.0, 0.1 * i]) for i in range(9)], "query_id long, embedding array<double>")
-    top = S.vector_topk(v, q, 4).filter("query_id = 0").orderBy("rank").collect()
-    assert [r.chunk_id for r in top] == [1, 2, 4, 5]
-    monkeypatch.setattr(S, "CELLS", 8)
-    again = S.vector_topk(v, q, 4).filter("query_id = 0").orderBy("rank").collect()
-    assert [r.chunk_id for r in again] == [1, 2, 4, 5]
+
+    def best(**named):
+        return [r.chunk_id for r in S.vector_topk(v, q, 4, **named).filter("query_id = 1").orderBy("rank").collect()]
+
+    assert best() == [1, 2, 4, 5] and best(exclude_self=True) == [2, 4, 5, 7]
     few = S.vector_topk(v, q, 50, doc_filter=F.col("chunk_id") < 3)
     assert few.count() == 9 * 3
+    tiny_blocks()
+    assert best() == [1, 2, 4, 5] and best(exclude_self=True) == [2, 4, 5, 7]
+
+
+def test_search_plan_collects_nothing(spark, sf):
+    from dragoman.plans.q_search import as_queries, vectors
+
+    v = vectors(spark, sf)
+    plan = S.vector_topk(v, as_queries(v), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" not in plan and "LogicalRDD" not in plan
 
 
 def test_similarity(spark):
@@ -70,4 +97,5 @@ def test_approximate_search_finds_most_exact_neighbours(spark, sf):
     q = as_queries(v)
     exact = S.vector_topk(v, q, 10).select("query_id", "chunk_id")
     near = vector_topk_approx(v, q, 10).select("query_id", "chunk_id")
+    assert near.count() == 10 * q.count()
     assert near.join(exact, ["query_id", "chunk_id"]).count() / exact.count() > 0.85
