@@ -19,13 +19,20 @@ from dragoman.functions import dims
 HASH_DIM = 64
 
 # Suffix tables of the published 1980 suffix stripping algorithm.
-_STEP2 = (
-    "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e "
-    "ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous "
-    "aliti:al iviti:ive biliti:ble"
-)
-_STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
-_STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
+_STEP2 = [
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli",
+    "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation",
+    "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"),
+    ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+]
+_STEP3 = [
+    ("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness",
+    ""),
+]
+_STEP4 = [
+    "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism",
+    "ate", "iti", "ous", "ive", "ize",
+]
 
 
 def _shape(stem: str) -> str:
@@ -49,9 +56,8 @@ def _double(stem: str) -> bool:
     return len(stem) > 1 and stem[-1] == stem[-2] and _shape(stem)[-1] == "c"
 
 
-def _swap(word: str, table: str) -> str:
-    for pair in sorted(table.split(" "), key=lambda p: -len(p.split(":")[0])):
-        old, new = pair.split(":")
+def _swap(word: str, table: list[tuple[str, str]]) -> str:
+    for old, new in sorted(table, key=lambda p: -len(p[0])):
         if word.endswith(old):
             stem = word[: -len(old)]
             return stem + new if _measure(stem) > 0 else word
@@ -85,7 +91,7 @@ def porter(word: str) -> str:
     if word.endswith("y") and "v" in _shape(word[:-1]):
         word = word[:-1] + "i"
     word = _swap(_swap(word, _STEP2), _STEP3)
-    for suffix in sorted(_STEP4.split(" "), key=lambda s: -len(s)):
+    for suffix in sorted(_STEP4, key=lambda s: -len(s)):
         if word.endswith(suffix):
             stem = word[: -len(suffix)]
             if _measure(stem) > 1 and (suffix != "ion" or stem[-1:] in ("s", "t")):

@@ -36,32 +36,32 @@ EXCLUDED_CATEGORIES = ["news_events", "jobs", "community"]
 # Ordered category rules, first match wins. Site-specific host words are passed by the
 # caller as rules of its own.
 CATEGORY_RULES = [
-    ("admissions", "admis registr apply tuition fees scholarship financial"),
-    ("academics", "college faculty depart program course curriculum syllabus degree catalog"),
-    ("research", "research publication journal thesis dissertation graduate"),
-    ("student_life", "student club activit housing counseling career alumni"),
-    ("administration", "admin president board council senate procurement human-resources financial"),
-    ("library", "library"),
-    ("jobs", "jobs careers vacancies"),
-    ("about", "about history vision mission structure"),
-    ("documents", "handbook guide regulation bylaw policy"),
+    ("admissions", ["admis", "registr", "apply", "tuition", "fees", "scholarship", "financial"]),
+    ("academics", ["college", "faculty", "depart", "program", "course", "curriculum", "syllabus", "degree", "catalog"]),
+    ("research", ["research", "publication", "journal", "thesis", "dissertation", "graduate"]),
+    ("student_life", ["student", "club", "activit", "housing", "counseling", "career", "alumni"]),
+    ("administration", ["admin", "president", "board", "council", "senate", "procurement", "human-resources", "financial"]),
+    ("library", ["library"]),
+    ("jobs", ["jobs", "careers", "vacancies"]),
+    ("about", ["about", "history", "vision", "mission", "structure"]),
+    ("documents", ["handbook", "guide", "regulation", "bylaw", "policy"]),
 ]
 RELABEL_RULES = [
-    ("academics", "college faculty depart program course curriculum catalog"),
-    ("admissions", "admis registr tuition fees scholarship"),
-    ("research", "research thesis publication journal"),
-    ("student_life", "student housing club scholarship"),
-    ("administration", "admin president council senate"),
-    ("library", "library"),
-    ("about", "about history vision mission"),
+    ("academics", ["college", "faculty", "depart", "program", "course", "curriculum", "catalog"]),
+    ("admissions", ["admis", "registr", "tuition", "fees", "scholarship"]),
+    ("research", ["research", "thesis", "publication", "journal"]),
+    ("student_life", ["student", "housing", "club", "scholarship"]),
+    ("administration", ["admin", "president", "council", "senate"]),
+    ("library", ["library"]),
+    ("about", ["about", "history", "vision", "mission"]),
 ]
 
 # Intent labels.
-INTENTS = (
-    "faq_fees faq_registration faq_admission faq_graduation faq_scholarships schedule_exams "
-    "schedule_classes schedule_academic_calendar staff_info department_info course_info "
-    "library_info campus_services student_id_query greeting goodbye thanks unknown"
-).split()
+INTENTS = [
+    "faq_fees", "faq_registration", "faq_admission", "faq_graduation", "faq_scholarships", "schedule_exams",
+    "schedule_classes", "schedule_academic_calendar", "staff_info", "department_info", "course_info",
+    "library_info", "campus_services", "student_id_query", "greeting", "goodbye", "thanks", "unknown",
+]
 CANNED_INTENTS = ["greeting", "goodbye", "thanks", "capabilities"]
 CAPABILITY_INTENTS = ["what_can_you_do", "help", "capabilities", "features"]
 # Number of canned replies per pool, Arabic and English alike
@@ -113,24 +113,29 @@ ARABIC_STOPWORDS = [
     "اخبرني", "اخبر", "قل", "وضح", "شرح",
 ]
 # The common published English stop list.
-ENGLISH_STOPWORDS = (
-    "i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself "
-    "yourselves he him his himself she she's her hers herself it it's its itself they them their "
-    "theirs themselves what which who whom this that that'll these those am is are was were be "
-    "been being have has had having do does did doing a an the and but if or because as until "
-    "while of at by for with about against between into through during before after above below "
-    "to from up down in out on off over under again further then once here there when where why "
-    "how all any both each few more most other some such no nor not only own same so than too "
-    "very s t can will just don don't should should've now d ll m o re ve y ain aren aren't "
-    "couldn couldn't didn didn't doesn doesn't hadn hadn't hasn hasn't haven haven't isn isn't ma "
-    "mightn mightn't mustn mustn't needn needn't shan shan't shouldn shouldn't wasn wasn't weren "
-    "weren't won won't wouldn wouldn't"
-).split()
+ENGLISH_STOPWORDS = [
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "you're", "you've", "you'll", "you'd",
+    "your", "yours", "yourself", "yourselves", "he", "him", "his", "himself", "she", "she's", "her", "hers",
+    "herself", "it", "it's", "its", "itself", "they", "them", "their", "theirs", "themselves", "what",
+    "which", "who", "whom", "this", "that", "that'll", "these", "those", "am", "is", "are", "was", "were",
+    "be", "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing", "a", "an", "the",
+    "and", "but", "if", "or", "because", "as", "until", "while", "of", "at", "by", "for", "with", "about",
+    "against", "between", "into", "through", "during", "before", "after", "above", "below", "to", "from",
+    "up", "down", "in", "out", "on", "off", "over", "under", "again", "further", "then", "once", "here",
+    "there", "when", "where", "why", "how", "all", "any", "both", "each", "few", "more", "most", "other",
+    "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "s", "t", "can",
+    "will", "just", "don", "don't", "should", "should've", "now", "d", "ll", "m", "o", "re", "ve", "y", "ain",
+    "aren", "aren't", "couldn", "couldn't", "didn", "didn't", "doesn", "doesn't", "hadn", "hadn't", "hasn",
+    "hasn't", "haven", "haven't", "isn", "isn't", "ma", "mightn", "mightn't", "mustn", "mustn't", "needn",
+    "needn't", "shan", "shan't", "shouldn", "shouldn't", "wasn", "wasn't", "weren", "weren't", "won", "won't",
+    "wouldn", "wouldn't",
+]
 # Stop list of the English search field.
-SEARCH_STOPWORDS = (
-    "a an and are as at be but by for if in into is it no not of on or such that the their then "
-    "there these they this to was will with"
-).split()
+SEARCH_STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no",
+    "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to",
+    "was", "will", "with",
+]
 
 # Arabic affixes, tried in this order.
 ARABIC_PREFIXES = ["وال", "بال", "كال", "فال", "لل", "ال", "و", "ف", "ب", "ك", "ل", "س"]
@@ -151,10 +156,10 @@ DEPARTMENT_CODES = {
     "7": "Business Administration", "8": "Architecture", "9": "Pharmacy",
 }
 ID_YEAR_MIN, ID_YEAR_MAX = 10, 30
-COURSE_PREFIXES = (
-    "CS CIS IT ENGL MATH PHYS CHEM BIO BUS NURS PHAR ARCH CE EE ME IE SE AI DS NET SEC SC GE AB "
-    "ARE AC"
-).split()
+COURSE_PREFIXES = [
+    "CS", "CIS", "IT", "ENGL", "MATH", "PHYS", "CHEM", "BIO", "BUS", "NURS", "PHAR", "ARCH", "CE", "EE", "ME",
+    "IE", "SE", "AI", "DS", "NET", "SEC", "SC", "GE", "AB", "ARE", "AC",
+]
 # Academic status terms.
 STATUS_AR = [
     "ناجح", "راسب", "غير مجتاز", "مسجل حالياً", "لم يسجل", "منسحب", "مؤجل", "محول", "مفصول",

@@ -67,12 +67,12 @@ def quality_report(chunks: DataFrame, good: Column) -> DataFrame:
     )
 
 
-def first_rule(haystack: Column, rules: list[tuple[str, str]], default: str) -> Column:
+def first_rule(haystack: Column, rules: list[tuple[str, list[str]]], default: str) -> Column:
     """Label of the first rule one of whose words occurs in ``haystack``."""
     out = None
     for label, words in rules:
         hit = None
-        for w in words.split():
+        for w in words:
             c = haystack.contains(w)
             hit = c if hit is None else hit | c
         out = F.when(hit, label) if out is None else out.when(hit, label)
@@ -85,7 +85,7 @@ def assign_category(doc_name: Column, text: Column) -> Column:
 
 
 def recategorize(
-    df: DataFrame, rules: list[tuple[str, str]] = dims.RELABEL_RULES
+    df: DataFrame, rules: list[tuple[str, list[str]]] = dims.RELABEL_RULES
 ) -> DataFrame:
     """Relabel rows of category ``documents`` from url and title; other rows stay."""
     haystack = F.lower(F.concat_ws(" ", "url", "title"))
@@ -221,12 +221,12 @@ def sync_with_files(
     removal = F.when(matches_any(url, remove_patterns or []), "url_pattern").when(
         ~found, "file_deleted"
     )
-    return (
-        keyed.join(by_key, "_key", "left")
-        .join(by_raw, "_raw", "left")
-        .withColumn("removal", removal)
-        .drop("_key", "_raw", "_has_key", "_has_raw")
-    )
+    # rows without a key are never shuffled for it: they would meet in one partition
+    keys, raws = F.col("_key").isNotNull(), F.col("_raw").isNotNull()
+    has_key, has_raw = F.lit(None).cast("boolean").alias("_has_key"), F.lit(None).cast("boolean").alias("_has_raw")
+    first = keyed.filter(keys).join(by_key, "_key", "left").unionByName(keyed.filter(~keys).select("*", has_key))
+    second = first.filter(raws).join(by_raw, "_raw", "left").unionByName(first.filter(~raws).select("*", has_raw))
+    return second.withColumn("removal", removal).drop("_key", "_raw", "_has_key", "_has_raw")
 
 
 # ---------------------------------------------------------------- stored embeddings
@@ -244,12 +244,12 @@ def embedding_reuse(texts: DataFrame, cache: DataFrame, as_of: str) -> DataFrame
     fresh = cache.filter(
         F.col("cached_at") >= F.to_timestamp(F.lit(as_of)) - F.expr("INTERVAL 1 HOUR")
     ).select("key", F.lit(True).alias("_hit"))
-    return (
-        texts.withColumn("key", cache_key(F.col("text")))
-        .join(fresh.dropDuplicates(["key"]), "key", "left")
-        .withColumn("reused", F.coalesce("_hit", F.lit(False)))
-        .drop("_hit")
-    )
+    keyed = texts.withColumn("key", cache_key(F.col("text")))
+    # a text that occurs often is looked up once; the few keys found are then matched to the rows
+    found = keyed.select("key").distinct().join(fresh.distinct(), "key")
+    known = keyed.filter("key IS NOT NULL").join(found, "key", "left")
+    rows = known.unionByName(keyed.filter("key IS NULL").withColumn("_hit", F.lit(None).cast("boolean")))
+    return rows.withColumn("reused", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def embedding_evict(uses: DataFrame, capacity: int = 1000) -> DataFrame:

@@ -127,7 +127,8 @@ def run_evaluation(
     ``fixture`` is the output of ``readers.read_eval_fixture``; retrieval is scored only for examples
     that name relevant chunks, and is 0 when none does.
     """
-    keyed = fixture.withColumn("example", F.xxhash64("text", "intent"))
+    # a number per row, fixed by writing it: equal examples stay two
+    keyed = fixture.withColumn("example", F.monotonically_increasing_id())
     ex = cut(keyed.withColumn("clean", X.for_classification(F.col("text"))), "evaluation")
     pairs = I.predict_intent(ex.select("example", "clean"), model, "clean")
     truth = ex.select("example", F.col("intent").alias("truth"))
@@ -188,7 +189,7 @@ def process_batch(
     )
     routed = D.route_turns(predicted).select("session_id", "seq", "handled", "reason", "pool", "reply_index")
     rows = predicted.join(routed, ["session_id", "seq"]).withColumn(
-        "query_id", F.xxhash64("session_id", "seq")
+        "query_id", F.concat_ws(":", F.col("seq").cast("string"), F.col("session_id").cast("string"))
     )
     rows = cut(rows, "process-routed")
     open_ = rows.filter(~F.col("handled")).select("query_id", "text", "clean")

@@ -102,8 +102,9 @@ def token_report(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     )
 
 
-def vocabulary(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Term and document frequency. Counting (term, document) first keeps a frequent term from
-    landing whole in one task: the second step only sums one row per document, map-side first."""
-    per_doc = tokens.groupBy("token", id_col).agg(F.count("*").alias("tf"))
-    return per_doc.groupBy("token").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+def vocabulary(df: DataFrame, text: str = "text") -> DataFrame:
+    """Term and document frequency. Tokens are counted inside the document's row, so one row per
+    document and term is left, summed map-side first: a frequent term never lands whole in one task."""
+    per_doc = df.select(X.counted(X.tokens(F.col(text))).alias("t"))
+    rows = per_doc.select(F.explode_outer("t").alias("t")).filter("t IS NOT NULL")
+    return rows.groupBy("t.term").agg(F.sum("t.tf").alias("tf"), F.count("*").alias("df")).withColumnRenamed("term", "token")

@@ -87,7 +87,7 @@ NAME_WORDS = [
 def rules_sql(rules, haystack, default):
     arms = []
     for label, words in rules:
-        test = " OR ".join(f"contains({haystack}, '{w}')" for w in words.split())
+        test = " OR ".join(f"contains({haystack}, '{w}')" for w in words)
         arms.append(f"WHEN {test} THEN '{label}'")
     return "CASE " + " ".join(arms) + f" ELSE '{default}' END"
 
@@ -246,10 +246,9 @@ def language_tag(spark, sf):
 def language_detect(spark, sf):
     d = V.bilingual(spark, sf)
     one = V.table(spark, sf, "documents").filter("doc_id = 1").agg(F.max("text").alias("extra"))
-    # one row by construction: an ungrouped aggregate
-    mixed = d.join(F.broadcast(one), F.lit(True)).select(
+    mixed = d.select(
         "lang",
-        F.when(F.col("doc_id") % 4 == 0, F.concat("text", "extra")).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("doc_id") % 4 == 0, F.concat("text", one.scalar())).otherwise(F.col("text")).alias("text"),
     )
     out = mixed.select("lang", X.language_detect(F.col("text")).alias("detected"))
     return out.groupBy("lang", "detected").agg(F.count("*").alias("n"))

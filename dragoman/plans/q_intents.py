@@ -69,13 +69,13 @@ def threshold_intent(spark, sf):
 
 @query(
     "top_k_intents",
-    "WITH s AS (SELECT vec_id, unnest(range(10)) AS i, embedding FROM embeddings), x AS (SELECT vec_id, 'intent_' || i AS top_intent, round(embedding[i + 1]::DOUBLE, 6) AS score FROM s) "
+    "WITH s AS (SELECT vec_id, unnest(range(len(embedding))) AS i, embedding FROM embeddings), x AS (SELECT vec_id, 'intent_' || i AS top_intent, round(embedding[i + 1]::DOUBLE, 6) AS score FROM s) "
     "SELECT * FROM (SELECT vec_id, top_intent, score, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, top_intent)::INT AS rank FROM x) WHERE rank <= 3",
 )
 def top_k_intents(spark, sf):
     e = V.table(spark, sf, "embeddings")
-    names = F.array(*[F.lit(f"intent_{i}") for i in range(10)])
-    vals = F.transform(F.slice("embedding", 1, 10), lambda x: F.round(x.cast("double"), 6))
+    vals = F.transform("embedding", lambda x: F.round(x.cast("double"), 6))
+    names = F.transform("embedding", lambda _, i: F.concat(F.lit("intent_"), i.cast("string")))
     p = e.select("vec_id", F.map_from_arrays(names, vals).alias("all_scores"))
     return I.top_k_intents(p)
 

@@ -306,10 +306,11 @@ def response_screen(spark, sf):
     return s.select("conv_id", "turn", "s.refusal", "s.minimal", F.md5(F.col("s.text").cast("binary")).alias("digest"))
 
 
-@query(
-    "retrieval_answers",
-    f"WITH {SOURCES_SQL}, {CONF} SELECT query_id, answer, n_sources, confidence, context_used FROM attributed JOIN conf USING (query_id)",
-)
+ANSWERS_SQL = f"WITH {SOURCES_SQL}, {CONF} SELECT query_id, answer, n_sources, confidence, context_used FROM attributed JOIN conf USING (query_id)"
+
+
+@query("retrieval_pipeline", ANSWERS_SQL)
+@query("retrieval_answers", ANSWERS_SQL)
 def retrieval_answers(spark, sf):
     q = queries(spark, sf)
     ctx = context(spark, sf)

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from dragoman.operators import usage as U
 from dragoman.plans import views as V
+from dragoman.plans.q_chunking import with_structure
 from dragoman.plans.q_dialogue import ROUTED
-from dragoman.plans.q_filters import STRICT_SQL
+from dragoman.plans.q_service import ingest_sql
 from dragoman.plans.registry import query
 from dragoman.session import scratch_dir
 from dragoman.streaming import jobs as J
@@ -74,14 +75,13 @@ def stream_routing(spark, sf):
 
 @query(
     "stream_ingest",
-    f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents) "
-    f"SELECT 'doc' || doc_id AS doc_name, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM l WHERE {STRICT_SQL} GROUP BY doc_id",
+    f"WITH RECURSIVE {ingest_sql('FALSE')} SELECT doc_name, count(*) AS n, sum(length(t))::BIGINT AS n_chars, max(chunk_index)::INT AS last FROM kept_rows GROUP BY doc_name",
 )
 def stream_ingest(spark, sf):
     d = J.read_table_stream(spark, sf, "documents")
-    docs = d.select(F.concat(F.lit("doc"), "doc_id").alias("doc_name"), "text")
+    docs = with_structure(d).select(F.concat(F.lit("doc"), "doc_id").alias("doc_name"), "text")
     store = J.stream_ingest(docs, scratch_dir(spark, "ingest"))
-    return store.groupBy("doc_name").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
+    return store.groupBy("doc_name").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"), F.max("chunk_index").alias("last"))
 
 
 @query("stream_dedup")
@@ -96,5 +96,5 @@ def stream_dedup(spark, sf):
     f"WITH {V.EVENT_TURNS} SELECT epoch_us(date_trunc('hour', ts)) AS start_us, intent, count(*) AS n FROM event_turns GROUP BY ALL",
 )
 def stream_stats(spark, sf):
-    out = J.stats_to_files(J.stream_stats(timed(spark, sf)), scratch_dir(spark, "stats"))
+    out = J.stats_to_files(J.stream_stats(timed(spark, sf)), scratch_dir(spark, "stats"), ["start", "intent"])
     return out.select(F.unix_micros("start").alias("start_us"), "intent", "n")

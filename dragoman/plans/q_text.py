@@ -182,7 +182,7 @@ def token_report(spark, sf):
     f"WITH {TOKENS} SELECT token, count(*) AS tf, count(DISTINCT doc_id) AS df FROM tokens GROUP BY token",
 )
 def vocabulary(spark, sf):
-    return T.vocabulary(T.tokenize(corpus(spark, sf)))
+    return T.vocabulary(corpus(spark, sf))
 
 
 @query(

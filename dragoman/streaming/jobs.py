@@ -1,11 +1,12 @@
 """Structured Streaming jobs: the per-key states of the chat service as streams.
 
-Every job writes files below a scratch or given path with its checkpoint next to it, so a restarted
-query continues where it stopped.
+Every job writes files below a given path on a shared file system with its checkpoint next to it, so a
+restarted query continues where it stopped. A trigger reads a bounded number of files.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,10 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from dragoman.functions import dims
-from dragoman.operators import corpus as C
+from dragoman.operators import service
 from dragoman.operators.scale import running, with_previous
 
 LATE = "10 minutes"
+FILES_PER_TRIGGER = 16
 RATE_SCHEMA = "client long, seq long, us long, accepted boolean"
 ROUTE_SCHEMA = "session_id long, seq long, reason string, handled boolean"
 
@@ -25,7 +27,8 @@ ROUTE_SCHEMA = "session_id long, seq long, reason string, handled boolean"
 def read_table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Stream of a parquet table's files."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet*").parquet(folder)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER)
+    return reader.option("pathGlobFilter", f"{name}.parquet*").parquet(folder)
 
 
 def run_to_files(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
@@ -82,11 +85,18 @@ def stream_dedup(events: DataFrame, within: str = "1 hour") -> DataFrame:
 # ---------------------------------------------------------------- rate limit
 
 
-def _accept(times: list[int], at: int, limit: int, width: int) -> tuple[list[int], bool]:
-    """Accepted times still inside the window after one request, and whether it is accepted."""
-    times = [t for t in times if at - t < width]
-    ok = len(times) < limit
-    return (times + [at] if ok else times), ok
+class Gate:
+    """Trailing-window limit: a request passes unless the ``limit``-th last accepted one is still inside the
+    window. Only accepted times are held, at most ``limit`` of them."""
+
+    def __init__(self, limit: int, width: int, accepted: list[int] | None = None):
+        self.width, self.ring = width, deque(accepted or [], maxlen=limit)
+
+    def __call__(self, at: int) -> bool:
+        full = len(self.ring) == self.ring.maxlen and at - self.ring[0] < self.width
+        if not full:
+            self.ring.append(at)
+        return not full
 
 
 def stream_rate_limit(
@@ -94,23 +104,26 @@ def stream_rate_limit(
 ) -> DataFrame:
     """Accept at most ``limit`` requests per client in the trailing window; rejected ones do not count.
 
-    ``requests`` has (client, seq, us). State is the accepted times of the window, at most ``limit``.
+    ``requests`` has (client, seq, us). State is the accepted times of the window, at most ``limit``; it goes
+    once the watermark has passed the window of the last accepted request. Requests are taken in time order
+    within a trigger; one that arrives in a later trigger is judged after those already answered.
     """
     width = seconds * 1_000_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
-        # one micro-batch of one client, in time order
+        if state.hasTimedOut:
+            state.remove()
+            return
+        gate = Gate(limit, width, list(state.get[0]) if state.exists else None)
         rows = pd.concat(batches).sort_values(["us", "seq"])
-        accepted = []
-        for at in rows["us"]:
-            times, ok = _accept(times, int(at), limit, width)
-            accepted.append(ok)
-        state.update((times,))
-        yield rows.assign(accepted=accepted)[["client", "seq", "us", "accepted"]]
-
-    return requests.groupBy("client").applyInPandasWithState(
-        step, RATE_SCHEMA, "times array<long>", "append", GroupStateTimeout.NoTimeout
+        passed = [gate(at) for at in rows["us"].tolist()]
+        state.update((list(gate.ring),))
+        state.setTimeoutTimestamp(max((gate.ring[-1] + width) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield rows.assign(accepted=passed)[["client", "seq", "us", "accepted"]]
+
+    timed = requests.withColumn("at", F.timestamp_micros("us")).withWatermark("at", LATE)
+    return timed.groupBy("client").applyInPandasWithState(
+        step, RATE_SCHEMA, "times array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -130,15 +143,14 @@ def rate_limit(
     ).select("client", "stretch", "seq", "us")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, times = None, []
+        current, gate = None, None
         for rows in batches:
-            accepted = []
+            passed = []
             for client, stretch, at in zip(rows["client"], rows["stretch"], rows["us"], strict=True):
                 if (client, stretch) != current:
-                    current, times = (client, stretch), []
-                times, ok = _accept(times, int(at), limit, width)
-                accepted.append(ok)
-            yield rows.assign(accepted=accepted)[["client", "seq", "us", "accepted"]]
+                    current, gate = (client, stretch), Gate(limit, width)
+                passed.append(gate(int(at)))
+            yield rows.assign(accepted=passed)[["client", "seq", "us", "accepted"]]
 
     ordered = placed.repartition("client", "stretch").sortWithinPartitions("client", "stretch", "us", "seq")
     return ordered.mapInPandas(walk, RATE_SCHEMA)
@@ -147,47 +159,47 @@ def rate_limit(
 # ---------------------------------------------------------------- routing
 
 
+def reason_of(intent: str, confidence: float, low: int, falls: int, threshold: float) -> str:
+    """Reason of a turn that is not an escalation: the first line of the table that holds."""
+    table = (
+        (f"canned:{intent}", intent in dims.CANNED_INTENTS and confidence >= 0.35),
+        ("capabilities", intent in dims.CAPABILITY_INTENTS),
+        (f"low_confidence:{low}", confidence < threshold),
+        ("fallback_escalation", intent == "fallback" and falls >= 2),
+        ("fallback", intent == "fallback"),
+        ("unknown_intent", intent == "unknown"),
+    )
+    return next((name for name, holds in table if holds), f"rag:{intent}")
+
+
 def stream_routing(
-    turns: DataFrame, threshold: float = dims.LOW_CONFIDENCE, minutes: int = dims.SESSION_MINUTES
+    turns: DataFrame, threshold: float = dims.LOW_CONFIDENCE, minutes: int = dims.SESSION_MINUTES, patience: int = 3
 ) -> DataFrame:
     """Routing with live state per session: (session_id, seq, ts, intent, confidence) to reasons.
 
-    State: low counter, fallback counter, time of the last counted turn. It goes when the session has
-    been idle past the watermark.
+    State: length of the run of bad turns, length of the run of fallbacks, time of the last counted turn. The
+    turn after ``patience`` bad ones is an escalation, which ends both runs and is not counted. The state goes
+    when the session has been idle past the watermark.
     """
     idle = minutes * 60_000_000
 
-    def decide(intent: str, confidence: float, low: int, falls: int) -> tuple[str, int, int]:
-        bad = intent in ("fallback", "unknown") or confidence < 0.4
-        low = low + 1 if bad else 0
-        falls = falls + 1 if intent == "fallback" else 0
-        if intent in dims.CANNED_INTENTS and confidence >= 0.35:
-            return f"canned:{intent}", low, falls
-        if intent in dims.CAPABILITY_INTENTS:
-            return "capabilities", low, falls
-        if confidence < threshold:
-            return f"low_confidence:{low}", low, falls
-        if intent == "fallback":
-            return ("fallback_escalation", low, 0) if falls >= 2 else ("fallback", low, falls)
-        return ("unknown_intent" if intent == "unknown" else f"rag:{intent}"), low, falls
-
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         low, falls, active = state.get if state.exists else (0, 0, None)
         rows = pd.concat(batches).sort_values(["us", "seq"])
+        bad = rows["intent"].isin(["fallback", "unknown"]) | (rows["confidence"] < 0.4)
         reasons = []
-        for at, intent, confidence in zip(rows["us"], rows["intent"], rows["confidence"], strict=True):
-            if active is not None and at - active > idle:
-                low, falls, active = 0, 0, None
-            if low >= 3:
-                low, falls = 0, 0
-                reasons.append("escalation")
-                continue
-            reason, low, falls = decide(intent, float(confidence), low, falls)
-            active = int(at)
-            reasons.append(reason)
+        for at, intent, confidence, weak in zip(rows["us"].tolist(), rows["intent"], rows["confidence"].tolist(), bad, strict=True):
+            awake = active is None or at - active <= idle
+            low, falls = (low, falls) if awake else (0, 0)
+            tired = low == patience
+            low = 0 if tired or not weak else low + 1
+            falls = falls + 1 if intent == "fallback" and not tired else 0
+            reasons.append("escalation" if tired else reason_of(intent, confidence, low, falls, threshold))
+            falls = 0 if reasons[-1] == "fallback_escalation" else falls
+            active = active if tired else at
         state.update((low, falls, active))
         until = (int(rows["us"].max()) + idle) // 1000
         state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
@@ -203,37 +215,40 @@ def stream_routing(
 # ---------------------------------------------------------------- ingest
 
 
-def stream_ingest(documents: DataFrame, path: str) -> DataFrame:
-    """Chunk, gate and store uploads (doc_name, text) as they arrive; returns the current chunks.
+def stream_ingest(documents: DataFrame, path: str, strategy: str = "contextual") -> DataFrame:
+    """Ingest uploads (doc_name, text, ...) as they arrive; returns the current chunks.
 
-    Each micro-batch is one folder named by its number, rewritten whole on a retry. A reader takes,
-    per document, the chunks of its newest batch, so an upload replaces the earlier version.
+    Each trigger runs the batch job: chunker, gate, category, ids and metadata. Its chunks and the names of its
+    documents go to one folder named by its number, rewritten whole on a retry. A later upload of a document
+    replaces its chunks by their ids.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        parts = F.filter(F.split("text", "\\n"), lambda x: (F.trim(x) != "") & C.strict_quality(x))
-        rows = batch.select("doc_name", parts.alias("p")).select(
-            "doc_name", F.posexplode_outer("p").alias("chunk_index", "text")
-        )
-        rows = rows.withColumn("chunk_id", C.chunk_id(F.col("doc_name"), F.col("chunk_index")))
-        rows.write.mode("overwrite").parquet(f"{path}/store/batch={number}")
+        # of a name uploaded twice in one trigger, one text stays
+        once = batch.dropDuplicates(["doc_name"])
+        chunks, status = service.ingest_corpus(once, strategy=strategy)
+        chunks.write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
+        status.select("doc_name").write.mode("overwrite").parquet(f"{path}/names/batch={number}")
 
     run_batches(documents, path, write, "append")
-    return current_chunks(documents.sparkSession, f"{path}/store")
+    return current_chunks(documents.sparkSession, path)
 
 
 def current_chunks(spark: SparkSession, path: str) -> DataFrame:
-    store = spark.read.parquet(path)
-    newest = store.groupBy("doc_name").agg(F.max("batch").alias("batch"))
-    # a document without chunks left one marker row with a null index
-    return store.join(newest, ["doc_name", "batch"], "left_semi").filter("chunk_index IS NOT NULL")
+    """Chunks of each document's newest batch; the names are few next to the chunks."""
+    newest = spark.read.parquet(f"{path}/names").groupBy("doc_name").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{path}/chunks").join(newest, ["doc_name", "batch"], "left_semi")
 
 
-def stats_to_files(stream: DataFrame, path: str) -> DataFrame:
-    """Complete-mode results, rewritten as one small table per trigger."""
+def stats_to_files(stream: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Update-mode results: each trigger writes the rows that changed, a reader takes the newest of each key.
+    A retried trigger rewrites its own folder, and windows behind the watermark leave the state."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/data")
+        batch.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
 
-    run_batches(stream, path, write, "complete")
-    return stream.sparkSession.read.parquet(f"{path}/data")
+    run_batches(stream, path, write, "update")
+    rows = stream.sparkSession.read.parquet(f"{path}/data")
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
+    return newest.select(*keys, "v.*")
