@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dragoman.functions import dims
 from dragoman.functions import text as X
 from dragoman.functions.arrow import hash_vector
-from dragoman.operators.search import postings
+from dragoman.operators.ranking import merge_candidates
+from dragoman.operators.search import bm25_over, index_terms, postings, vector_topk
 
 
 def write_chunk_store(chunks: DataFrame, root: str) -> None:
@@ -20,12 +22,20 @@ def write_chunk_store(chunks: DataFrame, root: str) -> None:
     vectors = stored.select("chunk_id", hash_vector(X.search_terms(F.col("text"))).alias("embedding"))
     vectors.write.mode("overwrite").parquet(f"{root}/vectors")
     postings(stored).write.mode("overwrite").partitionBy("field").parquet(f"{root}/postings")
+    index_terms(stored).write.mode("overwrite").parquet(f"{root}/index")
 
 
 def read_store(spark: SparkSession, root: str, part: str = "chunks") -> DataFrame:
     return spark.read.parquet(f"{root}/{part}")
 
 
+def search_store(spark: SparkSession, root: str, queries: DataFrame, k: int = dims.POOL_SIZE) -> DataFrame:
+    """Merged keyword and vector hits over what is stored: no text is read or tokenised again."""
+    bm25 = bm25_over(read_store(spark, root, "index"), queries, k)
+    asks = queries.select("query_id", hash_vector(X.search_terms(F.col("text"))).alias("embedding"))
+    return merge_candidates(bm25, vector_topk(read_store(spark, root, "vectors"), asks, k))
+
+
 def rewrite_corpus(records: DataFrame, root: str, version: str) -> str:
     """Write a new version next to the old ones, which stay as the backup; an existing version is
     never overwritten."""
