@@ -29,8 +29,8 @@ from dragoman.llm.common import cut
 
 LENGTH = 4096
 END_ID = 2
-#: Tokens of so many distinct words are kept in a worker.
-MEMO = 400_000
+#: Pieces of which a worker keeps the ids (twice that at most, while old ones are still used).
+MEMO = 600_000
 
 
 def default_tokenizer() -> str:
@@ -43,25 +43,72 @@ class Encoder:
     """Token ids of texts as little-endian integers.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its pieces
-    between plain spaces and line ends; pieces are looked up, new ones encoded together.
+    between plain spaces and line ends; pieces are looked up, new ones encoded together. A stop or comma after a
+    letter is always a token of its own and ASCII case is folded, so such forms are made of known pieces. Of the
+    pieces looked up, those used since the last turn of the memo are kept.
     """
 
     def __init__(self, path: str, width: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {"": b""}
-        self.width = width
+        self.tokenizer, self.width = Tokenizer.from_file(path), width
+        self.memo, self.before = {"": b""}, {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.marks = {m: self._ids([m])[0] for m in ".,"}
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """A piece of letters only is one word, whose last id is a word's end: such pieces are encoded as one
+        text and cut at the ends. Should these not add up, as with any other piece, each is encoded alone."""
+        out: dict[str, bytes] = {}
+        plain = [p for p in pieces if p.isalpha()]
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, self.width)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(plain):
+                raw, size = ids.tobytes(), ids.itemsize
+                out = dict(zip(plain, (raw[a:b] for a, b in zip([0, *(stops[:-1] * size).tolist()], (stops * size).tolist(), strict=True)), strict=True))
+        rest = [p for p in pieces if p not in out]
+        alone = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        out.update(zip(rest, (np.array(e.ids, self.width).tobytes() for e in alone), strict=True))
+        return [out[p] for p in pieces]
+
+    def _learn(self, pieces: set[str]) -> None:
+        memo, before, plain, new = self.memo, self.before, {}, set()
+        for w in pieces:
+            if w in before:
+                memo[w] = before[w]
+                continue
+            mark = w[-1] if w[-1] in self.marks and w[-2:-1].isalpha() else ""
+            stem = w[:-1] if mark else w
+            if stem.isascii():
+                stem = stem.lower()
+            plain[w] = stem, mark
+            if stem not in memo and stem not in before:
+                new.add(stem)
+        new = list(new)
+        memo.update(zip(new, self._ids(new), strict=True))
+        for w, (stem, mark) in plain.items():
+            ids = memo[stem] if stem in memo else before[stem]
+            memo[w] = ids + self.marks[mark] if mark else ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.memo) > MEMO:
-            self.memo = {"": b""}
-        memo = self.memo
-        new = [w for w in {w for p in pieces for w in p} if w not in memo]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memo[w] = np.array(e.ids, self.width).tobytes()
-        return [b"".join(map(memo.__getitem__, p)) for p in pieces]
+            self.memo, self.before = {"": b""}, self.memo
+        self._learn(set().union(*pieces) - self.memo.keys())
+        known = self.memo.__getitem__
+        return [b"".join(map(known, p)) for p in pieces]
+
+
+_encoders: dict[tuple[str, str], Encoder] = {}
+
+
+def _encoder(path: str, width: str) -> Encoder:
+    """The worker's encoder: what one task has learnt serves the next."""
+    if (path, width) not in _encoders:
+        _encoders[path, width] = Encoder(path, width)
+    return _encoders[path, width]
 
 
 def _tokenize(path: str, width: str):
@@ -71,7 +118,7 @@ def _tokenize(path: str, width: str):
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part, row = Encoder(path, width), TaskContext.get().partitionId(), 0
+        encoder, part, row = _encoder(path, width), TaskContext.get().partitionId(), 0
         end, size = np.array([END_ID], width).tobytes(), np.dtype(width).itemsize
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
