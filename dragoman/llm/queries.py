@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dragoman.llm import jaccard, language, lines, mixing, neighbours, packing, quality, secrets, substring_dedup, warc
 from dragoman.llm.common import read
+from dragoman.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,7 +17,11 @@ SPLIT = r"[\x20\x09-\x0D]+"
 
 def query(key: str, sql: str | None = None):
     def register(fn):
-        QUERIES[key] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[key] = run
         if sql is not None:
             ORACLES[key] = sql
         return fn
