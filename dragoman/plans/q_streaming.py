@@ -84,11 +84,16 @@ def stream_ingest(spark, sf):
     return store.groupBy("doc_name").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"), F.max("chunk_index").alias("last"))
 
 
-@query("stream_dedup")
+# every copy lies in the first trigger, so one row per hash is left, whichever arrives first
+@query(
+    "stream_dedup",
+    f"WITH {V.EVENT_TURNS} SELECT md5(session_id || ':' || intent || ':' || (k % 10)) AS content_hash, count(DISTINCT k % 10) AS n FROM event_turns GROUP BY ALL",
+)
 def stream_dedup(spark, sf):
     t = timed(spark, sf)
     h = F.md5(F.concat_ws(":", "session_id", "intent", F.col("k") % 10).cast("binary"))
-    return J.run_to_files(J.stream_dedup(t.withColumn("content_hash", h)), scratch_dir(spark, "dedup"))
+    out = J.run_to_files(J.stream_dedup(t.withColumn("content_hash", h)), scratch_dir(spark, "dedup"))
+    return out.groupBy("content_hash").agg(F.count("*").alias("n"))
 
 
 @query(

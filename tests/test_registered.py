@@ -12,6 +12,9 @@ TABLES = "documents embeddings pages benchmark labels conversations events order
 KEYS = [
     "quality_report", "recategorize", "normalize_arabic", "content_dedup", "sync_with_files", "stratified_split",
     "per_class_f1", "session_list", "delete_sessions", "feedback_summary", "chunk_semantic", "stream_sessions",
+    "mrr", "evaluation_report", "extract_blocks", "chunk_char", "vocabulary", "build_postings", "hybrid_topk",
+    "embedding_reuse", "language_detect", "top_k_intents", "ingest_chunks", "stream_ingest", "stream_stats",
+    "stream_rate_limit", "stream_routing", "stream_dedup", "route_turns",
 ]
 
 
