@@ -1,11 +1,7 @@
-"""Connected components of an edge table, and groups of a sorted stream."""
+"""Connected components of an edge table."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,27 +31,3 @@ def components(edges: DataFrame) -> DataFrame:
         e = cut(small.select(F.inline(pairs)).filter("a <> b").distinct(), "edges-small")
     roots = e.select(F.col("b").alias("node")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots.select("node", F.col("node").alias("root")))
-
-
-def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Tables of equal values in the first ``keys`` columns of a stream sorted by them."""
-    held: list[pa.RecordBatch] = []
-    held_key = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        changed = None
-        for c in range(keys):
-            col = batch.column(c)
-            differs = pc.not_equal(col.slice(1), col.slice(0, len(col) - 1))
-            changed = differs if changed is None else pc.or_(changed, differs)
-        heads = [0, *(pc.indices_nonzero(changed).to_numpy() + 1).tolist(), batch.num_rows]
-        for a, b in zip(heads[:-1], heads[1:], strict=True):
-            key = tuple(batch.column(c)[a].as_py() for c in range(keys))
-            if held and key != held_key:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            held_key = key
-    if held:
-        yield pa.Table.from_batches(held)

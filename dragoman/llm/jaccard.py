@@ -25,8 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dragoman.llm.common import cut, fresh
-from dragoman.llm.graph import components, runs
+from dragoman.llm.graph import components
 from dragoman.llm.symbols import Rolling, U, Words, mix, slices
+from dragoman.operators.blocks import runs
 
 SHINGLE = 5
 #: Similarity as a fraction, so that the test is exact.
@@ -110,7 +111,7 @@ def _verify(threshold: tuple[int, int]):
             doc, tag, weight = group["doc"].to_numpy(), group["tag"].to_numpy(), group["weight"].to_numpy()
             sets = [np.frombuffer(b.as_buffer(), U) for b in group["shingles"].combine_chunks()] if len(group) else []
             size = np.array([len(s) for s in sets])
-            _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+            vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
             ends = np.cumsum(size)
             order = np.lexsort((tag, doc))
             rank = np.empty(len(order), np.int64)
@@ -123,7 +124,7 @@ def _verify(threshold: tuple[int, int]):
             # the right side lies together: its ids, and where each set begins
             r_ids = np.concatenate([ids[ends[j] - size[j] : ends[j]] for j in right])
             r_head = np.cumsum(size[right]) - size[right]
-            mark = np.zeros(len(_), np.int32)
+            mark = np.zeros(len(vocabulary), np.int32)
             links = np.zeros(len(sets), np.int64)
             parent = np.arange(len(sets))
 

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dragoman.llm.common import cut
-from dragoman.llm.graph import runs
+from dragoman.operators.blocks import runs
 
 K = 5
 SAMPLE, ITERATIONS, SEED = 20_000, 12, 11
