@@ -41,7 +41,7 @@ def test_ten_operators():
 
 
 def plain_lines(rows):
-    """Texts without the lines that an earlier line matches; documents that keep no word go."""
+    """Texts without the lines that an earlier line matches."""
     known = sorted((d, i, frozenset(words(x))) for d, t in rows.items() for i, x in enumerate(t.split("\n")) if words(x))
     index, gone = defaultdict(list), defaultdict(set)
     for at, (d, i, s) in enumerate(known):
@@ -50,8 +50,7 @@ def plain_lines(rows):
             gone[d].add(i)
         for w in s:
             index[w].append(at)
-    out = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in rows.items()}
-    return {d: t for d, t in out.items() if words(t)}
+    return {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in rows.items()}
 
 
 def plain_groups(rows):
