@@ -177,7 +177,8 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     symbols = groups.groupBy(F.col("symbol").alias("s_symbol")).agg(
         F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("context").alias("c_lo"), F.max("context").alias("c_hi")
     )
-    shared = symbols.filter("lo < hi").select("s_symbol", "lo", (F.col("c_lo") == F.col("c_hi")).alias("single"))
+    # both sides of this join, and of those below, are plain tables: a symbol held everywhere can then be split
+    shared = cut(symbols.filter("lo < hi").select("s_symbol", "lo", (F.col("c_lo") == F.col("c_hi")).alias("single")), "repeat-symbols")
     rows = groups.join(shared, F.col("symbol") == F.col("s_symbol")).drop("s_symbol")
     rows = cut(rows, "repeat-shared")
     plain = rows.filter("single AND doc > lo").select("doc", "place", "n")
@@ -192,7 +193,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     wanted = texts.join(asked, (F.col("doc") == F.col("r_doc")) & (F.col("tag") == F.col("r_tag")))
     single = cut(wanted.select("doc", "tag", "text", "ranges").mapInArrow(_windows(window), "h1 long, h2 long, doc long, place long"), "repeat-windows")
     earliest = single.groupBy(F.col("h1").alias("w1"), F.col("h2").alias("w2")).agg(F.min("doc").alias("w_lo"), F.max("doc").alias("w_hi"))
-    earliest = earliest.filter("w_lo < w_hi").drop("w_hi")
+    earliest = cut(earliest.filter("w_lo < w_hi").drop("w_hi"), "repeat-earliest")
     inner = single.join(earliest, (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2"))).filter("doc > w_lo")
     return plain.unionAll(later.select("doc", "place", "n")).unionAll(inner.select("doc", "place", F.lit(1).cast("long").alias("n")))
 
