@@ -54,8 +54,8 @@ def plain_lines(rows):
 
 
 def plain_groups(rows):
-    """Least document of every group of similar ones."""
-    sets = {d: {tuple(words(t)[j : j + 5]) for j in range(max(1, len(words(t)) - 4))} for d, t in rows.items()}
+    """Least document of every group of similar ones; a document without words is a group of its own."""
+    sets = {d: {tuple(words(t)[j : j + 5]) for j in range(max(1, len(words(t)) - 4))} if words(t) else set() for d, t in rows.items()}
     index, root = defaultdict(list), {d: d for d in rows}
 
     def top(x):
