@@ -10,8 +10,8 @@ border (its symbol) and of all words that the windows cover (its context).
 1. Symbols held by one document only cannot repeat; they go in one aggregation.
 2. For shared symbols, the smallest document of each context is kept; in any other document of the context all
    windows of the group repeat.
-3. Where a symbol has several contexts, the windows of each context's smallest document are fingerprinted one
-   by one and compared the same way.
+3. Where a symbol has several contexts, the windows of each context's smallest document, at every place where it
+   has the context, are fingerprinted one by one and compared the same way.
 
 Results equal the window definition, up to collisions of two independent 64-bit fingerprints. All
 aggregations are minima, so a passage that a third of the documents share is reduced before it is shuffled;
@@ -184,12 +184,18 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     plain = rows.filter("single AND doc > lo").select("doc", "place", "n")
     several = rows.filter("NOT single").drop("lo", "single")
     first = several.groupBy(F.col("symbol").alias("f_symbol"), F.col("context").alias("f_context")).agg(
-        F.min(F.struct("doc", "place", "n")).alias("first"), F.max("doc").alias("last")
+        F.min(F.struct("doc", "place", "n")).alias("first"), F.max("doc").alias("last"),
+        F.max(F.struct(F.bitwise_not("doc").alias("doc"), "place")).alias("end"),  # the last place in the first document
     )
     first = cut(first, "repeat-contexts")
     again = first.filter("last > first.doc").select("f_symbol", "f_context", F.col("first.doc").alias("f_doc"))
     later = several.join(again, (F.col("symbol") == F.col("f_symbol")) & (F.col("context") == F.col("f_context"))).filter("doc > f_doc")
-    asked = _per_document(first.select("first.*"))
+    # further places of a context in its first document, which may repeat other contexts of earlier documents
+    inside = first.filter("end.place > first.place").select("f_symbol", "f_context", F.col("first.doc").alias("f_doc"), F.col("first.place").alias("f_place"))
+    inside = cut(inside, "repeat-inside")
+    same = (F.col("symbol") == F.col("f_symbol")) & (F.col("context") == F.col("f_context")) & (F.col("doc") == F.col("f_doc"))
+    more = several.join(inside, same).filter("place > f_place").select("doc", "place", "n")
+    asked = _per_document(first.select("first.*").unionAll(more))
     wanted = texts.join(asked, (F.col("doc") == F.col("r_doc")) & (F.col("tag") == F.col("r_tag")))
     single = cut(wanted.select("doc", "tag", "text", "ranges").mapInArrow(_windows(window), "h1 long, h2 long, doc long, place long"), "repeat-windows")
     earliest = single.groupBy(F.col("h1").alias("w1"), F.col("h2").alias("w2")).agg(F.min("doc").alias("w_lo"), F.max("doc").alias("w_hi"))

@@ -37,6 +37,31 @@ def test_a_row_for_every_row(docs, awkward, name):
     assert got == Counter(r[0] for r in awkward)
 
 
+def test_substring_removal_where_documents_repeat_themselves(spark):
+    def fill(name, n):
+        return [f"{name}{i}" for i in range(n)]
+
+    p = fill("p", 60)
+    q = fill("c", 60) + p + fill("d", 60)
+    rows = [(1, " ".join(fill("a", 60) + p + fill("b", 60))), (2, " ".join([*q, "x", *q])), (3, " ".join(q)), (4, " ".join(q + fill("y", 9) + q + q))]
+    r = fill("e", 60) + fill("r", 60) + fill("f", 60)
+    rows += [(5, " ".join(fill("g", 60) + fill("r", 60) + fill("h", 60)))] + [(None, " ".join([*fill(f"n{i}", 20), *r, "z", *r])) for i in range(3)] * 2
+    least, want = {}, Counter()
+    texts = [(float("inf") if d is None else d, words(t)) for d, t in rows]
+    for d, w in texts:
+        for i in range(len(w) - 49):
+            k = tuple(w[i : i + 50])
+            least[k] = min(least.get(k, float("inf")), d)
+    for d, w in texts:
+        keep = [True] * len(w)
+        for i in range(len(w) - 49):
+            if least[tuple(w[i : i + 50])] < d:
+                keep[i : i + 50] = [False] * 50
+        want[None if d == float("inf") else d, len(w), " ".join(x for x, k in zip(w, keep) if k)] += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter((r.doc_id, r.n_words, r.kept_text) for r in substring_dedup.remove_repeats(docs).collect()) == want
+
+
 def test_substring_removal(docs, awkward):
     least = {}
     texts = [(float("inf") if r[0] is None else r[0], words(r[1])) for r in awkward]
