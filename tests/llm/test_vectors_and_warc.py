@@ -2,6 +2,7 @@ import base64
 import glob
 import gzip
 import hashlib
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -56,6 +57,36 @@ def test_nearest(spark, vectors, monkeypatch):
     assert [f[1] for f in got[0]] == [600, 601, 602, 603, 604]  # ties go to the smaller id
 
 
+def test_repeated_query_rows(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 100)
+    monkeypatch.setattr(neighbours, "CHUNK", 4)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(a)) for a in rng.normal(size=8)]) for i in range(400)]
+    other = [float(np.float32(a)) for a in rng.normal(size=8)]
+    table = rows + [rows[0]] * 60 + [rows[100]] * 4 + [(50, other)] * 2
+    got = {}
+    for r in neighbours.nearest(frame(spark, table).repartition(3)).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    ids, x = np.array([i for i, _ in table]), np.array([v / np.linalg.norm(v) for _, v in table])
+    hit = total = 0
+    for q in range(0, 400, 50):
+        lists = []
+        for v in [rows[q][1]] + ([other] if q == 50 else []):
+            s = x @ (np.array(v) / np.linalg.norm(v))
+            lists.append([(int(ids[j]), s[j]) for j in np.lexsort((ids, -s)) if ids[j] != q][:5])
+        # every different query row has its five ranks
+        assert sorted(g[0] for g in got[q]) == sorted(list(range(1, 6)) * len(lists)), q
+        hit += sum((Counter(g[1] for g in got[q]) & Counter(i for w in lists for i, _ in w)).values())
+        total += 5 * len(lists)
+    assert hit / total >= 0.9
+
+
+def test_few_vectors_besides_copies_of_the_query(spark):
+    table = [(0, [1.0] * 8)] * 100 + [(i, [-1.0] * 7 + [float(i)]) for i in range(1, 8)]
+    got = [(r.query_id, r["rank"]) for r in neighbours.nearest(frame(spark, table)).collect()]
+    assert sorted(got) == [(0, i) for i in range(1, 6)]
+
+
 def test_few_and_no_vectors(spark):
     few = [(0, [1.0] * 8), (1, [1.0] * 7 + [2.0]), (50, [-1.0] * 8)]
     got = [(r.query_id, r["rank"], r.vec_id) for r in neighbours.nearest(frame(spark, few)).collect()]
