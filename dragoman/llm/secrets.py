@@ -2,9 +2,11 @@
 
 Base kinds are found in every text by pattern. Further kinds are issued key formats, and opaque tokens: long
 runs that mix lower case, upper case and digits. Every candidate's value is hashed and counted over the
-corpus by distinct repositories and distinct owners. A value that several owners hold is a widely copied
-example; one that stays with its owner looks live. Opaque tokens count as secrets only when they look live;
-the other kinds are kept in either case, with the verdict beside them.
+corpus by distinct repositories and distinct owners; both counts come with each kept span (``holders``). The
+verdict is the query's SQL rule and looks at owners alone: a value that ``COPIED_OWNERS`` owners or more hold is
+a widely copied example; one that stays with fewer looks live, in however many of their repositories it is.
+Opaque tokens count as secrets only when they look live; the other kinds are kept in either case, with the
+verdict beside them.
 
 In the tables at hand the owner is ``source`` and each document is a repository of its own. A null text is
 empty; a null owner counts as one owner. Repeated rows of one document are one repository and each get a row.
@@ -99,12 +101,12 @@ def candidates(docs: DataFrame, owner: str = "source", repository: str = "doc_id
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """value_hash, repositories, owners: distinct holders of every candidate value, counted in two steps so that
-    a value held everywhere is reduced before it meets in one task."""
+    """value_hash, repositories (of each owner), owners: distinct holders of every candidate value, counted in two steps
+    so that a value held everywhere is reduced before it meets in one task."""
     held = found.filter(F.size("spans") > 0).select("owner", "repository", F.explode("spans.value_hash").alias("value_hash"))
     pairs = held.groupBy("value_hash", "owner", "repository").agg(F.lit(1).alias("one"))
-    per_owner = pairs.groupBy("value_hash", "owner").agg(F.count("one").alias("in_owner"), F.min("repository").alias("first"))
-    return per_owner.groupBy("value_hash").agg(F.sum("in_owner").alias("holdings"), F.count("owner").alias("owners"))
+    per_owner = pairs.groupBy("value_hash", "owner").agg(F.count("one").alias("in_owner"))
+    return per_owner.groupBy("value_hash").agg(F.sum("in_owner").alias("repositories"), F.count("owner").alias("owners"))
 
 
 def _joined(spans: Column) -> Column:
@@ -112,19 +114,20 @@ def _joined(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied for every row of ``docs``."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, holders for every row of ``docs``;
+    holders has the repositories and owners of each span's value, in the order of the spans."""
     found = cut(candidates(docs, owner, repository), "secret-candidates")
     exploded = found.filter(F.size("spans") > 0).select("row_id", F.explode("spans").alias("span"))
     exploded = exploded.select("row_id", "span", F.col("span.value_hash").alias("value_hash"))
     judged = exploded.join(ownership(found), "value_hash").withColumn("copied", F.col("owners") >= COPIED_OWNERS)
     keep = (F.col("span.kind") != "opaque") | ~F.col("copied")
     per_row = judged.filter(keep).groupBy("row_id").agg(
-        F.array_sort(F.collect_list(F.struct("span.start", "span.kind_order", "span.kind", "span.end"))).alias("kept"),
+        F.array_sort(F.collect_list(F.struct("span.start", "span.kind_order", "span.kind", "span.end", "repositories", "owners"))).alias("kept"),
         F.count(F.when(F.col("copied"), 1)).alias("n_copied"),
         F.count(F.when(~F.col("copied"), 1)).alias("n_live"),
     )
     out = found.select("row_id", "doc_id").join(per_row, "row_id", "left")
-    kept = F.coalesce("kept", F.array().cast("array<struct<start:int,kind_order:int,kind:string,end:int>>"))
+    kept = F.coalesce("kept", F.array().cast("array<struct<start:int,kind_order:int,kind:string,end:int,repositories:bigint,owners:bigint>>"))
     base = F.filter(kept, lambda s: s["kind_order"] < len(BASE))
 
     def count_of(kind: str) -> Column:
@@ -133,4 +136,5 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") ->
     return out.select(
         "doc_id", *[count_of(k) for k in BASE], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(kept).alias("spans"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
+        F.transform(kept, lambda s: F.struct(s["repositories"].alias("repositories"), s["owners"].alias("owners"))).alias("holders"),
     )
