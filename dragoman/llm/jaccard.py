@@ -35,7 +35,7 @@ THRESHOLD = (4, 5)
 TREES, DEEPEST, RECALL = 16, 8, 0.999
 BLOCK = 512
 LAST_ID = (1 << 63) - 1
-NODE = "struct<doc:bigint,tag:int>"
+NODE = "struct<doc:bigint,tag:bigint>"
 
 
 def prefix_length(threshold: float, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL) -> int:
@@ -172,7 +172,7 @@ def _doc() -> Column:
 
 
 def _tag() -> Column:
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(0x7FFFFFFF).cast("int")
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def _node(doc: str = "doc", tag: str = "tag") -> Column:
@@ -183,7 +183,7 @@ def groups(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] = TH
     """doc, tag, copy_of (least document of equal shingles), root (least document of the group), links."""
     texts = _texts(docs)
     prefix = prefix_length(threshold[0] / threshold[1], recall=recall)
-    signed = texts.mapInArrow(_signatures(size, TREES, prefix), "doc long, tag int, n long, k1 long, k2 long, keys array<long>")
+    signed = texts.mapInArrow(_signatures(size, TREES, prefix), "doc long, tag long, n long, k1 long, k2 long, keys array<long>")
     signed = cut(signed, "forest-signatures")
     classes = signed.filter("n > 0").groupBy(F.col("k1").alias("c1"), F.col("k2").alias("c2")).agg(
         F.min(F.struct("doc", "tag", "keys")).alias("first"), F.count(F.lit(1)).alias("weight")
@@ -203,7 +203,7 @@ def groups(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] = TH
     # rows that are equal altogether stand for one class
     wanted = texts.join(members, (F.col("doc") == F.col("m_doc")) & (F.col("tag") == F.col("m_tag"))).dropDuplicates(["doc", "tag"])
     sets = wanted.select("doc", "tag", "text", "family", "block", "blocks", "weight").mapInArrow(
-        _sets(size), "doc long, tag int, family long, block int, blocks int, weight long, shingles binary"
+        _sets(size), "doc long, tag long, family long, block int, blocks int, weight long, shingles binary"
     )
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     placed = sets.select("*", F.explode(others).alias("other")).select(
@@ -211,7 +211,7 @@ def groups(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] = TH
         (F.col("block") > F.col("other")).cast("int").alias("side"), "doc", "tag", "weight", "shingles",
     )
     spread = placed.repartition("family", "bi", "bj").sortWithinPartitions("family", "bi", "bj")
-    links = spread.mapInArrow(_verify(threshold), "doc long, tag int, links long, r_doc long, r_tag int")
+    links = spread.mapInArrow(_verify(threshold), "doc long, tag long, links long, r_doc long, r_tag long")
     links = cut(links, "forest-links")
     roots = components(links.select(_node().alias("a"), _node("r_doc", "r_tag").alias("b")))
     counted = links.groupBy(_node().alias("l_node")).agg(F.sum("links").alias("links"))

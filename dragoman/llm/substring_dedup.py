@@ -40,7 +40,7 @@ ROUNDS = 3
 REACH = 14
 LAST_ID = (1 << 63) - 1
 
-GROUPS = "symbol long, context long, doc long, place long, n long"
+GROUPS = "symbol long, context long, doc long, tag long, range long"
 
 
 def _i64(a: np.ndarray) -> pa.Array:
@@ -98,8 +98,8 @@ def _groups(window: int):
                 words = Words(part.column(2))
                 start, size, symbol, context, text = _window_groups(words, window)
                 doc, tag = np.asarray(part.column(0)), np.asarray(part.column(1))
-                place = (tag[text].astype(np.int64) << 32) | (start - words.first[text])
-                yield pa.RecordBatch.from_arrays([_i64(symbol), _i64(context), _i64(doc[text]), _i64(place), _i64(size)], ["symbol", "context", "doc", "place", "n"])
+                spread = ((start - words.first[text]) << 32) | size
+                yield pa.RecordBatch.from_arrays([_i64(symbol), _i64(context), _i64(doc[text]), _i64(tag[text]), _i64(spread)], ["symbol", "context", "doc", "tag", "range"])
 
     return run
 
@@ -120,8 +120,11 @@ def _windows(window: int):
                 start = np.repeat(words.first[text] + a, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
                 text = np.repeat(text, n)
                 doc, tag = np.asarray(part.column(0)), np.asarray(part.column(1))
-                place = (tag[text].astype(np.int64) << 32) | (start - words.first[text])
-                yield pa.RecordBatch.from_arrays([_i64(one.of(start, start + window)), _i64(two.of(start, start + window)), _i64(doc[text]), _i64(place)], ["h1", "h2", "doc", "place"])
+                spread = ((start - words.first[text]) << 32) | 1
+                yield pa.RecordBatch.from_arrays(
+                    [_i64(one.of(start, start + window)), _i64(two.of(start, start + window)), _i64(doc[text]), _i64(tag[text]), _i64(spread)],
+                    ["h1", "h2", "doc", "tag", "range"],
+                )
 
     return run
 
@@ -155,14 +158,14 @@ def _texts(docs: DataFrame) -> DataFrame:
     """doc (never null), tag (tells rows apart that share an id), text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int").alias("tag"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(text).alias("tag"),
         text.alias("text"), F.col("doc_id"),
     )
 
 
 def _places(rows: DataFrame) -> DataFrame:
-    at, tag = F.col("place").bitwiseAND(0xFFFFFFFF).cast("int"), F.shiftright("place", 32).cast("int")
-    return rows.select("doc", tag.alias("tag"), F.struct(at.alias("at"), F.col("n").cast("int").alias("n")).alias("range"))
+    at, n = F.shiftright("range", 32).cast("int"), F.col("range").bitwiseAND(0xFFFFFFFF).cast("int")
+    return rows.select("doc", "tag", F.struct(at.alias("at"), n.alias("n")).alias("range"))
 
 
 def _per_document(rows: DataFrame) -> DataFrame:
@@ -171,7 +174,7 @@ def _per_document(rows: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc, place, n: runs of n windows whose words also start in a smaller document (place: tag and first word)."""
+    """doc, tag, range: runs of windows whose words also start in a smaller document (range: first word and number)."""
     texts = _texts(docs)
     groups = cut(texts.select("doc", "tag", "text").mapInArrow(_groups(window), GROUPS), "repeat-groups")
     symbols = groups.groupBy(F.col("symbol").alias("s_symbol")).agg(
@@ -181,27 +184,27 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     shared = cut(symbols.filter("lo < hi").select("s_symbol", "lo", (F.col("c_lo") == F.col("c_hi")).alias("single")), "repeat-symbols")
     rows = groups.join(shared, F.col("symbol") == F.col("s_symbol")).drop("s_symbol")
     rows = cut(rows, "repeat-shared")
-    plain = rows.filter("single AND doc > lo").select("doc", "place", "n")
+    plain = rows.filter("single AND doc > lo").select("doc", "tag", "range")
     several = rows.filter("NOT single").drop("lo", "single")
     first = several.groupBy(F.col("symbol").alias("f_symbol"), F.col("context").alias("f_context")).agg(
-        F.min(F.struct("doc", "place", "n")).alias("first"), F.max("doc").alias("last"),
-        F.max(F.struct(F.bitwise_not("doc").alias("doc"), "place")).alias("end"),  # the last place in the first document
+        F.min(F.struct("doc", "tag", "range")).alias("first"), F.max("doc").alias("last"),
+        F.max(F.struct(F.bitwise_not("doc").alias("doc"), "tag", "range")).alias("end"),  # the last place in the first document
     )
     first = cut(first, "repeat-contexts")
     again = first.filter("last > first.doc").select("f_symbol", "f_context", F.col("first.doc").alias("f_doc"))
     later = several.join(again, (F.col("symbol") == F.col("f_symbol")) & (F.col("context") == F.col("f_context"))).filter("doc > f_doc")
     # further places of a context in its first document, which may repeat other contexts of earlier documents
-    inside = first.filter("end.place > first.place").select("f_symbol", "f_context", F.col("first.doc").alias("f_doc"), F.col("first.place").alias("f_place"))
+    inside = first.filter("end.tag <> first.tag OR end.range <> first.range").select("f_symbol", "f_context", F.col("first.doc").alias("f_doc"), "first")
     inside = cut(inside, "repeat-inside")
     same = (F.col("symbol") == F.col("f_symbol")) & (F.col("context") == F.col("f_context")) & (F.col("doc") == F.col("f_doc"))
-    more = several.join(inside, same).filter("place > f_place").select("doc", "place", "n")
+    more = several.join(inside, same).filter("tag <> first.tag OR range <> first.range").select("doc", "tag", "range")
     asked = _per_document(first.select("first.*").unionAll(more))
     wanted = texts.join(asked, (F.col("doc") == F.col("r_doc")) & (F.col("tag") == F.col("r_tag")))
-    single = cut(wanted.select("doc", "tag", "text", "ranges").mapInArrow(_windows(window), "h1 long, h2 long, doc long, place long"), "repeat-windows")
+    single = cut(wanted.select("doc", "tag", "text", "ranges").mapInArrow(_windows(window), "h1 long, h2 long, doc long, tag long, range long"), "repeat-windows")
     earliest = single.groupBy(F.col("h1").alias("w1"), F.col("h2").alias("w2")).agg(F.min("doc").alias("w_lo"), F.max("doc").alias("w_hi"))
     earliest = cut(earliest.filter("w_lo < w_hi").drop("w_hi"), "repeat-earliest")
     inner = single.join(earliest, (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2"))).filter("doc > w_lo")
-    return plain.unionAll(later.select("doc", "place", "n")).unionAll(inner.select("doc", "place", F.lit(1).cast("long").alias("n")))
+    return plain.unionAll(later.select("doc", "tag", "range")).unionAll(inner.select("doc", "tag", "range"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dragoman.llm import jaccard, language, lines, mixing, packing, quality, secrets, substring_dedup
 from dragoman.llm.graph import components
@@ -257,6 +258,27 @@ def test_components(spark):
     assert got == {i: 0 if i <= 20 else 21 for i in range(41)}
 
 
+@pytest.fixture(scope="module")
+def alike(spark):
+    """Two different texts of 60 words whose hashes agree in 31 bits."""
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.concat(F.lit("w"), F.col("id"), F.lit("x"), i)), " ")
+    pairs = spark.range(300_000).select("id", text.alias("text")).groupBy(F.xxhash64("text").bitwiseAND(0x7FFFFFFF)).agg(F.min("text").alias("a"), F.max("text").alias("b"))
+    r = pairs.filter("a <> b").first()
+    return r.a, r.b
+
+
+def test_rows_that_share_an_id_and_31_bits_of_hash(spark, alike):
+    a, b = alike
+    docs = spark.createDataFrame([(1, a), (None, a), (None, b), (2, "k l m n o p")], "doc_id long, text string").repartition(3)
+    got = {r.kept_text for r in substring_dedup.remove_repeats(docs).filter("doc_id IS NULL").collect()}
+    assert got == {"", b}
+    assert sorted(r.removed for r in lines.line_report(docs).filter("doc_id IS NULL").collect()) == [[], [0]]
+    assert {r.text for r in lines.without_repeats(docs).collect()} == {a, "", b, "k l m n o p"}
+    nulls = docs.filter("doc_id IS NULL OR doc_id = 2")
+    assert {r.text for r in jaccard.one_of_each(nulls).collect()} == {a, b, "k l m n o p"}
+    assert {(r.doc_id, r.class_id, r.n_links) for r in jaccard.similar(docs).collect()} == {(1, 1, 1), (None, 1, 1), (None, None, 0), (2, 2, 0)}
+
+
 def test_packing_round_trip(docs, awkward):
     from tokenizers import Tokenizer
 
