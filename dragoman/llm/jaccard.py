@@ -1,10 +1,10 @@
-"""Join of documents on the Jaccard similarity of their five-word shingles, by a MinHash LSH forest.
+"""Join of documents on the Jaccard similarity of their five-word shingles, by MinHash banding.
 
 A document is the set of its runs of ``SHINGLE`` words (one run of all its words if it has fewer). Documents of
-equal sets form a class, compared once. The forest has ``TREES`` tries over the classes' MinHash signatures;
-two classes meet where a trie holds both under one prefix. Long prefixes find the closest pairs; the prefix is
-shortened until a pair exactly at the threshold is found with probability ``RECALL``. Classes that meet, directly
-or through others, form a family.
+equal sets form a class, compared once. ``TREES`` tables hold the first values of the classes' MinHash signatures;
+two classes meet where a table has the same values for both. How many values is fixed by the constants: the most
+with which a pair exactly at the threshold is found with probability ``RECALL``. Classes that meet, directly or
+through others, form a family.
 
 Inside a family every pair of classes is verified exactly, in blocks of ``BLOCK`` classes: a task holds two
 blocks of shingle sets, counts each class's links and keeps a spanning forest of the links, never the pairs.
@@ -39,7 +39,7 @@ NODE = "struct<doc:bigint,tag:bigint>"
 
 
 def prefix_length(threshold: float, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL) -> int:
-    """The longest prefix at which a pair at the threshold meets in some trie with the asked probability."""
+    """The longest prefix at which a pair at the threshold meets in some table with the asked probability."""
     length = deepest
     while length > 1 and 1 - (1 - threshold**length) ** trees < recall:
         length -= 1
