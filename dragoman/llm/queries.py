@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dragoman.llm import jaccard, language, lines, mixing, neighbours, packing, quality, secrets, substring_dedup, warc
+from dragoman.llm import jaccard, language, lines, mixing, neighbours, packing, quality, secrets, substring_dedup, token_counts, warc
 from dragoman.llm.common import read
 from dragoman.session import ship
 
@@ -221,3 +221,8 @@ def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_warc_derivatives")
 def warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses(read(spark, sf_dir, "pages"))).withColumnRenamed("key", "page_id")
+
+
+@query("op13_token_counts")
+def count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"))
