@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dragoman.llm import jaccard, language, lines, mixing, neighbours, packing, quality, secrets, substring_dedup, token_counts, warc
-from dragoman.llm.common import read
+from dragoman.llm import jaccard, language, lines, merkle, mixing, neighbours, packing, quality, runs, secrets, substring_dedup, token_counts, warc
+from dragoman.llm.common import let, read, words
 from dragoman.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,3 +227,143 @@ def warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_token_counts")
 def count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
+
+
+def crc32_sql(value: str) -> str:
+    """Unsigned CRC-32 of ASCII text, bit by bit."""
+    step = "lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1))"
+    signs = f"list_transform(string_split({value}, ''), lambda c: ascii(c)::BIGINT)"
+    return f"""xor(list_reduce(list_concat([4294967295::BIGINT], {signs}),
+      lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), {step})), 4294967295::BIGINT)"""
+
+
+def row_hash_sql(text: str) -> str:
+    values = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return f"""sha256({" || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values)})"""
+
+
+def runs_sql(nodes: str) -> str:
+    """What stands before and after each node of a level."""
+    return f"""SELECT c.tree, c.level, c.place, c.n, c.digest, coalesce(string_agg(s.digest, '' ORDER BY s.place) FILTER (s.place < c.place), '') AS before,
+    coalesce(string_agg(s.digest, '' ORDER BY s.place) FILTER (s.place > c.place), '') AS after
+  FROM {nodes} c JOIN {nodes} s ON s.tree = c.tree AND s.level = c.level AND s.place // 16 = c.place // 16 GROUP BY ALL"""
+
+
+def climb_sql(leaves: str, name: str) -> str:
+    return f"""{name}(tree, level, place, digest, n) AS (
+  SELECT tree, 0::BIGINT, place, digest, n FROM {leaves}
+  UNION ALL
+  SELECT tree, level + 1, place // 16, sha256(string_agg(digest, '' ORDER BY place)), (any_value(n) + 15) // 16 FROM {name}
+  WHERE n > 1 GROUP BY tree, level, place // 16
+)"""
+
+
+@query(
+    "op12_merkle_manifest",
+    f"""WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('=' || source, '') AS tree, digest, CASE WHEN hit THEN changed ELSE digest END AS found,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, digest) - 1 AS place, count(*) OVER (PARTITION BY source) AS n
+  FROM (
+    SELECT *, {row_hash_sql("text")} AS digest,
+      {row_hash_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS changed,
+      coalesce({crc32_sql("doc_id::VARCHAR")} % 5 = 0, false) AS hit
+    FROM documents
+  )
+),
+{climb_sql("leaves", "low")},
+tops AS (
+  SELECT '' AS tree, tree AS id, digest, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n FROM low WHERE n = 1
+),
+{climb_sql("tops", "high")},
+low_runs AS ({runs_sql("low")}),
+high_runs AS ({runs_sql("high")}),
+steps AS (
+  SELECT l.tree, l.place AS leaf_place, r.level, r.before, r.after FROM leaves l JOIN low_runs r
+  ON r.tree = l.tree AND r.n > 1 AND r.place = l.place // (16 ** r.level)::BIGINT
+  UNION ALL
+  SELECT l.tree, l.place, 1000 + r.level, r.before, r.after FROM leaves l JOIN tops t ON t.id = l.tree JOIN high_runs r
+  ON r.n > 1 AND r.place = t.place // (16 ** r.level)::BIGINT
+),
+paths AS (
+  SELECT tree, leaf_place, string_agg(before || after, '' ORDER BY level) AS siblings,
+    list({{'b': before, 'd': '', 'a': after}} ORDER BY level) AS path
+  FROM steps GROUP BY tree, leaf_place
+),
+folded AS (
+  SELECT l.doc_id, l.digest AS leaf, t.digest AS subroot, (SELECT digest FROM high WHERE n = 1) AS root, sha256(coalesce(p.siblings, '')) AS proof_sha256,
+    list_reduce(list_concat([{{'b': '', 'd': l.found, 'a': ''}}], coalesce(p.path, [])),
+      lambda x, s: {{'b': '', 'd': sha256(s.b || x.d || s.a), 'a': ''}}).d AS folded_root
+  FROM leaves l JOIN tops t ON t.id = l.tree LEFT JOIN paths p ON p.tree = l.tree AND p.leaf_place = l.place
+)
+SELECT *, folded_root = root AS verified FROM folded""",
+)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    fifth = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    out = merkle.manifest(read(spark, sf_dir, "documents"), audited={"text": lower}, where=fifth)
+    digests = [merkle.as_text(F.col(c)).alias(c) for c in ("leaf", "subroot", "root", "folded_root")]
+    proof = F.sha2(merkle.as_text(merkle.proof(F.col("path"))).cast("binary"), 256)
+    return out.select("doc_id", *digests, proof.alias("proof_sha256"), (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _periodic(words_of: Column, h: Column) -> Column:
+    """Words of a text from place a on said over with period p; both follow from h."""
+    g, n = F.floor(h / 10), F.size(words_of)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    shape = F.struct(words_of.alias("w"), a.alias("a"), p.alias("p"))
+    said = let(shape, lambda x: F.transform(x["w"], lambda w, i: F.when(i < x["a"], w).otherwise(F.get(x["w"], x["a"] + (i - x["a"]) % x["p"]))))
+    return F.array_join(said, " ")
+
+
+@query(
+    "op11_periodic_runs",
+    f"""WITH {worded()},
+shaped AS (
+  SELECT doc_id, ws, len(ws) AS n, h % 10 = 0 AND len(ws) > 0 AS hit, CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) END AS a, 3 + (h // 10) % 8 AS d
+  FROM (SELECT doc_id, ws, {crc32_sql("doc_id::VARCHAR")} AS h FROM worded)
+),
+said AS (
+  SELECT doc_id, n, CASE WHEN hit THEN list_transform(range(n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // d) END]) ELSE ws END AS ws
+  FROM shaped
+),
+grams AS (
+  SELECT doc_id, i, array_to_string(ws[i + 1 : i + 6], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(n - 5)) AS i FROM said WHERE n >= 12)
+),
+pairs AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM grams x JOIN grams y ON x.doc_id = y.doc_id AND x.g = y.g AND x.i < y.i
+),
+stretches AS (
+  SELECT doc_id, min(i) AS start, q, count(*) + 5 + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs) GROUP BY doc_id, q, island
+),
+runs AS (
+  SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= 12 AND length >= 2 * q GROUP BY doc_id, start, length
+),
+per AS (
+  SELECT doc_id, count(*) AS n_runs, arg_min({{'s': start, 'n': length, 'q': period}}, (-length, start, period)) AS best,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed
+  FROM runs GROUP BY doc_id
+),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (
+  SELECT t.doc_id, string_agg(t.w, ' ' ORDER BY t.i) AS text
+  FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(n)) AS i FROM said) t ANTI JOIN gone g ON g.doc_id = t.doc_id AND g.i = t.i GROUP BY t.doc_id
+)
+SELECT s.doc_id, s.n AS n_words, coalesce(p.n_runs, 0) AS n_runs, p.best.s AS start, p.best.n AS length, p.best.q AS period,
+  1000 * p.best.n // p.best.q AS exponent_milli, sha256(coalesce(p.listed, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM said s LEFT JOIN per p USING (doc_id) LEFT JOIN kept k USING (doc_id)""",
+)
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    text = F.when((h % 10 == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]"), _periodic(words(F.col("text")), h)).otherwise(F.col("text"))
+    found = runs.periodic_runs(docs.select("doc_id", text.alias("text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    found = found.withColumn("best", best).select(
+        "doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.col2")).alias("start"),
+        F.col("best.length").alias("length"), (-F.col("best.col3")).alias("period"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n")))), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+    return found.withColumn("exponent_milli", F.expr("1000 * length div period"))
