@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, BucketedRandomProjectionLSH, HashingTF, Normalizer
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dragoman.functions import text as X
-from dragoman.operators.scale import cut
-from dragoman.operators.search import vector_topk
+from dragoman.operators import ivf
 
 
 def fit_embedder(df: DataFrame, text: str = "text", width: int = 384) -> PipelineModel:
@@ -31,33 +28,11 @@ def embed_corpus(df: DataFrame, model: PipelineModel, text: str = "text") -> Dat
 
 
 def vector_topk_approx(
-    vectors: DataFrame,
-    queries: DataFrame,
-    k: int = 10,
-    bucket_length: float = 0.15,
-    tables: int = 6,
-    seed: int = 7,
+    vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int | None = None, pool: int | None = None, **index: int
 ) -> DataFrame:
-    """Approximate nearest neighbours: random projection buckets, then the exact cosine distance.
+    """Approximate nearest neighbours: inverted lists with product-quantised residuals, built for this search (``ivf``).
 
-    The join is an equi-join on buckets; unit vectors are at most 2 apart, so its radius drops no pair. For
-    unit vectors squared Euclidean distance is twice the cosine distance. Narrower buckets compare fewer
-    pairs and miss more neighbours; more tables win some back. Queries whose buckets hold fewer than k items are
-    searched exactly, so every query gets k rows if the collection has them.
+    (query_id, chunk_id, distance, rank) with exact distances; every query gets k rows if the collection has them.
+    Over a stored index use ``ivf.search``.
     """
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    )
-    items = vectors.select("chunk_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    asks = queries.select("query_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    model = lsh.fit(items)
-    near = model.approxSimilarityJoin(asks, items, 2.5, "d").select(
-        F.col("datasetA.query_id").alias("query_id"),
-        F.col("datasetB.chunk_id").alias("chunk_id"),
-        F.round(F.col("d") * F.col("d") / 2, 9).alias("distance"),
-    )
-    w = W.partitionBy("query_id").orderBy("distance", "chunk_id")
-    near = cut(near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), "approx-hits")
-    full = near.filter(F.col("rank") == k).select("query_id")
-    exact = vector_topk(vectors, queries.join(full, "query_id", "left_anti"), k)
-    return near.join(full, "query_id", "left_semi").unionByName(exact)
+    return ivf.search(ivf.build(vectors, **index), queries, k, probes, pool)

@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from dragoman.functions import dims
 from dragoman.functions import text as X
 from dragoman.functions.arrow import english_terms
+from dragoman.operators import inverted
 from dragoman.operators.blocks import score_blocks
+from dragoman.operators.inverted import Index, build_index
 
 DIGITS = 9  # scores are ranked at this precision so that equal texts tie in every task
 
@@ -111,12 +113,6 @@ def english_field(text: Column) -> Column:
     return english_terms(X.search_terms(text))
 
 
-def index_terms(chunks: DataFrame, analyzer: Callable[[Column], Column] = plain_terms, id_col: str = "chunk_id") -> DataFrame:
-    """What a keyword search reads of a text: (chunk_id, terms as hashes with repeats, dl)."""
-    terms = chunks.select(F.col(id_col).alias("chunk_id"), F.transform(analyzer(F.col("text")), lambda t: F.xxhash64(t)).alias("terms"))
-    return terms.withColumn("dl", F.coalesce(F.size("terms"), F.lit(0)))
-
-
 def bm25_topk(
     chunks: DataFrame,
     queries: DataFrame,
@@ -126,51 +122,19 @@ def bm25_topk(
 ) -> DataFrame:
     """BM25 top k per query: (query_id, chunk_id, bm25_score, rank).
 
-    ``chunks`` has (chunk_id, text), ``queries`` (query_id, text).
+    ``chunks`` has (chunk_id, text), ``queries`` (query_id, text). The texts are indexed first; over a stored index use
+    ``bm25_over``.
     """
-    return bm25_over(index_terms(chunks, analyzer, id_col), queries, k, analyzer)
+    return bm25_over(build_index(chunks, analyzer, id_col=id_col), queries, k, analyzer)
 
 
 def bm25_over(
-    indexed: DataFrame, queries: DataFrame, k: int = dims.POOL_SIZE, analyzer: Callable[[Column], Column] = plain_terms
+    index: Index, queries: DataFrame, k: int = dims.POOL_SIZE, analyzer: Callable[[Column], Column] = plain_terms
 ) -> DataFrame:
-    """The same over a stored index, the rows of ``index_terms``."""
-    full = indexed.filter("dl > 0").select("chunk_id", "terms", "dl")
-    asked = queries.select("query_id", F.explode_outer(F.transform(analyzer(F.col("text")), lambda t: F.xxhash64(t))).alias("term"))
-    asked = asked.filter("term IS NOT NULL").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    seen = full.select(F.explode_outer(F.array_distinct("terms")).alias("term"))
-    df = seen.join(asked.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("df"))
-    shape = full.agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
-    n, avgdl = shape.select("n").scalar(), shape.select("avgdl").scalar()
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = asked.join(df, "term").select("query_id", F.struct("term", (F.col("qtf") * idf).alias("weight")).alias("w"))
-    asks = weighted.groupBy("query_id").agg(F.sort_array(F.collect_list("w")).alias("wanted")).withColumn("avgdl", avgdl)
-    k1, b = dims.BM25_K1, dims.BM25_B
-
-    def score(x: pa.Table, q: pa.Table) -> pa.RecordBatch:
-        wanted = q["wanted"].combine_chunks()
-        asked_terms = np.asarray(wanted.flatten().field("term"))
-        weights, edges = np.asarray(wanted.flatten().field("weight")), np.append(0, np.cumsum(np.asarray(wanted.value_lengths())))
-        vocab, code_of = np.unique(asked_terms, return_inverse=True)
-        terms = x["terms"].combine_chunks()
-        row = np.repeat(np.arange(len(x)), np.asarray(terms.value_lengths()))
-        flat = np.asarray(terms.flatten())
-        code = np.minimum(np.searchsorted(vocab, flat), len(vocab) - 1)
-        known = vocab[code] == flat
-        cell, tf = np.unique(code[known] * len(x) + row[known], return_counts=True)
-        code, row = cell // len(x), cell % len(x)
-        part = tf / (tf + k1 * (1 - b + b * x["dl"].to_numpy()[row] / q["avgdl"][0].as_py()))
-        first = np.searchsorted(code, np.arange(len(vocab) + 1))
-        scores = np.zeros((len(q), len(x)))
-        for i in range(len(q)):
-            line = scores[i]
-            for t in range(edges[i], edges[i + 1]):
-                there = slice(first[code_of[t]], first[code_of[t] + 1])
-                line[row[there]] += weights[t] * part[there]
-        return _hits(q, x, scores, k, True, False)
-
-    hits = score_blocks(full, asks, score, _schema(full, queries), per_item_block=1024, per_query_block=512)
-    return top_per_query(hits, k).withColumnRenamed("score", "bm25_score")
+    """The same over an index that is there."""
+    hits = inverted.search(index, queries, k, analyzer)
+    hits = hits.select("query_id", "chunk_id", F.round("score", DIGITS).alias("bm25_score")).filter("bm25_score > 0")
+    return top_per_query(hits, k, "bm25_score")
 
 
 def bm25_best_field(chunks: DataFrame, queries: DataFrame, k: int = dims.POOL_SIZE) -> DataFrame:

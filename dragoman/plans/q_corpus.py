@@ -9,6 +9,7 @@ from dragoman.plans import views as V
 from dragoman.plans.q_filters import PAGES, STRICT_SQL, page_records
 from dragoman.plans.registry import query
 from dragoman.session import scratch_dir
+from dragoman.sources.store import create_store
 
 STORE = V.LINES + """,
  chunks AS (SELECT md5(doc_name || ':c' || pos) AS chunk_id, doc_id, doc_name, category, pos, text FROM lines)"""
@@ -46,14 +47,15 @@ def skip_indexed(spark, sf):
 def upsert_chunks(spark, sf):
     c = chunks(spark, sf)
     new = c.filter("doc_id % 2 = 0").withColumn("text", F.concat("text", F.lit("!")))
-    out = C.upsert_chunks(c.filter("doc_id % 3 <> 1"), new)
+    out = create_store(c.filter("doc_id % 3 <> 1"), scratch_dir(spark, "store")).upsert(new).chunks()
     return out.select("chunk_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query("delete_document", f"WITH {STORE} SELECT doc_name, count(*) AS n FROM chunks WHERE NOT (doc_id % 4 = 1) GROUP BY doc_name")
 def delete_document(spark, sf):
     c = chunks(spark, sf)
-    return C.delete_documents(c, c.filter("doc_id % 4 = 1")).groupBy("doc_name").agg(F.count("*").alias("n"))
+    store = create_store(c, scratch_dir(spark, "store")).delete(c.filter("doc_id % 4 = 1"))
+    return store.compact().chunks().groupBy("doc_name").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -63,7 +65,7 @@ def delete_document(spark, sf):
 def force_reingest(spark, sf):
     c = chunks(spark, sf)
     shrunk = c.filter("doc_id % 4 = 1 AND pos < 2")
-    out = C.force_reingest(c, shrunk)
+    out = create_store(c, scratch_dir(spark, "store")).reingest(shrunk).chunks()
     return out.groupBy("doc_name").agg(F.count("*").alias("n"), F.max("pos").alias("last_pos"))
 
 

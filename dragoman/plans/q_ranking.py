@@ -13,6 +13,8 @@ from dragoman.plans.q_filters import ANY_AR
 from dragoman.plans.q_search import BM25_SQL, TERMS, queries
 from dragoman.plans.q_text import AR_LETTERS, TOK, sql_normalize_arabic, sql_stem  # noqa: F401
 from dragoman.plans.registry import query
+from dragoman.session import scratch_dir
+from dragoman.sources.store import create_store
 
 CURRENT_RE = r"(?i)\b(" + "|".join(dims.CURRENT_STATE_EN) + r")\b|" + "|".join(dims.CURRENT_STATE_AR)
 RERANK_RE = r"(?i)\b(" + "|".join(dims.RERANK_STATE_EN) + r")\b|" + "|".join(dims.RERANK_STATE_AR)
@@ -147,6 +149,18 @@ def merge_candidates(spark, sf):
     return m.select("query_id", "chunk_id", *[F.round(x, 6).alias(x) for x in m.columns[2:]])
 
 
+@query(
+    "search_store",
+    f"WITH {OPEN} SELECT query_id, chunk_id, round(bm25_score, 6) AS bm25_score, round(embed_score, 6) AS embed_score, round(distance, 6) AS distance FROM merged",
+)
+def search_store(spark, sf):
+    """Chunks stored in two commits and compacted, then searched from the stored index and vectors."""
+    c = chunks(spark, sf)
+    store = create_store(c.filter("chunk_id % 3 <> 0"), scratch_dir(spark, "store"))
+    m = store.upsert(c.filter("chunk_id % 3 < 2")).compact().refresh().search(queries(spark, sf))
+    return m.select("query_id", "chunk_id", *[F.round(x, 6).alias(x) for x in m.columns[2:]])
+
+
 @query(
     "max_normalize",
     f"WITH {HYBRID} SELECT query_id, chunk_id, round(bm25_norm, 6) AS bm25_norm, round(embed_norm, 6) AS embed_norm FROM pool",

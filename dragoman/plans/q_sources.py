@@ -129,14 +129,11 @@ TERMS = r"regexp_extract_all(translate(regexp_replace(lower(text), '[\x{064B}-\x
     f"WITH {V.RECORDS} SELECT category, count(*) AS chunks, count(*) AS vectors, sum(len(list_distinct({TERMS})))::BIGINT AS postings, sum(len({TERMS}))::BIGINT AS tokens FROM records GROUP BY category",
 )
 def write_chunk_store(spark, sf):
-    root = scratch_dir(spark, "store")
-    r = V.records(spark, sf).withColumnRenamed("doc_id", "chunk_id")
-    ST.write_chunk_store(r, root)
-    chunks = ST.read_store(spark, root).select("chunk_id", "category")
-    posts = ST.read_store(spark, root, "postings").filter("field = 'document'")
-    per = posts.groupBy("chunk_id").agg(F.count("*").alias("p"), F.sum("tf").alias("t"))
-    has = ST.read_store(spark, root, "vectors").select("chunk_id", F.lit(1).alias("v"))
-    return chunks.join(per, "chunk_id", "left").join(has, "chunk_id", "left").groupBy("category").agg(
+    store = ST.create_store(V.records(spark, sf).withColumnRenamed("doc_id", "chunk_id"), scratch_dir(spark, "store")).refresh()
+    has = store.vectors().select("chunk_id", F.lit(1).alias("v"))
+    terms = store.index().forward.select("chunk_id", F.size("terms").alias("p"), F.col("dl").alias("t"))
+    chunks = store.chunks().select("chunk_id", "category")
+    return chunks.join(terms, "chunk_id", "left").join(has, "chunk_id", "left").groupBy("category").agg(
         F.count("*").alias("chunks"), F.sum("v").alias("vectors"), F.sum("p").alias("postings"), F.sum("t").alias("tokens")
     )
 

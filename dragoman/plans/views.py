@@ -27,7 +27,14 @@ SOURCES = ["html", "pdf", "pdf_scanned", "api_json", "upload"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder; dealt anew by its first column where the session asks for that.
+
+    A file is cut at its row groups, so a table in one row group keeps one core busy. Large tables have many of them and
+    are read as they are; ``spark.dragoman.tasks`` is for small ones, and is set by ``get_session(tasks=...)``.
+    """
+    out = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    tasks = spark.conf.get("spark.dragoman.tasks", None)
+    return out if tasks is None else out.repartition(int(tasks), out.columns[0])
 
 
 def pick(values: list[str], index: Column) -> Column:

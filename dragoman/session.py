@@ -13,8 +13,11 @@ from pyspark.sql import SparkSession
 PACKAGE = Path(__file__).resolve().parent
 
 
-def get_session(app: str = "dragoman", cpus: int | None = None, **conf: str) -> SparkSession:
-    """A local session for tests and benches; on a cluster pass the platform's own session around."""
+def get_session(app: str = "dragoman", cpus: int | None = None, tasks: int | None = None, **conf: str) -> SparkSession:
+    """A local session for tests and benches; on a cluster pass the platform's own session around.
+
+    ``tasks`` deals every table read by a registered query to so many tasks, whatever its row groups.
+    """
     cpus = cpus or os.cpu_count() or 4
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -25,10 +28,12 @@ def get_session(app: str = "dragoman", cpus: int | None = None, **conf: str) ->
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # small inputs in few files are still cut for all cores, at the scan
+        # several files, or row groups, are read by as many cores
         .config("spark.sql.files.minPartitionNum", str(cpus))
         .config("spark.sql.files.openCostInBytes", "65536")
     )
+    if tasks is not None:
+        builder = builder.config("spark.dragoman.tasks", str(tasks))
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

@@ -1,10 +1,12 @@
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from dragoman.functions import dims
-from dragoman.operators import blocks
+from dragoman.operators import blocks, inverted
 from dragoman.operators import search as S
 
 DOCS = [(i, t) for i, t in enumerate(
@@ -49,16 +51,41 @@ def tiny_blocks(monkeypatch):
     return on
 
 
-@pytest.mark.parametrize("tiny", [False, True])
-def test_bm25_matches_brute_force_in_one_or_many_blocks(spark, tiny_blocks, tiny):
-    if tiny:
-        tiny_blocks()
+@pytest.mark.parametrize("block", [2, 256])
+def test_bm25_matches_brute_force(spark, block, monkeypatch):
     docs = spark.createDataFrame([*DOCS, (99, None), (98, "")], "chunk_id long, text string").repartition(4)
     asks = spark.createDataFrame([*ASKS, (14, None)], "query_id long, text string")
-    got = S.bm25_topk(docs, asks, 5).collect()
-    assert sorted((r.query_id, r.chunk_id, r.rank) for r in got) == brute_bm25(5)
-    stored = S.bm25_over(S.index_terms(docs), asks, 5).collect()
-    assert sorted(map(str, stored)) == sorted(map(str, got))
+    index = inverted.build_index(docs, S.plain_terms, block=block)
+    assert index.blocks.filter(F.col("n") > block).count() == 0
+    got = S.bm25_over(index, asks, 5).collect()
+    assert sorted((r.query_id, r.chunk_id, r["rank"]) for r in got) == brute_bm25(5)
+
+
+def test_bm25_skips_only_what_cannot_win(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    docs = [(i, " ".join(rng.choices(words, [1 / (j + 1) for j in range(300)], k=rng.randrange(5, 60)))) for i in range(1500)]
+    asks = [(q, " ".join(rng.choices(words, k=12))) for q in range(12)] + [(50, docs[3][1]), (51, "w0"), (52, "w0 w1 w299")]
+    monkeypatch.setitem(globals(), "DOCS", docs)
+    monkeypatch.setitem(globals(), "ASKS", asks)
+    table = spark.createDataFrame(docs, "chunk_id long, text string").repartition(3)
+    queries = spark.createDataFrame(asks, "query_id long, text string")
+    index = inverted.build_index(table, S.plain_terms, block=16)
+    got = S.bm25_over(index, queries, 10).collect()
+    assert sorted((r.query_id, r.chunk_id, r["rank"]) for r in got) == brute_bm25(10)
+    asked = inverted.asked_terms(index, queries, S.plain_terms)
+    plan = inverted.planned(asked, inverted.thresholds(index, asked, 10))
+    assert plan.filter("completes").count()  # frequent terms only complete scores
+    pairs = inverted.candidates(index, plan, 10)
+    assert pairs.count() < index.forward.count() * len(asks) / 3
+
+
+def test_bm25_reads_a_stored_index(spark, tmp_path):
+    docs = spark.createDataFrame(DOCS, "chunk_id long, text string")
+    asks = spark.createDataFrame(ASKS, "query_id long, text string")
+    inverted.build_index(docs, S.plain_terms, str(tmp_path / "index"))
+    got = S.bm25_over(inverted.read_index(spark, str(tmp_path / "index")), asks, 5).collect()
+    assert sorted((r.query_id, r.chunk_id, r["rank"]) for r in got) == brute_bm25(5)
 
 
 def test_vectors_ties_and_blocks(spark, tiny_blocks):
@@ -89,13 +116,43 @@ def test_similarity(spark):
     assert [r[0] for r in df.select(S.similarity(F.col("d"))).collect()] == [0.8, 0.0, 0.0, 1.0]
 
 
-def test_approximate_search_finds_most_exact_neighbours(spark, sf):
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.1"])
+def test_approximate_search_finds_most_exact_neighbours(spark, folder):
     from dragoman.operators.embedding import vector_topk_approx
     from dragoman.plans.q_search import as_queries, vectors
 
-    v = vectors(spark, sf)
+    v = vectors(spark, f"/root/testdata/{folder}")
     q = as_queries(v)
-    exact = S.vector_topk(v, q, 10).select("query_id", "chunk_id")
-    near = vector_topk_approx(v, q, 10).select("query_id", "chunk_id")
+    exact = S.vector_topk(v, q, 10).select("query_id", "chunk_id", "distance")
+    near = vector_topk_approx(v, q, 10).select("query_id", "chunk_id", "distance").cache()
     assert near.count() == 10 * q.count()
-    assert near.join(exact, ["query_id", "chunk_id"]).count() / exact.count() > 0.85
+    both = near.join(exact, ["query_id", "chunk_id"])
+    assert both.count() / near.count() >= 0.95
+    assert near.join(exact.withColumnRenamed("distance", "d"), ["query_id", "chunk_id"]).filter("abs(distance - d) > 1e-8").count() == 0
+
+
+def test_vector_index_is_stored_and_widened(spark, tmp_path, monkeypatch):
+    from dragoman.operators import ivf
+
+    monkeypatch.setattr(ivf, "BLOCK", 16)
+    rng = np.random.default_rng(3)
+    near = rng.normal(size=(150, 16)) * 0.02 + np.eye(16)[0]  # a hot list
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.vstack([near, rng.normal(size=(60, 16))]))]
+    rows += [(900, None), (901, [0.0] * 16)]
+    v = spark.createDataFrame(rows, "chunk_id long, embedding array<double>").repartition(3)
+    ivf.build(v, str(tmp_path / "ivf"), lists=9, parts=4)
+    index = ivf.read(spark, str(tmp_path / "ivf"))
+    q = spark.createDataFrame([(1, rows[0][1]), (2, rows[170][1]), (3, None)], "query_id long, embedding array<double>")
+    # one list each is not enough for 200 results, so more are taken
+    got = ivf.search(index, q, 200, probes=1).collect()
+    assert sorted((r.query_id, r["rank"]) for r in got) == [(x, r) for x in (1, 2) for r in range(1, 201)]
+    whole = S.vector_topk(v.filter("embedding IS NOT NULL"), q.filter("query_id < 3"), 5).collect()
+    all_lists = ivf.search(index, q, 5, probes=9, pool=300).collect()
+    assert sorted(map(str, all_lists)) == sorted(map(str, whole))
+
+
+def test_vector_index_of_nothing(spark):
+    from dragoman.operators import ivf
+
+    with pytest.raises(ValueError):
+        ivf.build(spark.createDataFrame([(1, None)], "chunk_id long, embedding array<double>"))

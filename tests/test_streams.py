@@ -7,10 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from dragoman.operators import service
-from dragoman.sources import store
-from dragoman.operators import ranking, search
-from dragoman.functions import text as X
-from dragoman.functions.arrow import hash_vector
 from dragoman.streaming import jobs as J
 
 
@@ -80,15 +76,3 @@ def test_upload_replaces_the_earlier_text(spark, tmp_path):
     last = spark.createDataFrame([rows[1][:2], rows[2][:2]], schema)
     want, _ = service.ingest_corpus(last)
     assert sorted((r.chunk_id, r.text) for r in got.collect()) == sorted((r.chunk_id, r.text) for r in want.collect())
-
-
-def test_search_of_the_store_equals_search_of_the_texts(spark, tmp_path):
-    rows = [(f"c{i}", f"red fox number{i % 5} runs over hill{i}", "x") for i in range(40)]
-    chunks = spark.createDataFrame(rows, "chunk_id string, text string, category string")
-    asks = spark.createDataFrame([(1, "red hill7"), (2, "number3"), (3, "none")], "query_id long, text string")
-    store.write_chunk_store(chunks, str(tmp_path / "store"))
-    got = store.search_store(spark, str(tmp_path / "store"), asks, 5).collect()
-    vectors = chunks.select("chunk_id", hash_vector(X.search_terms(F.col("text"))).alias("embedding"))
-    near = search.vector_topk(vectors, asks.select("query_id", hash_vector(X.search_terms(F.col("text"))).alias("embedding")), 5)
-    want = ranking.merge_candidates(search.bm25_topk(chunks, asks, 5), near).collect()
-    assert sorted(map(str, got)) == sorted(map(str, want)) and got
