@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from dragoman.functions import dims
 from dragoman.operators import dialogue as D
 from dragoman.plans import views as V
+from dragoman.plans.q_filters import ANY_AR
 from dragoman.plans.registry import query
 
 MARKS = "(?i)error occurred|sorry, an error|حدث خطأ|عذراً، حدث"
@@ -97,7 +98,7 @@ ROUTED = f"""{V.EVENT_TURNS},
  f AS (
   SELECT DISTINCT session_id, 0::BIGINT AS i, NULL::BIGINT AS seq, NULL::TIMESTAMP AS ts, ''::VARCHAR AS intent, 0::DOUBLE AS confidence,
     0::INT AS low, 0::INT AS fb, FALSE AS greeted, 0::BIGINT AS turn_count, 0::BIGINT AS helped, NULL::TIMESTAMP AS active,
-    ''::VARCHAR AS last_intent, 0::DOUBLE AS last_confidence, ''::VARCHAR AS reason, NULL::VARCHAR AS pool FROM o
+    ''::VARCHAR AS last_intent, 0::DOUBLE AS last_confidence, ''::VARCHAR AS reason, NULL::VARCHAR AS pool, []::VARCHAR[] AS last_helped, ''::VARCHAR AS text FROM o
   UNION ALL
   SELECT session_id, i, seq, ts, intent, confidence,
     CASE WHEN esc THEN 0 ELSE low1 END, CASE WHEN esc OR reason = 'fallback_escalation' THEN 0 ELSE fb1 END,
@@ -109,7 +110,8 @@ ROUTED = f"""{V.EVENT_TURNS},
       WHEN reason = 'canned:goodbye' THEN CASE WHEN helped0 > 0 THEN 'after_help_goodbye' ELSE 'goodbye' END
       WHEN reason = 'canned:thanks' THEN 'thanks' WHEN reason = 'canned:capabilities' THEN 'capabilities_lines'
       WHEN reason LIKE 'low_confidence:%' THEN CASE WHEN low1 >= 2 THEN 'fallback' ELSE 'low_confidence' END
-      WHEN reason = 'fallback' THEN 'fallback' END
+      WHEN reason = 'fallback' THEN 'fallback' END,
+    CASE WHEN esc OR reason LIKE 'rag:%' THEN last0 ELSE list_append(last0, intent)[-3:] END, text
   FROM (SELECT *, CASE WHEN esc THEN 'escalation'
       WHEN intent IN {V.sql_in(dims.CANNED_INTENTS)} AND confidence >= 0.35 THEN 'canned:' || intent
       WHEN intent IN {V.sql_in(dims.CAPABILITY_INTENTS)} THEN 'capabilities'
@@ -118,7 +120,7 @@ ROUTED = f"""{V.EVENT_TURNS},
       WHEN intent = 'unknown' THEN 'unknown_intent' ELSE 'rag:' || intent END AS reason
     FROM (SELECT *, low0 >= 3 AS esc, CASE WHEN intent IN ('fallback', 'unknown') OR confidence < 0.4 THEN low0 + 1 ELSE 0 END AS low1,
         CASE WHEN intent = 'fallback' THEN fb0 + 1 ELSE 0 END AS fb1
-      FROM (SELECT o.session_id, o.i, o.seq, o.ts, o.intent, o.confidence, f.last_intent, f.last_confidence,
+      FROM (SELECT o.session_id, o.i, o.seq, o.ts, o.intent, o.confidence, o.text, f.last_intent, CASE WHEN exp THEN [] ELSE last_helped END AS last0, f.last_confidence,
           CASE WHEN exp THEN 0 ELSE low END AS low0, CASE WHEN exp THEN 0 ELSE fb END AS fb0, CASE WHEN exp THEN FALSE ELSE greeted END AS greeted0,
           CASE WHEN exp THEN 0 ELSE turn_count END AS turns0, CASE WHEN exp THEN 0 ELSE helped END AS helped0, active AS active0
         FROM (SELECT f.*, o2.ts - INTERVAL 30 MINUTE > f.active AS exp FROM f JOIN o o2 ON o2.session_id = f.session_id AND o2.i = f.i + 1) f
@@ -133,16 +135,17 @@ def routed(spark, sf):
 
 @query(
     "route_turns",
-    f"WITH RECURSIVE {ROUTED} SELECT session_id, seq, reason, reason NOT LIKE 'rag:%' AS handled, pool, reply_index::INT AS reply_index FROM routed",
+    f"WITH RECURSIVE {ROUTED} SELECT session_id, seq, reason, reason NOT LIKE 'rag:%' AS handled, pool, reply_index::INT AS reply_index, "
+    f"CASE WHEN regexp_matches(text, '{ANY_AR}') THEN 'ar' ELSE 'en' END AS reply_language, last_helped FROM routed",
 )
 def route_turns(spark, sf):
-    return routed(spark, sf).select("session_id", "seq", "reason", "handled", "pool", "reply_index")
+    return routed(spark, sf).select("session_id", "seq", "reason", "handled", "pool", "reply_index", "reply_language", "last_helped")
 
 
 @query(
     "session_state",
     f"WITH RECURSIVE {ROUTED}, last AS (SELECT session_id, max(i) AS i FROM routed GROUP BY session_id) "
-    "SELECT session_id, last_intent, last_confidence, low AS low_confidence_turns, fb AS fallbacks, greeted, helped, turn_count, "
+    "SELECT session_id, last_intent, last_confidence, low AS low_confidence_turns, fb AS fallbacks, greeted, helped, turn_count, last_helped, "
     "epoch_us(active) AS last_activity FROM routed JOIN last USING (session_id, i)",
 )
 def session_state(spark, sf):

@@ -197,7 +197,7 @@ def as_event_turns(e: DataFrame) -> DataFrame:
         intent.alias("intent"),
         F.round(F.least(F.col("value") / 100.0, F.lit(1.0)), 4).alias("confidence"),
         F.get_json_object("props", "$.k").cast("int").alias("k"),
-    )
+    ).withColumn("text", F.concat(F.when(F.col("k") % 3 == 0, "سؤال رقم ").otherwise("question number "), F.col("k").cast("string")))
 
 
 EVENT_TURNS = (
@@ -207,5 +207,6 @@ EVENT_TURNS = (
     + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_INTENTS.items())
     + " ELSE 'unknown' END AS intent,\n"
     "    round(least(value / 100.0, 1.0), 4) AS confidence,\n"
-    "    (props->>'$.k')::INT AS k\n  FROM events)"
+    "    (props->>'$.k')::INT AS k,\n"
+    "    CASE WHEN (props->>'$.k')::INT % 3 = 0 THEN 'سؤال رقم ' ELSE 'question number ' END || (props->>'$.k')::INT AS text\n  FROM events)"
 )
