@@ -16,8 +16,12 @@ packed apart. An empty table gives no pieces.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,8 @@ LENGTH = 4096
 END_ID = 2
 #: Pieces of which a worker keeps the ids (twice that at most, while old ones are still used).
 MEMO = 600_000
+#: Texts that are encoded at a time.
+TEXTS = 512
 
 
 def default_tokenizer() -> str:
@@ -39,64 +45,88 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Pieces whose lower case and composition are plain: ASCII and the accented letters up to U+00FF; their words in lower case.
+PLAIN = re.compile(r"[\x00-\x7FÀ-ÖØ-öø-ÿ]*")
+PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-z0-9ß-öø-ÿ]+")
+
+
+def by_words(path: str) -> bool:
+    """Whether a tokenizer drops white space, folds case and encodes each word on its own, as ``Encoder`` assumes of words."""
+    with open(path, encoding="utf-8") as f:
+        book = json.load(f)
+    steps = ((book.get("normalizer") or {}).get("normalizers")) or []
+    cuts = ((book.get("pre_tokenizer") or {}).get("pretokenizers")) or []
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    return (
+        [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
+        and [x["type"] for x in cuts] == ["Split", "ByteLevel"]
+        and cuts[0]["invert"] and cuts[0]["pattern"] == {"Regex": pattern} and not cuts[1]["add_prefix_space"]
+        and not any(t["lstrip"] or t["rstrip"] or t["normalized"] for t in book["added_tokens"])
+    )
+
+
 class Encoder:
     """Token ids of texts as little-endian integers.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its pieces
-    between plain spaces and line ends; pieces are looked up, new ones encoded together. A stop or comma after a
-    letter is always a token of its own and ASCII case is folded, so such forms are made of known pieces. Of the
-    pieces looked up, those used since the last turn of the memo are kept.
+    A tokenizer that drops white space and never joins across it gives a text the ids of its pieces between plain spaces
+    and line ends. Pieces are looked up. A new one in plain letters is cut into its words in lower case, which have a memo of
+    their own; any other, and any that may hold a special token, is encoded as it stands. Of the pieces looked up, those used
+    since the last turn of the memo are kept. With any other tokenizer whole texts are encoded.
     """
 
     def __init__(self, path: str, width: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.width = Tokenizer.from_file(path), width
+        self.tokenizer, self.width, self.by_words = Tokenizer.from_file(path), width, by_words(path)
         self.memo, self.before = {"": b""}, {}
+        self.words: dict[str, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self.marks = {m: self._ids([m])[0] for m in ".,"}
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        """A piece of letters only is one word, whose last id is a word's end: such pieces are encoded as one
-        text and cut at the ends. Should these not add up, as with any other piece, each is encoded alone."""
-        out: dict[str, bytes] = {}
-        plain = [p for p in pieces if p.isalpha()]
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _of_words(self, words: list[str]) -> None:
+        """A word of letters is one word, whose last id is a word's end: such words are encoded as one text and cut at the
+        ends. Should these not add up, as with any other word, each is encoded alone."""
+        plain = [w for w in words if w.isalpha()]
         if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, self.width)
+            ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, self.width)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(plain):
-                raw, size = ids.tobytes(), ids.itemsize
-                out = dict(zip(plain, (raw[a:b] for a, b in zip([0, *(stops[:-1] * size).tolist()], (stops * size).tolist(), strict=True)), strict=True))
-        rest = [p for p in pieces if p not in out]
-        alone = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-        out.update(zip(rest, (np.array(e.ids, self.width).tobytes() for e in alone), strict=True))
-        return [out[p] for p in pieces]
-
-    def _learn(self, pieces: set[str]) -> None:
-        memo, before, plain, new = self.memo, self.before, {}, set()
+                raw, edges = ids.tobytes(), [0, *(stops * ids.itemsize).tolist()]
+                self.words.update(zip(plain, map(raw.__getitem__, map(slice, edges[:-1], edges[1:])), strict=True))
+        rest = [w for w in words if w not in self.words]
+        self.words.update(zip(rest, self._alone(rest), strict=True))
+
+    def _learn(self, pieces: list[str]) -> None:
+        memo, before, cut_up, whole = self.memo, self.before, {}, []
+        plain, find = PLAIN.fullmatch, PLAIN_WORD.findall
         for w in pieces:
             if w in before:
                 memo[w] = before[w]
-                continue
-            mark = w[-1] if w[-1] in self.marks and w[-2:-1].isalpha() else ""
-            stem = w[:-1] if mark else w
-            if stem.isascii():
-                stem = stem.lower()
-            plain[w] = stem, mark
-            if stem not in memo and stem not in before:
-                new.add(stem)
-        new = list(new)
-        memo.update(zip(new, self._ids(new), strict=True))
-        for w, (stem, mark) in plain.items():
-            ids = memo[stem] if stem in memo else before[stem]
-            memo[w] = ids + self.marks[mark] if mark else ids
+            elif plain(w) and "<|" not in w:
+                words = find(w.lower())
+                cut_up[w] = words[0] if len(words) == 1 else words
+            else:
+                whole.append(w)
+        if len(self.words) > MEMO:
+            self.words = {}
+        single = {x for x in cut_up.values() if type(x) is str}
+        several = chain.from_iterable(x for x in cut_up.values() if type(x) is list)
+        self._of_words(list(filterfalse(self.words.__contains__, single.union(several))))
+        known = self.words.__getitem__
+        for w, words in cut_up.items():
+            memo[w] = known(words) if type(words) is str else b"".join(map(known, words))
+        memo.update(zip(whole, self._alone(whole), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return self._alone(texts)
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.memo) > MEMO:
             self.memo, self.before = {"": b""}, self.memo
-        self._learn(set().union(*pieces) - self.memo.keys())
+        self._learn(list(filterfalse(self.memo.__contains__, set().union(*pieces))))
         known = self.memo.__getitem__
         return [b"".join(map(known, p)) for p in pieces]
 
@@ -118,21 +148,24 @@ def _tokenize(path: str, width: str):
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part, row = _encoder(path, width), TaskContext.get().partitionId(), 0
+        encoder, part, queued = _encoder(path, width), TaskContext.get().partitionId(), defaultdict(int)
         end, size = np.array([END_ID], width).tobytes(), np.dtype(width).itemsize
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                some = batch.slice(a, 256)
+            for a in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(a, TEXTS)
                 ids = [x + end for x in encoder.encode([t or "" for t in some.column(2).to_pylist()])]
-                n = len(ids)
+                n = [len(x) // size for x in ids]
+                inside = []
+                for source, tokens in zip(some.column(1).to_pylist(), n, strict=True):
+                    inside.append(queued[source])
+                    queued[source] += tokens
                 yield pa.RecordBatch.from_arrays(
                     [
-                        some.column(0), some.column(1), pa.array(np.full(n, part, np.int64)), pa.array(np.arange(row, row + n)),
-                        pa.array([len(x) // size for x in ids], pa.int64()), pa.array(ids, pa.binary()),
+                        some.column(0), some.column(1), pa.array(np.full(len(n), part, np.int64)), pa.array(inside, pa.int64()),
+                        pa.array(n, pa.int64()), pa.array(ids, pa.binary()),
                     ],
-                    ["doc_id", "source", "part", "row", "n", "ids"],
+                    ["doc_id", "source", "part", "inside", "n", "ids"],
                 )
-                row += n
 
     return run
 
@@ -223,8 +256,9 @@ def _cut(totals: list[tuple[str | None, int]], length: int, width: str):
 def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
-    Tokens are written once with the task and row they come from; a queue is ordered by these. Its places are
-    running sums inside a task's rows plus one total per task and source.
+    Tokens are written once with the task they come from and, per source, the tokens before them in that task; a queue
+    is ordered by task and place. Only one total per task and source is joined to the rows. ``tokenizer`` may be any file
+    of the tokenizers library.
     """
     path = tokenizer or default_tokenizer()
     from tokenizers import Tokenizer
@@ -232,7 +266,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) ->
     width = "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 65536 else "<u4"
     kind = dict(docs.dtypes)["doc_id"]
     tokens = docs.select("doc_id", F.col("source").cast("string"), "text").mapInArrow(
-        _tokenize(path, width), f"doc_id {kind}, source string, part long, row long, n long, ids binary"
+        _tokenize(path, width), f"doc_id {kind}, source string, part long, inside long, n long, ids binary"
     )
     tokens = cut(tokens, "pack-tokens")
     blocks = tokens.groupBy("source", "part").agg(F.sum("n").alias("tokens"))
@@ -244,9 +278,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) ->
         F.col("source").alias("b_source"), F.col("part").alias("b_part"),
         F.coalesce(F.sum("tokens").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"),
     )
-    inside = W.partitionBy("source", "part").orderBy("row").rowsBetween(W.unboundedPreceding, -1)
-    queued = tokens.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    queued = queued.join(bases, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("part") == F.col("b_part")))
+    queued = tokens.join(bases, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("part") == F.col("b_part")))
     queued = queued.select("doc_id", "source", (F.col("inside") + F.col("base")).alias("queued"), "ids")
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
     return queued.mapInArrow(_cut(totals, length, width), schema)

@@ -345,3 +345,22 @@ def test_language_without_labels(spark):
 
 def test_schema_is_the_documents(docs):
     assert docs.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and len(SCHEMA.split(",")) == len(docs.columns)
+
+
+def test_packing_encodes_as_the_library_does():
+    import random
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(4)
+    signs = [*"abcdeABC İıΣσςßẞéÉȩÀö× \t\n\u0085\x1c'.,!<|>0123٣½中文😀", "İ.", "İZMİR,", "<|endoftext|>", "<|ENDOFTEXT|>", "<|endoftext|>.", "'s", "'LL", " the", "don't."]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(5000)] + ["", "İ.", "<|ENDOFTEXT|>"]
+    for name, words in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        encoder = packing.Encoder(public_tokenizers.path(name), "<u2")
+        assert encoder.by_words == words
+        library = Tokenizer.from_file(public_tokenizers.path(name))
+        for a in range(0, len(texts), 100):
+            for text, ids in zip(texts[a : a + 100], encoder.encode(texts[a : a + 100]), strict=True):
+                assert np.frombuffer(ids, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, text
