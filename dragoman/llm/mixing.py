@@ -1,14 +1,15 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-A document's place in its source is a 60-bit hash of its id. The words a source has to give beyond whole
+A document's place in its source is a 60-bit hash of its id and text. The words a source has to give beyond whole
 repeats are found as a hash threshold: a histogram of words by source and the top bits of the hash shows in
 which bucket the budget ends; only that bucket is looked at again with the next bits, until the bits are used
 up. A document is taken once more if its hash lies below the threshold, so nothing is sorted, budgets are
 nested (a larger budget takes a superset) and reruns agree.
 
-Null and empty texts have size 0 and are never taken. Null is a source of its own, last in order. Rows with
-the same id share a hash and are taken together. The document at the threshold is taken if that comes nearer
-to the target, so a source misses its target by at most half the document (or group of rows) at its threshold.
+Null and empty texts have size 0 and are never taken. Null is a source of its own, last in order. Rows without an
+id, or with the same id, have places of their own by their texts; only equal rows share a place and are taken together.
+The document at the threshold is taken if that comes nearer to the target, so a source misses its target by at most
+half the document (or group of equal rows) at its threshold. An empty table gives no rows. Columns may have any names.
 """
 
 from __future__ import annotations
@@ -27,13 +28,14 @@ WEIGHTS, MOST = (1, 2, 3), 3
 SALTS = 32
 
 
-def hash60(doc_id: Column) -> Column:
-    digits = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, HASH_BITS // 4)
+def hash60(doc_id: Column, text: Column) -> Column:
+    row = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    digits = F.substring(F.md5(row.cast("binary")), 1, HASH_BITS // 4)
     return F.conv(digits, 16, 10).cast("long")
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), hash60(F.col("doc_id")).alias("hash"))
+    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), hash60(F.col("doc_id"), F.col("text")).alias("hash"))
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -102,10 +104,11 @@ def thresholds(sized: DataFrame) -> DataFrame:
 
 
 def _with_threshold(rows: DataFrame, found: DataFrame, source: str, hash_name: str) -> DataFrame:
-    """Rows with the columns of their source, each source in ``SALTS`` parts."""
-    parts = found.withColumnRenamed("source", "_t_source").withColumn("_t_salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
-    same = F.col(source).eqNullSafe(F.col("_t_source")) & (F.col(hash_name) % SALTS == F.col("_t_salt"))
-    return rows.join(parts, same).drop("_t_source", "_t_salt")
+    """Rows with the columns of their source, each source in ``SALTS`` parts. ``found`` has no other name in common."""
+    own, salt = fresh(rows, "_t_source"), fresh(rows, "_t_salt")
+    parts = found.withColumnRenamed("source", own).withColumn(salt, F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
+    same = F.col(source).eqNullSafe(F.col(own)) & (F.col(hash_name) % SALTS == F.col(salt))
+    return rows.join(parts, same).drop(own, salt)
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -119,12 +122,11 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: rows of ``docs``, all columns, each as often as the mix takes it."""
     found = cut(thresholds(cut(sizes(docs), "mix-sizes")), "mix-thresholds")
-    found = found.select(F.col("source").alias("source"), F.col("repeats").alias("_t_repeats"), F.col("threshold").alias("_t_threshold"))
-    key = fresh(docs, "_t_hash")
-    out = _with_threshold(docs.withColumn(key, hash60(F.col("doc_id"))), found, "source", key)
-    times = (F.col("_t_repeats") + (F.col(key) < F.col("_t_threshold")).cast("long")).cast("int")
+    repeats, threshold, key, copy = (fresh(docs, n) for n in ("_t_repeats", "_t_threshold", "_t_hash", "_t_copy"))
+    found = found.select("source", F.col("repeats").alias(repeats), F.col("threshold").alias(threshold))
+    out = _with_threshold(docs.withColumn(key, hash60(F.col("doc_id"), F.col("text"))), found, "source", key)
+    times = (F.col(repeats) + (F.col(key) < F.col(threshold)).cast("long")).cast("int")
     # a row without words is never taken
     times = F.when(F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"), times).otherwise(0)
     names = docs.columns
-    out = out.withColumn("_t_copy", F.explode(F.array_repeat(F.lit(1), times)))
-    return out.select(*names)
+    return out.withColumn(copy, F.explode(F.array_repeat(F.lit(1), times))).select(*names)

@@ -85,7 +85,7 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_sql(table: str = "documents") -> str:
     return f"""{worded(table)},
 sized AS (
-  SELECT *, len(ws)::BIGINT AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM worded
+  SELECT *, len(ws)::BIGINT AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h FROM worded
 ),
 per AS (
   SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS weight

@@ -1,6 +1,7 @@
 """Operators against plain versions, on awkward rows: nulls, empty and long texts, ties, repeated rows, clashing names."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -364,3 +365,35 @@ def test_packing_encodes_as_the_library_does():
         for a in range(0, len(texts), 100):
             for text, ids in zip(texts[a : a + 100], encoder.encode(texts[a : a + 100]), strict=True):
                 assert np.frombuffer(ids, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_sources_without_ids_meet_their_targets(spark):
+    rng = random.Random(9)
+    rows = [(None if s != "c" else 1000 * i, " ".join(f"w{rng.randrange(999)}" for _ in range(rng.randrange(5, 40))), s) for s in "abc" for i in range(200)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg({"taken": "sum", "target": "max", "size": "max"})
+    for r in out.collect():
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= r["max(size)"] / 2 + 1
+
+
+def test_a_text_of_very_many_secrets(spark):
+    import time
+
+    hashes = ["%032x" % (i * 7919 + (1 << 120)) for i in range(30_000)]
+    docs = spark.createDataFrame([(1, " ".join(hashes), "a"), (2, None, "a")], "doc_id long, text string, source string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in secrets.scan(docs).collect()}
+    assert got[1]["n_hex"] == 30_000 and got[2]["n_hex"] == 0
+    assert got[1]["spans"] == ",".join(f"hex:{33 * i}:{33 * i + 32}" for i in range(30_000))
+    assert time.time() - began < 60
+
+
+def test_stages_with_clashing_columns(spark, docs):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    names = ["removed", "Removed_", "r_doc", "r_tag", "_l_doc", "_t_salt", "_t_source", "_t_hash", "_t_repeats", "_t_copy", "_g_doc", "_g_tag", "_j_doc", "doc", "tag", "line", "part", "n"]
+    rows = docs.drop("tag", "block").withColumns({n: F.lit(n) for n in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, "")
+        assert out.columns == rows.columns and out.count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, rows, "").count() > 0

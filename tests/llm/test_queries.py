@@ -36,8 +36,8 @@ def test_query_equals_sql(spark, sf, con, key):
     assert got == sorted(tuple(flat(r[i]) for i in order) for r in cur.fetchall())
 
 
-def test_ten_operators():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+def test_thirteen_operators():
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
 
 
 def plain_lines(rows):

@@ -162,3 +162,18 @@ def test_written_files_read_back(spark, tmp_path):
     blocks = {(r.key, r.kind, r.block) for r in records.collect()}
     assert (1, "conversion", "Hi & bye\nx") in blocks and (2, "conversion", "") in blocks and (1, "conversion", "a < b") in blocks
     assert warc.derive(warc.responses(pages.limit(0))).collect() == []
+
+
+@pytest.mark.parametrize("page", ["<a x" * 250_000, "<a " * 350_000 + ">", "<html " * 200_000, "<title" * 200_000, "<p <div" * 150_000, "<a href='x' " * 90_000, '<a href="x>' * 90_000])
+def test_long_unclosed_markup(page):
+    import time
+
+    began = time.time()
+    warc.metadata(page, "")
+    warc.plain_text(page)
+    assert time.time() - began < 10
+
+
+def test_responses_without_key_and_url_are_told_apart(spark):
+    pages = spark.createDataFrame([(None, None, "a"), (None, None, "b"), (None, None, None)], "page_id long, url string, html string")
+    assert warc.responses(pages).select("record_id").distinct().count() == 3
