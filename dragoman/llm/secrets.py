@@ -31,7 +31,7 @@ KINDS = (
     ),
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
-    ("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]+", 0, 40),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+", 0, 40),
     ("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
     ("google", r"AIza[0-9A-Za-z_-]+", 0, 39),
@@ -44,12 +44,18 @@ NEEDS = {
     "github": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),
 }
 BASE = ("assign", "access", "hex")
+#: Matches that are gathered at a time.
+BLOCK = 256
+SPANS = "array<struct<start:int,kind_order:int,kind:string,end:int,value:string>>"
 #: A value with this many owners or more is a copied example.
 COPIED_OWNERS = 3
 
 
 def _spans(text: Column, order: int, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Array of (start, kind_order, kind, end, value): the text between the matches tells where they lie."""
+    """Array of (start, kind_order, kind, end, value): the text between the matches tells where they lie.
+
+    Appending to an array copies it, so matches are gathered in blocks and the blocks put together.
+    """
 
     def folded(found: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
@@ -65,9 +71,14 @@ def _spans(text: Column, order: int, kind: str, pattern: str, group: int, least:
             spans = F.when(fits, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
             return F.struct(end.alias("at"), spans.alias("spans"))
 
-        count = F.size(found["whole"])
-        start = F.struct(F.lit(0).alias("at"), _nothing().alias("spans"))
-        return F.aggregate(F.sequence(F.lit(0), count - 1), start, step, lambda acc: acc["spans"])
+        def block(acc: Column, b: Column) -> Column:
+            last = F.least(b * BLOCK + (BLOCK - 1), F.size(found["whole"]) - 1)
+            inner = F.aggregate(F.sequence(b * BLOCK, last), F.struct(acc["at"].alias("at"), _nothing().alias("spans")), step)
+            return let(inner, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["parts"], F.array(r["spans"])).alias("parts")))
+
+        blocks = F.sequence(F.lit(0), F.floor((F.size(found["whole"]) - 1) / BLOCK).cast("int"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("parts"))
+        return F.flatten(F.aggregate(blocks, start, block, lambda acc: acc["parts"]))
 
     found = F.struct(
         F.split(text, pattern, -1).alias("gaps"),
@@ -84,7 +95,7 @@ def _spans(text: Column, order: int, kind: str, pattern: str, group: int, least:
 
 
 def _nothing() -> Column:
-    return F.array().cast("array<struct<start:int,kind_order:int,kind:string,end:int,value:string>>")
+    return F.array().cast(SPANS)
 
 
 def candidates(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
