@@ -28,8 +28,9 @@ UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title)\
 BREAKS = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|main|aside|blockquote|pre|form|dt|dd|dl|option|td|th)\b[^>]*>", re.I)
 TAG = re.compile(r"</?[a-z!?][^>]*>", re.I)
 TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.I | re.S)
-LANGUAGE = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([a-z0-9-]+)", re.I)
-LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+LANGUAGE = re.compile(r"\blang\s*=\s*[\"']?([a-z0-9-]+)", re.I)
+HREF = re.compile(r"\bhref\s*=\s*", re.I)
+VALUE = re.compile(r"\"([^\"]*)\"|'([^']*)'|([^\s>]+)")
 BLANKS = re.compile(r"[^\S\n]+")
 FIELDS = "record_id string, refers_to string, kind string, target_uri string, date string, content_type string, content_length long, block_digest string, source_digest string, headers string, block string"
 
@@ -42,23 +43,62 @@ def record_id(source: str, kind: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{source}#{kind}')}>"
 
 
+def without_tags(text: str, breaks: bool = False) -> str:
+    """Text without its tags. Behind the last ``>`` there is none, so there every search for an end would be in vain."""
+    end = text.rfind(">") + 1
+    head = BREAKS.sub("\n", text[:end]) if breaks else text[:end]
+    return TAG.sub("", head) + text[end:]
+
+
+def attributes(page: str, tag: str) -> Iterator[tuple[int, int]]:
+    """Where the attributes of the tags of a name lie: each tag ends at the next ``>`` and is looked at once."""
+    start = re.compile(rf"<{tag}\b", re.I)
+    at = 0
+    while m := start.search(page, at):
+        at = page.find(">", m.end())
+        if at < 0:
+            return
+        yield m.end(), at
+
+
+def links(page: str) -> Iterator[str]:
+    """Targets of the links of a page, in order."""
+    for a, b in attributes(page, "a"):
+        m = HREF.search(page, a, b)
+        value = m and VALUE.match(page, m.end())
+        if value:
+            yield next(v for v in value.groups() if v is not None)
+
+
+def language(page: str) -> str | None:
+    for a, b in attributes(page, "html"):
+        if m := LANGUAGE.search(page, a, b):
+            return m[1].lower()
+    return None
+
+
+def title(page: str) -> str | None:
+    end = page.rfind(">") + 1
+    m = TITLE.search(page) if "<title" in page[:end].lower() else None
+    return _one_line(m[1]) if m else None
+
+
 def plain_text(page: str) -> str:
     """Text of a page, a line for each block, blanks folded, without scripts, styles, comments and title."""
-    text = TAG.sub("", BREAKS.sub("\n", UNSEEN.sub(" ", page)))
+    text = without_tags(UNSEEN.sub(" ", page), True)
     lines = (BLANKS.sub(" ", x).strip() for x in html.unescape(text).replace("\r", "\n").split("\n"))
     return "\n".join(x for x in lines if x)
 
 
 def _one_line(text: str) -> str:
-    return " ".join(html.unescape(TAG.sub("", text)).split())
+    return " ".join(html.unescape(without_tags(text)).split())
 
 
 def metadata(page: str, http_headers: str) -> str:
     """Fields of the metadata block, one a line."""
-    fields = [("title", _one_line(m[1])) for m in [TITLE.search(page)] if m]
-    fields += [("language", m[1].lower()) for m in [LANGUAGE.search(page)] if m]
+    fields = [(k, v) for k, v in (("title", title(page)), ("language", language(page))) if v is not None]
     fields += [("source-header", _one_line(h)) for h in http_headers.splitlines() if h.strip()]
-    fields += [("outlink", _one_line(a or b or c)) for a, b, c in LINK.findall(UNSEEN.sub(" ", page))]
+    fields += [("outlink", _one_line(target)) for target in links(UNSEEN.sub(" ", page))]
     return "".join(f"{k}: {v}\r\n" for k, v in fields)
 
 
@@ -94,8 +134,9 @@ def _derived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def responses(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", date: Column | None = None) -> DataFrame:
-    """Response records of a table of pages; the id is made of the key and the URL."""
-    name = F.concat_ws(" ", F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(url), F.lit("")))
+    """Response records of a table of pages; the id is made of the key and the URL, or of the payload where both are missing."""
+    nameless = F.when(F.col(key).isNull() & F.col(url).isNull(), F.md5(F.coalesce(F.col(payload), F.lit("")).cast("binary")))
+    name = F.concat_ws(" ", F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(url), F.lit("")), nameless)
     h = F.md5(name)
     dashed = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     return pages.select(
