@@ -240,7 +240,7 @@ def similar(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Rows of ``docs``, all columns, that are the least of their group; of equal rows one stays."""
-    doc, tag = fresh(docs, "_j_doc"), fresh(docs, "_j_tag")
-    gone = groups(docs).filter(F.col("root") != _node()).select(F.col("doc").alias("_g_doc"), F.col("tag").alias("_g_tag")).distinct()
-    kept = docs.withColumns({doc: _doc(), tag: _tag()}).join(gone, (F.col(doc) == F.col("_g_doc")) & (F.col(tag) == F.col("_g_tag")), "left_anti")
+    doc, tag, g_doc, g_tag = (fresh(docs, n) for n in ("_j_doc", "_j_tag", "_g_doc", "_g_tag"))
+    gone = groups(docs).filter(F.col("root") != _node()).select(F.col("doc").alias(g_doc), F.col("tag").alias(g_tag)).distinct()
+    kept = docs.withColumns({doc: _doc(), tag: _tag()}).join(gone, (F.col(doc) == F.col(g_doc)) & (F.col(tag) == F.col(g_tag)), "left_anti")
     return kept.dropDuplicates([doc, tag]).drop(doc, tag)
