@@ -91,10 +91,10 @@ class Encoder:
         ends. Should these not add up, as with any other word, each is encoded alone."""
         plain = [w for w in words if w.isalpha()]
         if plain:
-            ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, self.width)
+            ids = np.frombuffer(self._alone([" ".join(plain)])[0], self.width)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(plain):
-                raw, edges = ids.tobytes(), [0, *(stops * ids.itemsize).tolist()]
+                raw, edges = bytes(ids.data), [0, *(stops * ids.itemsize).tolist()]
                 self.words.update(zip(plain, map(raw.__getitem__, map(slice, edges[:-1], edges[1:])), strict=True))
         rest = [w for w in words if w not in self.words]
         self.words.update(zip(rest, self._alone(rest), strict=True))
@@ -126,9 +126,13 @@ class Encoder:
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.memo) > MEMO:
             self.memo, self.before = {"": b""}, self.memo
-        self._learn(list(filterfalse(self.memo.__contains__, set().union(*pieces))))
-        known = self.memo.__getitem__
-        return [b"".join(map(known, p)) for p in pieces]
+        # the pieces of these texts in a small table of their own: most lookups then stay in the processor's caches
+        here = dict.fromkeys(chain.from_iterable(pieces))
+        here = dict(zip(here, map(self.memo.get, here), strict=True))
+        new = [w for w, ids in here.items() if ids is None]
+        self._learn(new)
+        here.update(zip(new, map(self.memo.__getitem__, new), strict=True))
+        return [b"".join(map(here.__getitem__, p)) for p in pieces]
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
