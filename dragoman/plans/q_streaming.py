@@ -30,17 +30,18 @@ def timed(spark, sf):
     return V.as_event_turns(e)
 
 
+# events are answered once the watermark has passed them, so the newest are still waiting at the end
 @query(
     "stream_rate_limit",
     f"WITH RECURSIVE {REQUESTS}, o AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY us, seq) AS i FROM req), "
     "f AS (SELECT DISTINCT client, 0::BIGINT AS i, NULL::BIGINT AS seq, NULL::BIGINT AS us, []::BIGINT[] AS times, FALSE AS accepted FROM o UNION ALL "
     "SELECT client, i, seq, us, CASE WHEN len(live) < 30 THEN list_append(live, us) ELSE live END, len(live) < 30 FROM "
     "(SELECT o.client, o.i, o.seq, o.us, list_filter(f.times, lambda t: o.us - t < 60000000) AS live FROM f JOIN o ON o.client = f.client AND o.i = f.i + 1)) "
-    "SELECT client, seq, us, accepted FROM f WHERE i > 0",
+    "SELECT client, seq, us, accepted FROM f WHERE i > 0 AND us < (SELECT 1000 * (max(us) // 1000 - 5000) FROM req)",
 )
 def stream_rate_limit(spark, sf):
     r = requests(J.read_table_stream(spark, sf, "events"))
-    return J.run_to_files(J.stream_rate_limit(r), scratch_dir(spark, "rate"))
+    return J.run_to_files(J.stream_rate_limit(r, late="5 seconds"), scratch_dir(spark, "rate"))
 
 
 @query(
@@ -67,7 +68,8 @@ def stream_sessions(spark, sf):
 
 @query(
     "stream_routing",
-    f"WITH RECURSIVE {ROUTED} SELECT session_id, seq, reason, reason NOT LIKE 'rag:%' AS handled FROM routed",
+    f"WITH RECURSIVE {ROUTED} SELECT session_id, seq, reason, reason NOT LIKE 'rag:%' AS handled FROM routed "
+    "WHERE epoch_us(ts) < (SELECT 1000 * (epoch_us(max(ts)) // 1000 - 600000) FROM event_turns)",
 )
 def stream_routing(spark, sf):
     return J.run_to_files(J.stream_routing(timed(spark, sf)), scratch_dir(spark, "routing"))

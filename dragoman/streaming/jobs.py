@@ -12,12 +12,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from dragoman.functions import dims
 from dragoman.operators import service
-from dragoman.operators.routing import reason_of
+from dragoman.operators.routing import Router, read_state
 from dragoman.operators.scale import running, with_previous
+from dragoman.streaming.ordered import in_order, state_on_disk
 
 LATE = "10 minutes"
 FILES_PER_TRIGGER = 16
@@ -34,15 +34,15 @@ def read_table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def run_to_files(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Process everything available, then return what was written."""
-    query = (
+    writer = (
         stream.writeStream.format("parquet")
         .option("path", f"{path}/data")
         .option("checkpointLocation", f"{path}/checkpoint")
         .outputMode(mode)
         .trigger(availableNow=True)
-        .start()
     )
-    query.awaitTermination()
+    with state_on_disk(stream.sparkSession):
+        writer.start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/data")
 
 
@@ -101,31 +101,21 @@ class Gate:
 
 
 def stream_rate_limit(
-    requests: DataFrame, limit: int = dims.RATE_LIMIT, seconds: int = dims.RATE_WINDOW
+    requests: DataFrame, limit: int = dims.RATE_LIMIT, seconds: int = dims.RATE_WINDOW, late: str = LATE
 ) -> DataFrame:
     """Accept at most ``limit`` requests per client in the trailing window; rejected ones do not count.
 
-    ``requests`` has (client, seq, us). State is the accepted times of the window, at most ``limit``; it goes
-    once the watermark has passed the window of the last accepted request. Requests are taken in time order
-    within a trigger; one that arrives in a later trigger is judged after those already answered.
+    ``requests`` has (client, seq, us). A request is judged once the watermark, ``late`` behind the newest one, has passed
+    it. What is remembered is the accepted times of the window, at most ``limit``.
     """
     width = seconds * 1_000_000
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        gate = Gate(limit, width, list(state.get[0]) if state.exists else None)
-        rows = pd.concat(batches).sort_values(["us", "seq"])
-        passed = [gate(at) for at in rows["us"].tolist()]
-        state.update((list(gate.ring),))
-        state.setTimeoutTimestamp(max((gate.ring[-1] + width) // 1000, state.getCurrentWatermarkMs() + 1))
-        yield rows.assign(accepted=passed)[["client", "seq", "us", "accepted"]]
-
-    timed = requests.withColumn("at", F.timestamp_micros("us")).withWatermark("at", LATE)
-    return timed.groupBy("client").applyInPandasWithState(
-        step, RATE_SCHEMA, "times array<long>", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    def walk(key: tuple, accepted: list[int] | None, events: list[tuple]) -> tuple[list[int], list[tuple], int]:
+        gate = Gate(limit, width, accepted)
+        rows = [(key[0], seq, us, gate(us)) for us, seq in events]
+        return list(gate.ring), rows, gate.ring[-1] + width
+
+    return in_order(requests, "client", "us long, seq long", RATE_SCHEMA, walk, late)
 
 
 def rate_limit(
@@ -161,43 +151,24 @@ def rate_limit(
 
 
 def stream_routing(
-    turns: DataFrame, threshold: float = dims.LOW_CONFIDENCE, minutes: int = dims.SESSION_MINUTES, patience: int = 3
+    turns: DataFrame, threshold: float = dims.LOW_CONFIDENCE, minutes: int = dims.SESSION_MINUTES, patience: int = 3, late: str = LATE
 ) -> DataFrame:
     """Routing with live state per session: (session_id, seq, ts, intent, confidence) to reasons.
 
-    State: length of the run of bad turns, length of the run of fallbacks, time of the last counted turn. The
-    turn after ``patience`` bad ones is an escalation, which ends both runs and is not counted. The state goes
-    when the session has been idle past the watermark.
+    A turn is routed once the watermark has passed it, by the router of the batch job. The state goes when the session
+    has been idle past the watermark.
     """
-    idle = minutes * 60_000_000
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        low, falls, active = state.get if state.exists else (0, 0, None)
-        rows = pd.concat(batches).sort_values(["us", "seq"])
-        bad = rows["intent"].isin(["fallback", "unknown"]) | (rows["confidence"] < 0.4)
-        reasons = []
-        for at, intent, confidence, weak in zip(rows["us"].tolist(), rows["intent"], rows["confidence"].tolist(), bad, strict=True):
-            awake = active is None or at - active <= idle
-            low, falls = (low, falls) if awake else (0, 0)
-            tired = low == patience
-            low = 0 if tired or not weak else low + 1
-            falls = falls + 1 if intent == "fallback" and not tired else 0
-            reasons.append("escalation" if tired else reason_of(intent, confidence, low, falls, threshold))
-            falls = 0 if reasons[-1] == "fallback_escalation" else falls
-            active = active if tired else at
-        state.update((low, falls, active))
-        until = (int(rows["us"].max()) + idle) // 1000
-        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-        out = rows[["session_id", "seq"]].assign(reason=reasons)
-        yield out.assign(handled=[not r.startswith("rag:") for r in reasons])
-
-    timed = turns.withWatermark("ts", LATE).withColumn("us", F.unix_micros("ts"))
-    return timed.groupBy("session_id").applyInPandasWithState(
-        step, ROUTE_SCHEMA, "low int, falls int, active long", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    router = Router(threshold, patience, minutes * 60_000_000)
+
+    def walk(key: tuple, known: list | None, events: list[tuple]) -> tuple[list, list[tuple], int]:
+        state, rows = read_state(known), []
+        for us, seq, intent, confidence in events:
+            state, reason = router.step(state, us, intent, confidence)
+            rows.append((key[0], seq, reason, not reason.startswith("rag:")))
+        return list(state), rows, state.active + router.idle
+
+    timed = turns.withColumns({"us": F.unix_micros("ts"), "confidence": F.coalesce("confidence", F.lit(0.0))})
+    return in_order(timed, "session_id", "us long, seq long, intent string, confidence double", ROUTE_SCHEMA, walk, late)
 
 
 # ---------------------------------------------------------------- ingest

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from dragoman.operators import service
+from dragoman.operators import dialogue, service
 from dragoman.streaming import jobs as J
 
 
@@ -39,28 +39,48 @@ def test_stats_continue_after_a_stop(spark, events, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
-def test_rate_limit_over_files(spark, events, tmp_path):
-    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
-    requests = events.select(F.col("session_id").alias("client"), "seq", (F.col("at") * 1_000_000).alias("us"), "part")
-    write_files(requests, folder, "e", range(5))
-    got = J.run_to_files(J.stream_rate_limit(stream(spark, folder, requests.drop("part").schema), 3, 400), out)
-    ring = defaultdict(list)
-    want = {}
-    for r in requests.orderBy("us").collect():
-        live = [t for t in ring[r.client] if r.us - t < 400_000_000]
-        want[r.seq] = len(live) < 3
-        ring[r.client] = live + [r.us] * want[r.seq]
-    assert {r.seq: r.accepted for r in got.collect()} == want and not all(want.values())
-
-
-def test_routing_over_files_equals_one_file(spark, events, tmp_path):
-    turns = events.select("session_id", "seq", "ts", "intent", (F.col("seq") % 10 / 10).alias("confidence"), "part")
-    write_files(turns, str(tmp_path / "many"), "e", range(5))
-    turns.drop("part").coalesce(1).write.parquet(str(tmp_path / "one"))
-    schema = turns.drop("part").schema
-    many = J.run_to_files(J.stream_routing(stream(spark, str(tmp_path / "many"), schema)), str(tmp_path / "a"))
-    one = J.run_to_files(J.stream_routing(stream(spark, str(tmp_path / "one"), schema)), str(tmp_path / "b"))
-    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, one.collect()))
+def shuffled(rows, reach, parts, seed):
+    """Rows out of order by up to ``reach`` seconds (``at``), cut into parts."""
+    rng = random.Random(seed)
+    order = sorted(rows, key=lambda r: r["at"] + rng.randrange(reach))
+    return [[r for i, r in enumerate(order) if i * parts // len(order) == n] for n in range(parts)]
+
+
+def run_files(spark, folder, parts, schema, job):
+    """The job over part after part, stopped and continued between them."""
+    out = None
+    for n, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/in/f{n}")
+        out = J.run_to_files(job(stream(spark, f"{folder}/in", schema)), f"{folder}/out")
+    return out.collect()
+
+
+@pytest.mark.parametrize(("reach", "parts"), [(1, 1), (1, 4), (500, 3)])
+def test_rate_limit_does_not_depend_on_files_or_order(spark, events, tmp_path, reach, parts):
+    rows = [(r.session_id, r.seq, r.at * 1_000_000, r.at) for r in events.collect()]
+    table = spark.createDataFrame(rows, "client long, seq long, us long, at long")
+    files = [[tuple(r)[:3] for r in part] for part in shuffled(table.collect(), reach, parts, 1)]
+    got = run_files(spark, str(tmp_path), files, "client long, seq long, us long", lambda s: J.stream_rate_limit(s, 3, 400))
+    ring, want, last = defaultdict(list), {}, max(r[2] for r in rows)
+    for client, seq, us, _ in sorted(rows, key=lambda r: r[2]):
+        live = [t for t in ring[client] if us - t < 400_000_000]
+        if us < last - 600_000_000:
+            want[seq] = len(live) < 3
+        ring[client] = live + [us] * (len(live) < 3)
+    assert {r.seq: r.accepted for r in got} == want and len(got) == len(want) and not all(want.values())
+
+
+@pytest.mark.parametrize(("reach", "parts"), [(1, 1), (500, 4)])
+def test_routing_does_not_depend_on_files_or_order(spark, events, tmp_path, reach, parts):
+    turns = events.select("session_id", "seq", "ts", "intent", (F.col("seq") % 10 / 10).alias("confidence"), "at")
+    files = [[tuple(r)[:5] for r in part] for part in shuffled(turns.collect(), reach, parts, 2)]
+    schema = turns.drop("at").schema
+    got = run_files(spark, str(tmp_path), files, schema, lambda s: J.stream_routing(s, patience=2))
+    batch = dialogue.route_turns(turns.drop("at"), patience=2).join(turns.select("session_id", "seq", "at"), ["session_id", "seq"])
+    last = turns.agg(F.max("at")).first()[0]
+    want = {(r.session_id, r.seq): (r.reason, r.handled) for r in batch.collect() if r.at < last - 600}
+    assert {(r.session_id, r.seq): (r.reason, r.handled) for r in got} == want and len(got) == len(want)
+    assert "escalation" in {r.reason for r in got}
 
 
 def test_upload_replaces_the_earlier_text(spark, tmp_path):
