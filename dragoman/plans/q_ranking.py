@@ -234,7 +234,7 @@ def context_budget(spark, sf):
 
 
 SOURCES_SQL = f"""{BUDGET},
- ans AS (SELECT query_id, text[1:100] AS answer FROM queries),
+ ans AS (SELECT query_id, text AS answer FROM queries),
  src AS (SELECT query_id, doc_name, page, min(rank) AS rank, arg_min(score, rank) AS score FROM cb WHERE score >= 0.3 GROUP BY ALL),
  srcs AS (SELECT query_id, count(*) AS n_sources, round(sum(round(score, 2)), 2) AS relevance,
    string_agg(doc_name || CASE WHEN page IS NOT NULL THEN ' (p. ' || page || ')' ELSE '' END, ' • ' ORDER BY rank) AS names FROM src GROUP BY query_id),
@@ -248,7 +248,7 @@ def attribute_sources(spark, sf):
 
 
 def attributed(ctx, q):
-    answers = q.select("query_id", F.substring("text", 1, 100).alias("answer"))
+    answers = q.select("query_id", F.col("text").alias("answer"))
     a = R.attribute_sources(ctx, answers)
     total = F.aggregate("sources", F.lit(0.0), lambda acc, s: acc + s["relevance"])
     return a.select(
@@ -294,30 +294,33 @@ def prompt_dataset(spark, sf):
     return p.select("query_id", F.length("prompt").cast("long").alias("n_chars"), F.md5(F.col("prompt").cast("binary")).alias("digest"))
 
 
-REPLY = (
-    "CASE WHEN (conv_id + turn) % 7 = 0 THEN 'I cannot say. ' || text[1:60] WHEN (conv_id + turn) % 11 = 0 THEN text[1:12] "
-    "WHEN (conv_id + turn) % 3 = 0 THEN text || text ELSE text END"
-)
+REPLIES = """r AS (
+  SELECT conv_id, turn, 'whole' AS kind, text AS t FROM conversations WHERE role = 'assistant'
+  UNION ALL SELECT conv_id, turn, 'twice', text || ' ' || text FROM conversations WHERE role = 'assistant' AND (conv_id + turn) % 3 = 0
+  UNION ALL SELECT conv_id, turn, 'refusing', 'I cannot say. ' || text[1:60] FROM conversations WHERE role = 'assistant' AND (conv_id + turn) % 7 = 0
+  UNION ALL SELECT conv_id, turn, 'short', text[1:12] FROM conversations WHERE role = 'assistant' AND (conv_id + turn) % 11 = 0)"""
 
 
 @query(
     "response_screen",
-    f"WITH r AS (SELECT conv_id, turn, {REPLY} AS t FROM conversations WHERE role = 'assistant'), "
+    f"WITH {REPLIES}, "
     "s AS (SELECT *, length(t) <= 150 AND (" + " OR ".join(f"contains(lower(t), '{w.replace(chr(39), chr(39) * 2)}')" for w in dims.REFUSAL_EN)
     + ") AS refusal, length(trim(t)) < 20 AS minimal, length(regexp_extract(t[1:2000], '(?s)^(.*[.])', 1)) AS dot FROM r) "
-    "SELECT conv_id, turn, refusal, minimal, md5(CASE WHEN length(t) <= 2000 THEN t WHEN dot > 1501 THEN t[1:dot] ELSE t[1:2000] || '…' END) AS digest FROM s",
+    "SELECT conv_id, turn, kind, refusal, minimal, md5(CASE WHEN length(t) <= 2000 THEN t WHEN dot > 1501 THEN t[1:dot] ELSE t[1:2000] || '…' END) AS digest FROM s",
 )
 def response_screen(spark, sf):
+    """All replies as they are, and beside them long, refusing and short ones made from some."""
     c = V.table(spark, sf, "conversations").filter("role = 'assistant'")
     n = F.col("conv_id") + F.col("turn")
-    reply = (
-        F.when(n % 7 == 0, F.concat(F.lit("I cannot say. "), F.substring("text", 1, 60)))
-        .when(n % 11 == 0, F.substring("text", 1, 12))
-        .when(n % 3 == 0, F.concat("text", "text"))
-        .otherwise(F.col("text"))
+    made = F.array(
+        F.struct(F.lit("whole").alias("kind"), F.col("text").alias("t")),
+        F.when(n % 3 == 0, F.struct(F.lit("twice").alias("kind"), F.concat("text", F.lit(" "), "text").alias("t"))),
+        F.when(n % 7 == 0, F.struct(F.lit("refusing").alias("kind"), F.concat(F.lit("I cannot say. "), F.substring("text", 1, 60)).alias("t"))),
+        F.when(n % 11 == 0, F.struct(F.lit("short").alias("kind"), F.substring("text", 1, 12).alias("t"))),
     )
-    s = c.select("conv_id", "turn", reply.alias("t")).withColumn("s", R.response_screen(F.col("t"), F.lit(True)))
-    return s.select("conv_id", "turn", "s.refusal", "s.minimal", F.md5(F.col("s.text").cast("binary")).alias("digest"))
+    r = c.select("conv_id", "turn", F.explode_outer(made).alias("r")).filter("r IS NOT NULL").select("conv_id", "turn", "r.kind", "r.t")
+    s = r.withColumn("s", R.response_screen(F.col("t"), F.lit(True)))
+    return s.select("conv_id", "turn", "kind", "s.refusal", "s.minimal", F.md5(F.col("s.text").cast("binary")).alias("digest"))
 
 
 ANSWERS_SQL = f"WITH {SOURCES_SQL}, {CONF} SELECT query_id, answer, n_sources, confidence, context_used FROM attributed JOIN conf USING (query_id)"

@@ -154,7 +154,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").alias("session_id"),
         F.col("turn").alias("seq"),
         "role",
-        F.when(failed, F.concat(F.lit("Sorry, an error occurred. "), F.substring("text", 1, 20)))
+        F.when(failed, F.concat(F.lit("Sorry, an error occurred. "), "text"))
         .otherwise(F.col("text"))
         .alias("content"),
     )
@@ -163,7 +163,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 TURNS = """turns AS (
   SELECT conv_id AS session_id, turn AS seq, role,
          CASE WHEN role = 'assistant' AND (conv_id + turn) % 5 = 0
-              THEN 'Sorry, an error occurred. ' || text[1:20] ELSE text END AS content
+              THEN 'Sorry, an error occurred. ' || text ELSE text END AS content
   FROM conversations)"""
 
 EVENT_INTENTS = {
