@@ -21,43 +21,40 @@ from dragoman.operators.scale import cut
 META = ["doc_name", "url", "title", "lang", "category", "source", "headings", "scraped_at"]
 
 
-def ingest_corpus(
-    documents: DataFrame, store: DataFrame | None = None, strategy: str = "contextual", force: bool = False
-) -> tuple[DataFrame, DataFrame]:
-    """Chunk rows to store and the status of every document.
-
-    ``documents`` has doc_name and text; url, title, lang, category, source, headings and scraped_at
-    are filled where they are missing. Documents in ``store`` are skipped unless ``force``.
-    """
+def described(documents: DataFrame) -> DataFrame:
+    """Documents with all metadata columns; language and category are filled where they are missing."""
     docs = documents
     for name in META[1:]:
         if name not in docs.columns:
             docs = docs.withColumn(name, F.lit(None).cast("string"))
     t = F.col("text")
-    docs = docs.withColumns(
+    return docs.withColumns(
         {
             "lang": F.coalesce("lang", X.language_tag(t)),
             "category": F.coalesce("category", C.assign_category(F.col("doc_name"), t)),
         }
     )
-    if store is None or force:
-        todo, known = docs, None
-    else:
-        names = store.select("doc_name").distinct()
-        todo = docs.join(names, "doc_name", "left_anti")
-        known = docs.join(names, "doc_name", "left_semi").select("doc_name")
-    cleaned = todo.withColumn("text", F.when(X.is_reversed(t), "").otherwise(t))
+
+
+def gated_documents(docs: DataFrame, strategy: str) -> DataFrame:
+    """One row per document: its chunks that pass the gate, how many there were, and whether the text was blank. Columns
+    of ``docs`` beside text are kept."""
+    t = F.col("text")
+    kept = [c for c in docs.columns if c != "text"]
+    cleaned = docs.withColumn("text", F.when(X.is_reversed(t), "").otherwise(t))
     cut_up = K.chunk_corpus(cleaned, strategy).withColumn("floor", C.lenient_floor(F.length(t)))
     good = F.filter("chunks", lambda c: C.lenient_quality(c, F.col("floor")))
-    gated = cut_up.select(
-        *META, "is_short_doc",
+    return cut_up.select(
+        *kept, "is_short_doc",
         (F.coalesce(X.strip(t), F.lit("")) == "").alias("blank"),
         F.size("chunks").alias("raw"),
         F.transform(good, X.strip).alias("chunks"),
     )
-    # the chunk folds run once; statuses and rows both read their result
-    gated = cut(gated, "ingest")
-    rows = K.explode_rows(gated.drop("blank", "raw"), "chunks", "pos", "text")
+
+
+def numbered_chunks(gated: DataFrame) -> DataFrame:
+    """Chunk rows with ids and metadata: the first copy of each text over all documents, numbered within its document."""
+    rows = K.explode_rows(gated.select(*META, "is_short_doc", "chunks"), "chunks", "pos", "text")
     first = C.content_dedup(rows, ["doc_name", "pos"])
     # within one document, so at most the chunks of one row
     doc = W.partitionBy("doc_name")
@@ -66,7 +63,7 @@ def ingest_corpus(
         (F.row_number().over(doc.orderBy("pos")) - 1).alias("chunk_index"),
         F.count("*").over(doc).alias("total_chunks"),
     )
-    chunks = chunks.withColumns(
+    return chunks.withColumns(
         {
             "chunk_id": C.chunk_id(F.col("doc_name"), F.col("chunk_index")),
             "priority": C.priority_tier(F.col("category")),
@@ -75,6 +72,26 @@ def ingest_corpus(
             "is_scanned": F.coalesce(F.col("source") == "pdf_scanned", F.lit(False)),
         }
     )
+
+
+def ingest_corpus(
+    documents: DataFrame, store: DataFrame | None = None, strategy: str = "contextual", force: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Chunk rows to store and the status of every document.
+
+    ``documents`` has doc_name and text; url, title, lang, category, source, headings and scraped_at
+    are filled where they are missing. Documents in ``store`` are skipped unless ``force``.
+    """
+    docs = described(documents)
+    if store is None or force:
+        todo, known = docs, None
+    else:
+        names = store.select("doc_name").distinct()
+        todo = docs.join(names, "doc_name", "left_anti")
+        known = docs.join(names, "doc_name", "left_semi").select("doc_name")
+    # the chunk folds run once; statuses and rows both read their result
+    gated = cut(gated_documents(todo.select(*META, "text"), strategy), "ingest")
+    chunks = numbered_chunks(gated)
     kept = chunks.groupBy("doc_name").agg(F.count("*").alias("kept"))
     status = gated.select("doc_name", "blank", "raw").join(kept, "doc_name", "left").select(
         "doc_name",

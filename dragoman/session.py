@@ -58,10 +58,15 @@ def ship(spark: SparkSession) -> None:
 def scratch_root(spark: SparkSession) -> str:
     """This application's folder for intermediate tables, on a file system that all executors share.
 
-    It lies in ``spark.checkpoint.dir``, and where that is not set (tests, a notebook) in the warehouse, which
-    is shared as well. ``clear_scratch`` removes it; nothing else does.
+    It lies in ``spark.checkpoint.dir``, and where that is not set (tests, a notebook) in the warehouse, unless that is
+    a machine's own disk on a cluster. ``clear_scratch`` removes it; nothing else does.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"{warehouse}/_scratch"
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dragoman.functions import dims
@@ -177,26 +178,28 @@ def stream_routing(
 def stream_ingest(documents: DataFrame, path: str, strategy: str = "contextual") -> DataFrame:
     """Ingest uploads (doc_name, text, ...) as they arrive; returns the current chunks.
 
-    Each trigger runs the batch job: chunker, gate, category, ids and metadata. Its chunks and the names of its
-    documents go to one folder named by its number, rewritten whole on a retry. A later upload of a document
-    replaces its chunks by their ids.
+    Each trigger cuts its documents into chunks, gates them, and writes one row per upload to a folder named by its
+    number, rewritten whole on a retry. Which upload of a name holds, which copy of a text comes first, and the numbers
+    of chunks are decided over all uploads when the chunks are read, so they do not depend on the triggers. Of two
+    uploads of a name the one with the later ``uploaded_at`` holds, where documents have that column, else the one
+    of the later trigger.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        # of a name uploaded twice in one trigger, one text stays
-        once = batch.dropDuplicates(["doc_name"])
-        chunks, status = service.ingest_corpus(once, strategy=strategy)
-        chunks.write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
-        status.select("doc_name").write.mode("overwrite").parquet(f"{path}/names/batch={number}")
+        at = F.col("uploaded_at").cast("timestamp") if "uploaded_at" in batch.columns else F.lit(None).cast("timestamp")
+        rows = service.described(batch).select(*service.META, at.alias("uploaded_at"), F.xxhash64("text").alias("version"), "text")
+        service.gated_documents(rows, strategy).write.mode("overwrite").parquet(f"{path}/documents/batch={number}")
 
     run_batches(documents, path, write, "append")
     return current_chunks(documents.sparkSession, path)
 
 
 def current_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks of each document's newest batch; the names are few next to the chunks."""
-    newest = spark.read.parquet(f"{path}/names").groupBy("doc_name").agg(F.max("batch").alias("batch"))
-    return spark.read.parquet(f"{path}/chunks").join(newest, ["doc_name", "batch"], "left_semi")
+    """Chunks of the newest upload of each document."""
+    uploads = spark.read.parquet(f"{path}/documents")
+    newest = W.partitionBy("doc_name").orderBy(F.desc_nulls_last("uploaded_at"), F.desc("batch"), "version")
+    current = uploads.withColumn("age", F.row_number().over(newest)).filter("age = 1")
+    return service.numbered_chunks(current)
 
 
 def stats_to_files(stream: DataFrame, path: str, keys: list[str]) -> DataFrame:

@@ -96,3 +96,21 @@ def test_upload_replaces_the_earlier_text(spark, tmp_path):
     last = spark.createDataFrame([rows[1][:2], rows[2][:2]], schema)
     want, _ = service.ingest_corpus(last)
     assert sorted((r.chunk_id, r.text) for r in got.collect()) == sorted((r.chunk_id, r.text) for r in want.collect())
+
+
+def test_uploads_in_any_triggers_give_the_same_chunks(spark, tmp_path):
+    shared = "The same passage stands in several documents and is kept once, in the first of them by name. " * 6
+    own = "Document {} has a part of its own that nobody else has, and it is long enough to stay. " * 4
+    uploads = [(f"d{i % 5}", f"{own.replace("{}", str(i))}\n\n{shared}", f"2024-01-{1 + (i * 7) % 20:02d}") for i in range(12)]
+    schema = "doc_name string, text string, uploaded_at string"
+    newest = {}
+    for row in uploads:
+        if row[0] not in newest or row[2] > newest[row[0]][2]:
+            newest[row[0]] = row
+    want, _ = service.ingest_corpus(spark.createDataFrame(list(newest.values()), schema))
+    want = sorted((r.chunk_id, r.text, r.total_chunks) for r in want.collect())
+    for n, parts in enumerate(([uploads], [uploads[8:], uploads[:3], uploads[3:8]])):
+        for k, rows in enumerate(parts):
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{n}/in/f{k}")
+            got = J.stream_ingest(stream(spark, f"{tmp_path}/{n}/in", spark.createDataFrame([], schema).schema), f"{tmp_path}/{n}/out")
+        assert sorted((r.chunk_id, r.text, r.total_chunks) for r in got.collect()) == want
