@@ -75,9 +75,13 @@ class Encoder:
     """
 
     def __init__(self, path: str, width: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.width, self.by_words = Tokenizer.from_file(path), width, by_words(path)
+        # the same merges for words that are in lower case and cut already
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.memo, self.before = {"": b""}, {}
         self.words: dict[str, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -91,10 +95,10 @@ class Encoder:
         ends. Should these not add up, as with any other word, each is encoded alone."""
         plain = [w for w in words if w.isalpha()]
         if plain:
-            ids = np.frombuffer(self._alone([" ".join(plain)])[0], self.width)
+            ids = np.array(self.merges.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, self.width)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(plain):
-                raw, edges = bytes(ids.data), [0, *(stops * ids.itemsize).tolist()]
+                raw, edges = ids.tobytes(), [0, *(stops * ids.itemsize).tolist()]
                 self.words.update(zip(plain, map(raw.__getitem__, map(slice, edges[:-1], edges[1:])), strict=True))
         rest = [w for w in words if w not in self.words]
         self.words.update(zip(rest, self._alone(rest), strict=True))
