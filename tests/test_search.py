@@ -156,3 +156,49 @@ def test_vector_index_of_nothing(spark):
 
     with pytest.raises(ValueError):
         ivf.build(spark.createDataFrame([(1, None)], "chunk_id long, embedding array<double>"))
+
+
+def test_blocks_of_either_side_are_bounded(spark):
+    """A row is copied to a bounded number of tasks, however many rows there are."""
+
+    class Pair:
+        def __init__(self, queries):
+            self.queries, self.items = queries, 0
+
+        def add(self, items):
+            self.items += len(items)
+
+        def result(self):
+            import pyarrow as pa
+
+            return pa.RecordBatch.from_pydict({"queries": [len(self.queries)], "items": [self.items]})
+
+    items = spark.range(900).withColumnRenamed("id", "chunk_id")
+    asks = spark.range(700).withColumnRenamed("id", "query_id")
+    got = blocks.score_blocks(items, asks, Pair, "queries long, items long", per_item_block=4, per_query_block=2).collect()
+    assert len(got) <= blocks.SPREAD**2
+    assert sum(r["queries"] * r["items"] for r in got) == 900 * 700
+    more = blocks.score_blocks(items, asks, Pair, "queries long, items long", per_item_block=4, per_query_block=2, held=35).collect()
+    assert max(r["queries"] for r in more) < 70 and sum(r["queries"] * r["items"] for r in more) == 900 * 700
+
+
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_nearest_of_a_stream_is_exact(exclude_self):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 16))
+    x[100:140] = x[3]  # ties go by id
+    x[200] = 0
+    x[300:330] = x[5] * (1 + 1e-7 * rng.normal(size=(30, 16)))  # beyond single precision
+    table = pa.table({"query_id": np.arange(700), "chunk_id": np.arange(700), "v": pa.array(x.tolist())})
+    unit = S.units(table)
+    whole = np.round(unit @ unit.T, 9)
+    if exclude_self:
+        np.fill_diagonal(whole, -9)
+    nearest = S.Nearest(table, 7, exclude_self)
+    for a in range(0, 700, 64):
+        nearest.add(table.slice(a, 64))
+    got = nearest.result().to_pandas().groupby("query_id")["chunk_id"].apply(list)
+    assert [got[q] for q in range(700)] == [sorted(range(700), key=lambda i: (-whole[q, i], i))[:7] for q in range(700)]
