@@ -27,10 +27,10 @@ ROUTE_SCHEMA = "session_id long, seq long, reason string, handled boolean"
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Stream of a parquet table's files."""
+    """Stream of a parquet table's files, where the table is one file or a folder of them."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER)
-    return reader.option("pathGlobFilter", f"{name}.parquet*").parquet(folder)
+    return reader.parquet(f"{folder}/{name}.parquet*")
 
 
 def run_to_files(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:

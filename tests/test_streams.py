@@ -114,3 +114,14 @@ def test_uploads_in_any_triggers_give_the_same_chunks(spark, tmp_path):
             spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{n}/in/f{k}")
             got = J.stream_ingest(stream(spark, f"{tmp_path}/{n}/in", spark.createDataFrame([], schema).schema), f"{tmp_path}/{n}/out")
         assert sorted((r.chunk_id, r.text, r.total_chunks) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_a_table_may_be_a_folder_of_files(spark, tmp_path, files):
+    rows = spark.range(100).withColumn("text", F.concat(F.lit("Some words about the library, number "), F.col("id").cast("string")))
+    rows.repartition(files).write.parquet(f"{tmp_path}/in/documents.parquet")
+    rows.limit(3).write.parquet(f"{tmp_path}/in/labels.parquet")
+    table = J.read_table_stream(spark, f"{tmp_path}/in", "documents")
+    docs = table.select(F.concat(F.lit("doc"), "id").alias("doc_name"), "text")
+    store = J.stream_ingest(docs, f"{tmp_path}/out")
+    assert store.select("doc_name").distinct().count() == 100
