@@ -74,3 +74,16 @@ def test_evaluation_of_a_fixture_file(spark, tmp_path):
     got = {r.metric: r.value for r in P.run_evaluation(fixture, model, chunks, "2025-01-01").collect()}
     assert got["num_examples"] == 2 and got["intent_accuracy"] == 1.0 and got["ner_f1"] == 1.0
     assert got["retrieval_mrr"] == 1.0 and got["retrieval_precision_at_k"] == 0.3333
+
+
+def test_rows_of_a_label_are_not_gathered(spark):
+    """Texts meet the label set where they lie, whatever is known of its size."""
+    from dragoman.operators import intents as I
+
+    texts = spark.createDataFrame([("en", "a"), ("en", "b"), ("fr", "c"), (None, "d")], "label string, text string")
+    labels = spark.createDataFrame([("en",)], "label string")
+    known, rejected = I.known_labels(texts, labels)
+    for df, want in ((known, ["a", "b"]), (rejected, ["c", "d"])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+        assert sorted(r["text"] for r in df.collect()) == want
