@@ -143,7 +143,7 @@ class ChunkStore:
         """Build what a search reads for this version's chunks."""
         seq, folder = self.version + 1, f"{self.root}/search/{self.version + 1:012d}-{uuid.uuid4().hex[:12]}"
         live = self.chunks()
-        build_index(live, plain_terms, f"{folder}/index")
+        build_index(live, plain_terms, f"{folder}/index", postings=False)
         live.select("chunk_id", hash_vector(X.search_terms(F.col("text"))).alias("embedding")).write.parquet(f"{folder}/vectors")
         return self._commit(self.manifest | {"search": {"folder": folder, "of": seq}}, seq)
 

@@ -88,6 +88,50 @@ def test_bm25_reads_a_stored_index(spark, tmp_path):
     assert sorted((r.query_id, r.chunk_id, r["rank"]) for r in got) == brute_bm25(5)
 
 
+def test_bm25_holds_no_pairs(spark, monkeypatch):
+    """Copies of one text: a block of documents gives the best k of each query, whatever number of them ties."""
+    docs = [(i, "red fox runs" if i % 3 else "blue fox") for i in range(1500)]
+    asks = [(q, "red fox") for q in range(30)]
+    monkeypatch.setitem(globals(), "DOCS", docs)
+    monkeypatch.setitem(globals(), "ASKS", asks)
+    monkeypatch.setattr(inverted, "ROWS", 7)
+    monkeypatch.setattr(inverted, "WAITING", 100)
+    table = spark.createDataFrame(docs, "chunk_id long, text string").repartition(3)
+    queries = spark.createDataFrame(asks, "query_id long, text string")
+    index = inverted.build_index(table, S.plain_terms)
+    assert inverted.search(index, queries, 5, S.plain_terms).count() == 5 * len(asks)
+    got = S.bm25_topk(table, queries, 5).collect()
+    assert sorted((r.query_id, r.chunk_id, r["rank"]) for r in got) == brute_bm25(5)
+
+
+@pytest.mark.parametrize(("columns", "cheaper"), [(2048, 1e9), (3, 50), (0, 0)])
+def test_keywords_of_a_stream_are_exact(columns, cheaper, monkeypatch):
+    """Scores by the product, by single postings and by both are those of a sum over the terms."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(inverted, "COLUMNS", columns)
+    monkeypatch.setattr(inverted, "CHEAPER", cheaper)
+    monkeypatch.setattr(inverted, "ROWS", 4)
+    rng = random.Random(3)
+    docs = [sorted(rng.sample(range(40), rng.randrange(1, 12))) for _ in range(90)]
+    asks = [{t: rng.random() for t in rng.sample(range(45), 6)} for _ in range(10)]
+    kind = pa.list_(pa.struct([("term", pa.int64()), ("w", pa.float64())]))
+    queries = pa.table({"query_id": range(10), "asked": pa.array([[{"term": t, "w": w} for t, w in a.items()] for a in asks], kind)})
+    meets = inverted.Keywords(queries, 3, 5.0)
+    for a in range(0, 90, 30):
+        part = docs[a : a + 30]
+        meets.add(pa.table({
+            "chunk_id": range(a, a + 30), "dl": [2 * len(d) for d in part], "terms": pa.array(part, pa.list_(pa.int64())),
+            "tfs": pa.array([[2] * len(d) for d in part], pa.list_(pa.int32())),
+        }))
+    want = []
+    for q, ask in enumerate(asks):
+        sums = [(-round(sum(ask.get(t, 0) * inverted.weight_of(2, 2 * len(d), 5.0) for t in d), 9), i) for i, d in enumerate(docs)]
+        want += [(q, i, -s) for s, i in sorted(sums)[:3] if s < 0]
+    got = meets.result().to_pydict()
+    assert [(q, i, round(s, 9)) for q, i, s in zip(got["query_id"], got["chunk_id"], got["score"], strict=True)] == want
+
+
 def test_vectors_ties_and_blocks(spark, tiny_blocks):
     rows = [(i, [1.0, 0.0] if i % 3 else [0.0, 1.0]) for i in range(60)]
     v = spark.createDataFrame(rows, "chunk_id long, embedding array<double>").repartition(5)
