@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from dragoman.functions import dims
 from dragoman.operators import entities as N
 from dragoman.operators import metrics as M
 
@@ -87,3 +88,34 @@ def test_ner_scores(spark):
     p = spark.createDataFrame([(1, "D", "Computer Science"), (1, "S", "spring")], e)
     t = spark.createDataFrame([(1, "D", " computer science"), (1, "S", "spring 2025")], e)
     assert tuple(M.ner_micro_f1(p, t).first()) == (0.5, 0.5, 0.5)
+
+
+def test_every_keyword_is_found_by_itself_and_first_forms_win(spark):
+    """Each keyword and attached form in a text of its own, against plain search in the normalised text."""
+    arabic = dims.SEMESTERS_AR + dims.DEPARTMENTS_AR + dims.COURSES_AR
+    # normalising shortens three equal letters
+    forms = [f for k in N._first_forms(arabic) for f in N.attached_forms(k) if not any(c * 3 in f for c in f)]
+    assert all(N._stem(k) in f for k in N._first_forms(arabic) for f in N.attached_forms(k))
+    texts = [f"x {f} y" for f in forms] + [f"x {w.upper()} y" for w in dims.SEMESTERS_EN + dims.DEPARTMENTS_EN + dims.COURSES_EN] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in N.candidate_rows(df, N.gazetteer_spans(F.col("text"))).collect():
+        got.setdefault(r.doc_id, []).append((r.type, r.start, r.end))
+    for i, text in enumerate(texts):
+        want = []
+        for kind, words in (("SEMESTER", dims.SEMESTERS_AR), ("DEPARTMENT", dims.DEPARTMENTS_AR), ("COURSE_NAME", dims.COURSES_AR)):
+            for k in N._first_forms(words) if i < len(forms) else []:
+                f = next((f for f in N.attached_forms(k) if f in text), None)
+                want += [(kind, text.index(f), text.index(f) + len(f))] if f else []
+        for kind, words in (("SEMESTER", dims.SEMESTERS_EN), ("DEPARTMENT", dims.DEPARTMENTS_EN), ("COURSE_NAME", dims.COURSES_EN)):
+            for w in sorted(words, key=len, reverse=True):
+                low = (text or "").lower()
+                want += [(kind, low.index(w), low.index(w) + len(w))] if w in low else []
+        assert got.get(i, []) == want, text
+
+
+def test_latin_text_is_not_normalised_for_keywords(spark):
+    df = spark.createDataFrame([(1, "spring  semester"), (2, "قسم  التسويق")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in N.with_match_text(df).collect()}
+    assert rows[1]["_norm"] is None and rows[1]["_folded"] is None
+    assert rows[2]["_norm"] == "قسم التسويق"
