@@ -50,11 +50,9 @@ def read_text_corpus(spark, sf):
         F.lit("=====\n"),
     )
     path = scratch_dir(spark, "corpus")
-    files = r.select(
-        F.concat(F.when(n % 5 != 0, head).otherwise(""), "text").alias("value"),
-        F.concat(F.lit("folder"), n % 3).alias("top"), F.lit("xx").alias("second"),
-    )
-    files.write.option("maxRecordsPerFile", 1).partitionBy("top", "second").text(path)
+    top = F.coalesce(F.concat(F.lit("folder"), n % 3), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    value = F.concat(F.when(n % 5 != 0, head).otherwise(""), "text")
+    R.write_text_files(r.select(F.concat(top, F.lit("/xx")).alias("folder"), value.alias("value")), path)
     out = R.read_text_corpus(spark, path)
     return out.groupBy("category", "lang", "source").agg(
         F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars")

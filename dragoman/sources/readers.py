@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +104,46 @@ def read_text_corpus(spark: SparkSession, root: str, category: str | None = None
     )
 
 
+def write_text_files(files: DataFrame, root: str) -> None:
+    """A text file of its own below ``root`` for each row (folder, value), as ``read_text_corpus`` reads them.
+
+    On a mounted file system the tasks create the files themselves: there Spark's writer starts two processes for the
+    mode of every file, and its driver moves the files one by one. A task's folder gets its name when the task is done;
+    until then, and after a failure, readers pass over it. On other file systems Spark writes the files.
+    """
+    spark = files.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    uri = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toUri()
+    if uri.getScheme() != "file":
+        parts = F.split("folder", "/")
+        rows = files.select("value", F.get(parts, 0).alias("top"), F.get(parts, 1).alias("second"))
+        rows.write.option("maxRecordsPerFile", 1).partitionBy("top", "second").text(root)
+        return
+    base = uri.getPath()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        part, n, made = f"part-{task.partitionId():05d}", 0, {}
+        for batch in batches:
+            for folder, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if folder not in made:
+                    made[folder] = f"{base}/{folder}/_{part}-{task.taskAttemptId()}"
+                    os.makedirs(made[folder])
+                with open(f"{made[folder]}/{n:07d}.txt", "wb") as f:
+                    f.write((value or b"") + b"\n")
+                n += 1
+        for folder, path in made.items():
+            try:
+                os.rename(path, f"{base}/{folder}/{part}")
+            except OSError:
+                # another attempt was first
+                if not os.path.isdir(f"{base}/{folder}/{part}"):
+                    raise
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    files.select("folder", F.col("value").cast("binary")).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def assemble_documents(pages: DataFrame) -> DataFrame:
     """Page texts (doc_name, page, text, n_bytes) joined by blank lines in page order.
 

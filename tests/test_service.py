@@ -87,3 +87,17 @@ def test_rows_of_a_label_are_not_gathered(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
         assert sorted(r["text"] for r in df.collect()) == want
+
+
+def test_tasks_write_one_text_file_per_row(spark, tmp_path):
+    """The files are there when the tasks are done; no checksums, nothing half written, every row once."""
+    header = "URL: http://a\nTITLE: t\nLANGUAGE: en\nCATEGORY: library\n=====\nbody"
+    rows = [("folder1/xx", header), ("folder1/xx", " plain \n"), ("folder2/xx", None), ("folder2/xx", "نص"), ("folder2/xx", "نص")]
+    files = spark.createDataFrame(rows, "folder string, value string").repartition(3)
+    R.write_text_files(files, str(tmp_path / "corpus"))
+    made = [f for f in (tmp_path / "corpus").rglob("*") if f.is_file()]
+    assert len(made) == 5 and all(f.suffix == ".txt" for f in made)
+    (tmp_path / "corpus" / "folder1" / "xx" / "_part-00009-9").mkdir()
+    (tmp_path / "corpus" / "folder1" / "xx" / "_part-00009-9" / "0000000.txt").write_text("of a failed task")
+    got = sorted((r.category, r.lang, r.source, r.text) for r in R.read_text_corpus(spark, str(tmp_path / "corpus")).collect())
+    assert got == sorted([("library", "en", "", "body"), ("folder1", "xx", "html", "plain"), ("folder2", "xx", "html", ""), ("folder2", "xx", "html", "نص"), ("folder2", "xx", "html", "نص")])
