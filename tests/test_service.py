@@ -101,3 +101,24 @@ def test_tasks_write_one_text_file_per_row(spark, tmp_path):
     (tmp_path / "corpus" / "folder1" / "xx" / "_part-00009-9" / "0000000.txt").write_text("of a failed task")
     got = sorted((r.category, r.lang, r.source, r.text) for r in R.read_text_corpus(spark, str(tmp_path / "corpus")).collect())
     assert got == sorted([("library", "en", "", "body"), ("folder1", "xx", "html", "plain"), ("folder2", "xx", "html", ""), ("folder2", "xx", "html", "نص"), ("folder2", "xx", "html", "نص")])
+
+
+def test_intermediate_tables_leave_no_shuffles(spark):
+    import time
+    from pathlib import Path
+
+    from dragoman.operators.scale import CLEANUP, cut
+
+    folder = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+
+    def shuffles():
+        return {f.name for f in folder.rglob("shuffle_*.data")}
+
+    before = shuffles()
+    out = cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test-cut")
+    # they are removed in the background
+    waited = time.time() + 20
+    while shuffles() - before and time.time() < waited:
+        time.sleep(0.2)
+    assert not shuffles() - before and spark.conf.get(CLEANUP) == "false"
+    assert out.agg(F.sum("count")).first()[0] == 1000
