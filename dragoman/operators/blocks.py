@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -43,12 +43,6 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.concat_tables(held)
 
 
-def parts(df: DataFrame, size: int, at_most: int | None = None) -> Column:
-    """Number of parts of about ``size`` rows, ``at_most`` of them, as a subquery that runs with the plan."""
-    n = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / size))
-    return df.agg((n if at_most is None else F.least(n, F.lit(at_most))).cast("int").alias("n")).scalar()
-
-
 class Scorer(Protocol):
     """Holds one block of queries, meets the items of one block a stretch at a time."""
 
@@ -84,6 +78,8 @@ class Best:
 
 #: Blocks of a side that are made for the sake of many tasks; more only where a block of queries would be too large to hold.
 SPREAD = 12
+#: Rows that few queries may be copied to, but no more than there are items, so that the blocks of a large table stay small.
+COPIES = 1 << 18
 #: Items of one stretch.
 STRETCH = 4096
 
@@ -107,10 +103,14 @@ def score_blocks(
     and reads its items as a stream, so a block of items may be of any size. Blocks of ``per_item_block`` and
     ``per_query_block`` rows are made up to ``SPREAD`` of either, which bounds how often a row is copied; larger tables
     have larger blocks, and only more than ``SPREAD * held`` queries mean more of them. Items come by ``order``, and
-    ``spread`` is another bound for their blocks. Nothing passes through the driver.
+    ``spread`` is another bound for their blocks. Few queries meet more blocks of items, as long as the copies
+    stay below ``COPIES`` and the number of items, so a task does not hold more of a larger table. Nothing passes through the driver.
     """
-    n_items = parts(items.select(item_id), per_item_block, spread)
     asked = queries.select(query_id).agg(F.count(F.lit(1)).alias("n"))
+    held_items = items.select(item_id).agg(F.count(F.lit(1)).alias("m"))
+    few = F.floor(F.least(F.col("m"), F.lit(COPIES)) / F.greatest("n", F.lit(1)))
+    n_items = F.least(F.ceil(F.col("m") / per_item_block), F.greatest(F.lit(spread), few))
+    n_items = held_items.crossJoin(asked).select(F.greatest(F.lit(1), n_items).cast("int").alias("n")).scalar()
     many = F.least(F.ceil(F.col("n") / per_query_block), F.lit(SPREAD))
     n_queries = asked.select(F.greatest(F.lit(1), many, F.ceil(F.col("n") / held)).cast("int").alias("n")).scalar()
 

@@ -226,6 +226,31 @@ def test_blocks_of_either_side_are_bounded(spark):
     assert max(r["queries"] for r in more) < 70 and sum(r["queries"] * r["items"] for r in more) == 900 * 700
 
 
+def test_few_queries_meet_small_blocks_of_a_large_table(spark):
+    """A task does not hold more items of a larger table, and the copies of the queries stay below the items."""
+
+    class Held:
+        def __init__(self, queries):
+            self.queries, self.items = len(queries), 0
+
+        def add(self, items):
+            self.items += len(items)
+
+        def result(self):
+            import pyarrow as pa
+
+            return pa.RecordBatch.from_pydict({"queries": [self.queries], "items": [self.items]})
+
+    asks = spark.range(3).withColumnRenamed("id", "query_id")
+    for n in (300, 1200):
+        items = spark.range(n).withColumnRenamed("id", "chunk_id")
+        got = blocks.score_blocks(items, asks, Held, "queries long, items long", per_item_block=10, per_query_block=64).collect()
+        assert sum(r["items"] for r in got) == n and max(r["items"] for r in got) < 40
+        assert sum(r["queries"] for r in got) <= n
+    none = blocks.score_blocks(items, asks.filter("query_id < 0"), Held, "queries long, items long").collect()
+    assert none == []
+
+
 @pytest.mark.parametrize("exclude_self", [False, True])
 def test_nearest_of_a_stream_is_exact(exclude_self):
     import numpy as np
