@@ -107,8 +107,8 @@ def read_text_corpus(spark: SparkSession, root: str, category: str | None = None
 def write_text_files(files: DataFrame, root: str) -> None:
     """A text file of its own below ``root`` for each row (folder, value), as ``read_text_corpus`` reads them.
 
-    On a mounted file system the tasks create the files themselves: there Spark's writer starts two processes for the
-    mode of every file, and its driver moves the files one by one. A task's folder gets its name when the task is done;
+    On a mounted file system the tasks create the files themselves: there Hadoop, without its native library, starts a process for the
+    mode of every file and checksum, and the driver moves the files one by one. A task's folder gets its name when the task is done;
     until then, and after a failure, readers pass over it. On other file systems Spark writes the files.
     """
     spark = files.sparkSession
