@@ -25,6 +25,7 @@ from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,8 +36,8 @@ LENGTH = 4096
 END_ID = 2
 #: Pieces of which a worker keeps the ids (twice that at most, while old ones are still used).
 MEMO = 600_000
-#: Texts that are encoded at a time.
-TEXTS = 512
+#: Bytes of text that are encoded at a time.
+TEXTS = 8 << 20
 
 
 def default_tokenizer() -> str:
@@ -104,39 +105,65 @@ class Encoder:
         self.words.update(zip(rest, self._alone(rest), strict=True))
 
     def _learn(self, pieces: list[str]) -> None:
-        memo, before, cut_up, whole = self.memo, self.before, {}, []
-        plain, find = PLAIN.fullmatch, PLAIN_WORD.findall
-        for w in pieces:
-            if w in before:
-                memo[w] = before[w]
-            elif plain(w) and "<|" not in w:
-                words = find(w.lower())
-                cut_up[w] = words[0] if len(words) == 1 else words
-            else:
+        memo, before, plain, find = self.memo, self.before, PLAIN.fullmatch, PLAIN_WORD.findall
+        new = [w for w in pieces if w not in before] if before else pieces
+        if len(new) < len(pieces):
+            memo.update((w, before[w]) for w in pieces if w in before)
+        single, cut_up, whole = {}, {}, []
+        # lower case of all at once; that of the pieces in plain letters does not depend on their neighbours
+        lower = "\n".join(new).lower().split("\n") if new else []
+        for w, low in zip(new, lower, strict=True):
+            if not (w.isascii() or plain(w)) or "<|" in w:
                 whole.append(w)
+            elif low.isalpha():
+                single[w] = low
+            else:
+                cut_up[w] = find(low)
         if len(self.words) > MEMO:
             self.words = {}
-        single = {x for x in cut_up.values() if type(x) is str}
-        several = chain.from_iterable(x for x in cut_up.values() if type(x) is list)
-        self._of_words(list(filterfalse(self.words.__contains__, single.union(several))))
+        self._of_words(list(filterfalse(self.words.__contains__, {*single.values(), *chain.from_iterable(cut_up.values())})))
         known = self.words.__getitem__
+        memo.update(zip(single, map(known, single.values()), strict=True))
         for w, words in cut_up.items():
-            memo[w] = known(words) if type(words) is str else b"".join(map(known, words))
+            memo[w] = known(words[0]) if len(words) == 1 else b"".join(map(known, words))
         memo.update(zip(whole, self._alone(whole), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def flat(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts one after the other, and the number of ids of each."""
         if not self.by_words:
-            return self._alone(texts)
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
+            ids = self._alone(texts.to_pylist())
+            return np.frombuffer(b"".join(ids), self.width), np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(self.width).itemsize
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        if not len(texts) or offsets[0] == offsets[-1]:
+            return np.empty(0, self.width), np.zeros(len(texts), np.int64)
+        raw = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].copy()
+        raw[raw == 10] = 32
+        offsets = offsets - offsets[0]
+        # a piece ends behind its space, and where its text ends
+        stop = raw == 32
+        stop[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = True
+        edges = np.concatenate(([0], np.flatnonzero(stop) + 1)).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges), pa.py_buffer(raw)).dictionary_encode()
+        names = pc.ascii_rtrim(pieces.dictionary, " ").to_pylist()
         if len(self.memo) > MEMO:
             self.memo, self.before = {"": b""}, self.memo
-        # the pieces of these texts in a small table of their own: most lookups then stay in the processor's caches
-        here = dict.fromkeys(chain.from_iterable(pieces))
-        here = dict(zip(here, map(self.memo.get, here), strict=True))
-        new = [w for w, ids in here.items() if ids is None]
-        self._learn(new)
-        here.update(zip(new, map(self.memo.__getitem__, new), strict=True))
-        return [b"".join(map(here.__getitem__, p)) for p in pieces]
+        found = list(map(self.memo.get, names))
+        self._learn(list({w for w, ids in zip(names, found, strict=True) if ids is None}))
+        found = [self.memo[w] if ids is None else ids for w, ids in zip(names, found, strict=True)]
+        book = np.frombuffer(b"".join(found), self.width)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(self.width).itemsize
+        which = pieces.indices.to_numpy()
+        n = size[which]
+        ends = np.cumsum(n)
+        at = np.repeat((np.cumsum(size) - size)[which] - (ends - n), n)
+        at += np.arange(len(at))
+        upto = np.concatenate(([0], ends))[np.searchsorted(edges, offsets)]
+        return book[at], np.diff(upto)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        ids, n = self.flat(pa.array(texts, pa.string()))
+        ends = np.cumsum(n)
+        return [ids[a:b].tobytes() for a, b in zip(ends - n, ends, strict=True)]
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -149,6 +176,19 @@ def _encoder(path: str, width: str) -> Encoder:
     return _encoders[path, width]
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Stretches of rows of at most ``TEXTS`` bytes, or of one row."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
+    a, held = 0, 0
+    for b, n in enumerate(size.tolist()):
+        if held + n > TEXTS and b > a:
+            yield a, b
+            a, held = b, 0
+        held += n
+    if a < len(size):
+        yield a, len(size)
+
+
 def _tokenize(path: str, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -157,20 +197,20 @@ def _tokenize(path: str, width: str):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, part, queued = _encoder(path, width), TaskContext.get().partitionId(), defaultdict(int)
-        end, size = np.array([END_ID], width).tobytes(), np.dtype(width).itemsize
         for batch in batches:
-            for a in range(0, batch.num_rows, TEXTS):
-                some = batch.slice(a, TEXTS)
-                ids = [x + end for x in encoder.encode([t or "" for t in some.column(2).to_pylist()])]
-                n = [len(x) // size for x in ids]
+            for a, b in _slices(batch.column(2)):
+                some = batch.slice(a, b - a)
+                ids, n = encoder.flat(some.column(2).cast(pa.string()).fill_null(""))
+                ids, n = np.insert(ids, np.cumsum(n), END_ID), n + 1
+                ends = np.concatenate(([0], np.cumsum(n))) * ids.itemsize
                 inside = []
-                for source, tokens in zip(some.column(1).to_pylist(), n, strict=True):
+                for source, tokens in zip(some.column(1).to_pylist(), n.tolist(), strict=True):
                     inside.append(queued[source])
                     queued[source] += tokens
                 yield pa.RecordBatch.from_arrays(
                     [
-                        some.column(0), some.column(1), pa.array(np.full(len(n), part, np.int64)), pa.array(inside, pa.int64()),
-                        pa.array(n, pa.int64()), pa.array(ids, pa.binary()),
+                        some.column(0), some.column(1), pa.array(np.full(len(n), part, np.int64)), pa.array(inside, pa.int64()), pa.array(n),
+                        pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(ids)]).cast(pa.binary()),
                     ],
                     ["doc_id", "source", "part", "inside", "n", "ids"],
                 )

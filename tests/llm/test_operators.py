@@ -367,6 +367,26 @@ def test_packing_encodes_as_the_library_does():
                 assert np.frombuffer(ids, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_packing_takes_texts_by_bytes_and_knows_known_pieces():
+    import numpy as np
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(packing.default_tokenizer())
+    encoder = packing.Encoder(packing.default_tokenizer(), "<u4")
+    texts = ["", "a new line\nends  here \n", "", "\u00e9\u0130 a here", " ", "<|endoftext|> ends"]
+    column = pa.array(["before", *texts, "after"], pa.string()).slice(1, len(texts))
+    for _ in range(2):  # the second time no piece is new
+        ids, n = encoder.flat(column)
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+    assert [x.tolist() for x in encoder.flat(pa.array([], pa.string()))] == [[], []]
+    big = "x" * (packing.TEXTS - 1)
+    assert list(packing._slices(pa.array(["ab", None, big, big, "c", None]))) == [(0, 2), (2, 3), (3, 6)]
+    assert list(packing._slices(pa.array([], pa.string()))) == []
+    assert ids.dtype == np.dtype("<u4")
+
+
 def test_sources_without_ids_meet_their_targets(spark):
     rng = random.Random(9)
     rows = [(None if s != "c" else 1000 * i, " ".join(f"w{rng.randrange(999)}" for _ in range(rng.randrange(5, 40))), s) for s in "abc" for i in range(200)]
