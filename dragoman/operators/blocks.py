@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
@@ -12,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dragoman.operators.scale import cut
+
 
 def runs_in(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Stretches of equal values in the first ``keys`` columns, each within one batch, of a stream sorted by them."""
@@ -76,10 +79,39 @@ class Best:
         return pa.RecordBatch.from_arrays([self.ids.take(pa.array(self.row)), self.found, pa.array(self.score)], ["query_id", "chunk_id", "score"])
 
 
+class Parts:
+    """``Best`` of a block of queries in parts of ``rows`` queries, each of which meets a stretch on its own: what is held besides
+    the queries and their results is one part's, however many queries the block has and however many items tie."""
+
+    #: Hits that are sorted into the best at a time.
+    HITS = 1 << 18
+
+    def __init__(self, ids: pa.Array, k: int, rows: int):
+        self.k, self.n = k, len(ids)
+        self.parts = [(a, Best(ids.slice(a, rows), k)) for a in range(0, len(ids), rows)]
+
+    def groups(self, hit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Row and column of the hits in a table of queries and items, some rows at a time: few hits, or one row."""
+        edge = np.append(0, np.cumsum(np.count_nonzero(hit, axis=1)))
+        a = 0
+        while edge[a] < edge[-1]:
+            b = max(a + 1, int(np.searchsorted(edge, edge[a] + self.HITS, side="right")) - 1)
+            row, col = np.nonzero(hit[a:b])
+            if len(row):
+                yield row + a, col
+            a = b
+
+    def result(self) -> pa.RecordBatch | None:
+        found = [out for _, best in self.parts if (out := best.result()) is not None]
+        return pa.Table.from_batches(found).combine_chunks().to_batches()[0] if found else None
+
+
 #: Blocks of a side that are made for the sake of many tasks; more only where a block of queries would be too large to hold.
 SPREAD = 12
 #: Rows that few queries may be copied to, but no more than there are items, so that the blocks of a large table stay small.
 COPIES = 1 << 18
+#: Copies of items that lie on disk at a time; more blocks of queries are gone through in rounds.
+COPIED = 1 << 21
 #: Items of one stretch.
 STRETCH = 4096
 
@@ -96,6 +128,9 @@ def score_blocks(
     held: int = 32768,
     spread: int = SPREAD,
     order: tuple[str, ...] = (),
+    finish: Callable[[DataFrame], DataFrame] | None = None,
+    copied: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """What ``scorer(queries)`` gives after the items of a block, for every pair of an item block and a query block.
 
@@ -105,27 +140,26 @@ def score_blocks(
     have larger blocks, and only more than ``SPREAD * held`` queries mean more of them. Items come by ``order``, and
     ``spread`` is another bound for their blocks. Few queries meet more blocks of items, as long as the copies
     stay below ``COPIES`` and the number of items, so a task does not hold more of a larger table. Nothing passes through the driver.
+
+    ``finish`` makes the result of whole queries from what their blocks give. With it, blocks of queries are gone through in
+    rounds of at most ``copied`` copies of items (one block at least), each of which leaves only its finished rows on disk.
+    The items are written for that, unless they are ``stored`` already.
     """
-    asked = queries.select(query_id).agg(F.count(F.lit(1)).alias("n"))
-    held_items = items.select(item_id).agg(F.count(F.lit(1)).alias("m"))
-    few = F.floor(F.least(F.col("m"), F.lit(COPIES)) / F.greatest("n", F.lit(1)))
-    n_items = F.least(F.ceil(F.col("m") / per_item_block), F.greatest(F.lit(spread), few))
-    n_items = held_items.crossJoin(asked).select(F.greatest(F.lit(1), n_items).cast("int").alias("n")).scalar()
-    many = F.least(F.ceil(F.col("n") / per_query_block), F.lit(SPREAD))
-    n_queries = asked.select(F.greatest(F.lit(1), many, F.ceil(F.col("n") / held)).cast("int").alias("n")).scalar()
-
-    def side(df: DataFrame, other: DataFrame, key: str, asks: bool) -> DataFrame:
-        own = F.pmod(F.xxhash64(key), n_queries if asks else n_items).cast("int")
-        each = F.explode(F.sequence(F.lit(0), (n_items if asks else n_queries) - 1))
-        df = df.withColumn("_own", own).withColumn("_each", each)
+    n, m = (df.select(key).agg(F.count(F.lit(1))).first()[0] for df, key in ((queries, query_id), (items, item_id)))
+    n_items = max(1, min(-(-m // per_item_block), max(spread, min(m, COPIES) // max(n, 1))))
+    n_queries = max(1, min(-(-n // per_query_block), SPREAD), -(-n // held))
+
+    def side(df: DataFrame, other: DataFrame, key: str, asks: bool, turn: range) -> DataFrame:
+        own = F.pmod(F.xxhash64(key), F.lit(n_queries if asks else n_items)).cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.lit(n_items - 1)) if asks else F.sequence(F.lit(turn[0]), F.lit(turn[-1])))
+        df = df.withColumn("_own", own)
+        if asks and len(turn) < n_queries:
+            df = df.filter(F.col("_own").between(turn[0], turn[-1]))
+        df = df.withColumn("_each", each)
         missing = [F.lit(None).cast(t).alias(c) for c, t in other.dtypes if c not in df.columns]
         block = [F.col("_each").alias("_i"), F.col("_own").alias("_q")] if asks else [F.col("_own").alias("_i"), F.col("_each").alias("_q")]
         return df.select(*block, F.lit(not asks).alias("_item"), *[F.col(c) for c in df.columns if c not in ("_own", "_each")], *missing)
 
-    both = side(items, queries, item_id, False).unionByName(side(queries, items, query_id, True))
-    # queries come first in their pair of blocks
-    both = both.repartition("_i", "_q").sortWithinPartitions("_i", "_q", "_item", *order)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, asked, meets = None, [], None
         for part in runs_in(batches, 3):
@@ -145,4 +179,17 @@ def score_blocks(
         if meets is not None and (out := meets.result()) is not None and out.num_rows:
             yield out
 
-    return both.mapInArrow(run, schema)
+    def met(turn: range) -> DataFrame:
+        both = side(items, queries, item_id, False, turn).unionByName(side(queries, items, query_id, True, turn))
+        # queries come first in their pair of blocks
+        both = both.repartition("_i", "_q").sortWithinPartitions("_i", "_q", "_item", *order)
+        return both.mapInArrow(run, schema)
+
+    if finish is None:
+        return met(range(n_queries))
+    at_once = max(1, (copied or COPIED) // max(m, 1))
+    if at_once >= n_queries:
+        return finish(met(range(n_queries)))
+    items, queries = items if stored else cut(items, "blocks-items"), cut(queries, "blocks-queries")
+    turns = [range(a, min(a + at_once, n_queries)) for a in range(0, n_queries, at_once)]
+    return reduce(DataFrame.unionByName, [cut(finish(met(turn)), "blocks-best") for turn in turns])

@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dragoman.functions import dims
-from dragoman.operators.blocks import Best, score_blocks
+from dragoman.operators.blocks import Parts, score_blocks
 from dragoman.operators.scale import cut
 from dragoman.session import scratch_dir
 
@@ -45,10 +45,12 @@ COMPLETING = 0.5
 HELD, ROWS = 32768, 1024
 #: Most blocks of documents; a query is copied to each.
 SPREAD = 32
+#: Copies of documents that lie on disk at a time.
+COPIED = 1 << 17
 #: Terms of a stretch that are dense columns at most, and additions of a product that cost what one posting does.
 COLUMNS, CHEAPER = 2048, 50
 #: Hits of a stretch that are held before the best are kept.
-WAITING = 1 << 22
+WAITING = 1 << 18
 #: Scores are ranked at nine digits; what could tie at that precision is not skipped.
 DIGITS, SLACK = 9, 1e-8
 
@@ -222,7 +224,7 @@ def candidates(index: Index, plan: DataFrame, k: int) -> DataFrame:
     return sums.join(raised, "query_id", "left").filter(enough).select("query_id", "chunk_id", "seen")
 
 
-class Keywords(Best):
+class Keywords(Parts):
     """BM25 of a stream of documents for a block of queries.
 
     A term asked by many queries and held by many documents of a stretch is a column of two dense matrices, whose product
@@ -230,7 +232,8 @@ class Keywords(Best):
     """
 
     def __init__(self, queries: pa.Table, k: int, mean: float):
-        super().__init__(queries["query_id"].combine_chunks(), k)
+        super().__init__(queries["query_id"].combine_chunks(), k, ROWS)
+        self.HITS = WAITING
         asked = queries["asked"].combine_chunks()
         flat = asked.flatten()
         self.mean, self.w = mean, flat.field("w").to_numpy()
@@ -252,16 +255,16 @@ class Keywords(Best):
         start = np.cumsum(held) - held
         # of the terms for which the product is cheaper those of most pairs
         pairs = self.asks * held
-        dense = np.flatnonzero(pairs * CHEAPER > len(self.floor) * n)
+        dense = np.flatnonzero(pairs * CHEAPER > self.n * n)
         dense = dense[np.argsort(-pairs[dense], kind="stable")[:COLUMNS]]
         column = np.full(size, -1)
         column[dense] = np.arange(len(dense))
         theirs = np.zeros((len(dense), n))
         own = column[term] >= 0
         theirs[column[term[own]], doc[own]] = weight[own]
-        ids, hits, waiting = items["chunk_id"].combine_chunks(), [], 0
-        for a in range(0, len(self.floor), ROWS):
-            rows = len(self.floor[a : a + ROWS])
+        ids = items["chunk_id"].combine_chunks()
+        for a, best in self.parts:
+            rows = len(best.floor)
             part = slice(self.edge[a], self.edge[a + rows])
             row, asked, w = np.repeat(np.arange(rows), np.diff(self.edge[a : a + rows + 1])), self.term[part], self.w[part]
             own = column[asked] >= 0
@@ -272,21 +275,16 @@ class Keywords(Best):
             many = held[asked]
             at = np.arange(many.sum()) + np.repeat(start[asked] - np.cumsum(many) + many, many)
             np.add.at(score.reshape(-1), np.repeat(row, many) * n + doc[at], np.repeat(w, many) * weight[at])
-            floor = self.floor[a : a + ROWS]
+            floor = best.floor
             if n > self.k and np.isneginf(floor).any():
                 floor = np.maximum(floor, np.partition(score, n - self.k, axis=1)[:, n - self.k])
-            r, c = np.nonzero((score > 0) & (score >= floor[:, None] - SLACK))
-            hits.append((r + a, np.round(score[r, c], DIGITS), c))
-            waiting += len(r)
             # documents of one score are many where texts are copies
-            if waiting and (waiting > WAITING or a + rows == len(self.floor)):
-                row, score, col = (np.concatenate(x) for x in zip(*hits, strict=True))
-                self.keep(row, score, ids.take(pa.array(col)))
-                hits, waiting = [], 0
+            for r, c in self.groups((score > 0) & (score >= floor[:, None] - SLACK)):
+                best.keep(r, np.round(score[r, c], DIGITS), ids.take(pa.array(c)))
 
 
-def scored(index: Index, asked: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, score): the best k documents per query of each block of documents."""
+def scored(index: Index, asked: DataFrame, k: int, finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(query_id, chunk_id, score): the best k documents per query of each block of documents, or what ``finish`` makes of them."""
     queries = asked.groupBy("query_id").agg(F.collect_list(F.struct("term", "w")).alias("asked"))
     queries = cut(queries, "bm25-queries")
     items = index.forward.filter("chunk_id IS NOT NULL")
@@ -296,9 +294,11 @@ def scored(index: Index, asked: DataFrame, k: int) -> DataFrame:
         return Keywords(block, k, mean)
 
     schema = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(items.dtypes)['chunk_id']}, score double"
-    return score_blocks(items, queries, scorer, schema, per_query_block=HELD, held=HELD, spread=SPREAD)
+    return score_blocks(items, queries, scorer, schema, per_query_block=HELD, held=HELD, spread=SPREAD, finish=finish, copied=COPIED, stored=True)
 
 
-def search(index: Index, queries: DataFrame, k: int, analyzer: Callable[[Column], Column]) -> DataFrame:
-    """Documents among which the best k of every query are: (query_id, chunk_id, score)."""
-    return scored(index, weighed(index, queries, analyzer), k)
+def search(
+    index: Index, queries: DataFrame, k: int, analyzer: Callable[[Column], Column], finish: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """Documents among which the best k of every query are: (query_id, chunk_id, score), or what ``finish`` makes of them."""
+    return scored(index, weighed(index, queries, analyzer), k, finish)

@@ -20,24 +20,24 @@ from dragoman.functions import dims
 from dragoman.functions import text as X
 from dragoman.functions.arrow import english_terms
 from dragoman.operators import inverted
-from dragoman.operators.blocks import Best, score_blocks
+from dragoman.operators.blocks import Parts, score_blocks
 from dragoman.operators.inverted import Index, build_index
 
 DIGITS = 9  # scores are ranked at this precision so that equal texts tie in every task
 
 
-class Nearest(Best):
+class Nearest(Parts):
     """The k best items of each query of a block, by cosine at nine digits, ties by id.
 
     Products are looked over in single precision; what could be among the best within its error is computed in double.
     """
 
-    ROWS = 4096
+    ROWS = 1024
     #: Items that give a query without k results its first bound.
     FIRST = 1024
 
     def __init__(self, queries: pa.Table, k: int, exclude_self: bool):
-        super().__init__(queries["query_id"].combine_chunks(), k)
+        super().__init__(queries["query_id"].combine_chunks(), k, self.ROWS)
         self.asks = queries["query_id"].to_numpy() if exclude_self else None
         self.unit = units(queries)
         self.rough = self.unit.astype(np.float32)
@@ -46,27 +46,25 @@ class Nearest(Best):
         unit = units(items)
         if unit.shape[1] != self.unit.shape[1]:
             raise ValueError("vectors differ in width")
-        ids, rough = items["chunk_id"].to_numpy(), unit.astype(np.float32)
+        ids, rough = items["chunk_id"].combine_chunks(), unit.astype(np.float32)
+        names = ids.to_numpy(zero_copy_only=False) if self.asks is not None else None
         slack = 2.5e-7 * (unit.shape[1] + 8) + 10.0**-DIGITS
-        rows, cols = [], []
-        for a in range(0, len(self.unit), self.ROWS):
+        for a, best in self.parts:
             near = self.rough[a : a + self.ROWS] @ rough.T
             if self.asks is not None:
-                near[self.asks[a : a + self.ROWS, None] == ids[None, :]] = -np.inf
-            floor = self.floor[a : a + self.ROWS]
+                near[self.asks[a : a + self.ROWS, None] == names[None, :]] = -np.inf
+            floor = best.floor
             first = near[:, : self.FIRST]
             if first.shape[1] > self.k and np.isneginf(floor).any():
                 floor = np.maximum(floor, np.partition(first, first.shape[1] - self.k, axis=1)[:, first.shape[1] - self.k])
             # no cosine is below -2, so the query itself is never taken
-            r, c = np.nonzero(near >= np.maximum(floor - slack, -2.0).astype(np.float32)[:, None])
-            rows.append(r + a)
-            cols.append(c)
-        row, col = np.concatenate(rows), np.concatenate(cols)
-        score = np.empty(len(row))
-        for a in range(0, len(row), 1 << 16):
-            some = slice(a, a + (1 << 16))
-            score[some] = np.einsum("ij,ij->i", self.unit[row[some]], unit[col[some]])
-        self.keep(row, np.round(score, DIGITS), items["chunk_id"].combine_chunks().take(pa.array(col)))
+            hit = near >= np.maximum(floor - slack, -2.0).astype(np.float32)[:, None]
+            for row, col in self.groups(hit):
+                score = np.empty(len(row))
+                for b in range(0, len(row), 1 << 14):
+                    some = slice(b, b + (1 << 14))
+                    score[some] = np.einsum("ij,ij->i", self.unit[row[some] + a], unit[col[some]])
+                best.keep(row, np.round(score, DIGITS), ids.take(pa.array(col)))
 
 
 def units(t: pa.Table) -> np.ndarray:
@@ -114,7 +112,7 @@ def vector_topk(
     def scorer(block: pa.Table) -> Nearest:
         return Nearest(block, k, exclude_self)
 
-    top = top_per_query(score_blocks(items, queries, scorer, _schema(items, queries)), k)
+    top = score_blocks(items, queries, scorer, _schema(items, queries), finish=lambda hits: top_per_query(hits, k))
     return top.select("query_id", "chunk_id", F.round(1.0 - F.col("score"), DIGITS).alias("distance"), "rank")
 
 
@@ -154,9 +152,12 @@ def bm25_over(
     index: Index, queries: DataFrame, k: int = dims.POOL_SIZE, analyzer: Callable[[Column], Column] = plain_terms
 ) -> DataFrame:
     """The same over an index that is there."""
-    hits = inverted.search(index, queries, k, analyzer)
-    hits = hits.select("query_id", "chunk_id", F.round("score", DIGITS).alias("bm25_score")).filter("bm25_score > 0")
-    return top_per_query(hits, k, "bm25_score")
+
+    def best(hits: DataFrame) -> DataFrame:
+        hits = hits.select("query_id", "chunk_id", F.round("score", DIGITS).alias("bm25_score")).filter("bm25_score > 0")
+        return top_per_query(hits, k, "bm25_score")
+
+    return inverted.search(index, queries, k, analyzer, best)
 
 
 def bm25_best_field(chunks: DataFrame, queries: DataFrame, k: int = dims.POOL_SIZE) -> DataFrame:

@@ -297,3 +297,38 @@ def test_approximate_search_emits_bounded_pools():
     coded = book.centroids[lists] + np.hstack([book.words[p][codes[:, p]] for p in range(4)])
     worst = got.groupby("query_id")["rough"].min()
     assert np.allclose(worst, np.sort(v @ coded.T, axis=1)[:, -20], atol=1e-5)
+
+
+def test_hits_of_one_score_are_met_in_bounded_groups(monkeypatch):
+    """However many items tie, few hits are sorted at a time, and ties go by id."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(blocks.Parts, "HITS", 300)
+    sizes, keep = [], blocks.Best.keep
+    monkeypatch.setattr(blocks.Best, "keep", lambda self, row, *more: (sizes.append((len(row), len(np.unique(row)))), keep(self, row, *more))[1])
+    table = pa.table({"query_id": np.arange(200), "chunk_id": np.arange(200)[::-1], "v": pa.array([[1.0, 2.0]] * 200)})
+    nearest = S.Nearest(table, 3, False)
+    for a in range(0, 200, 100):
+        nearest.add(table.slice(a, 100))
+    got = nearest.result().to_pandas().groupby("query_id")["chunk_id"].apply(list)
+    assert all(got[q] == [0, 1, 2] for q in range(200))
+    assert sum(n for n, _ in sizes) == 200 * 200 and all(n <= 300 or rows == 1 for n, rows in sizes)
+
+
+def test_blocks_of_queries_in_rounds_give_the_same(spark, monkeypatch):
+    """Many queries are gone through in rounds, so that few copies of the items lie on disk at a time; no row differs."""
+    rng = np.random.default_rng(9)
+    v = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=6).round(1)]) for i in range(120)], "chunk_id long, embedding array<double>")
+    q = v.withColumnRenamed("chunk_id", "query_id").unionByName(v.limit(5).withColumnRenamed("chunk_id", "query_id"))
+    docs = spark.createDataFrame(DOCS, "chunk_id long, text string")
+    asks = spark.createDataFrame(ASKS, "query_id long, text string")
+
+    def rows():
+        return [sorted(map(str, df.collect())) for df in (S.vector_topk(v, q, 4, exclude_self=True), S.bm25_topk(docs, asks, 5))]
+
+    whole, written, cut = rows(), [], blocks.cut
+    monkeypatch.setattr(blocks, "cut", lambda df, label: (written.append(label), cut(df, label))[1])
+    for module, name, value in ((blocks, "COPIED", 1), (inverted, "COPIED", 1), (inverted, "HELD", 1), (S, "score_blocks", lambda *a, **n: blocks.score_blocks(*a, **n, per_query_block=8))):
+        monkeypatch.setattr(module, name, value)
+    assert rows() == whole and written.count("blocks-best") == 12 + 3  # one query has no known term
+    assert written.count("blocks-items") == 1  # the keyword index is stored already
