@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import reduce
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from dragoman.functions import dims
 from dragoman.functions import text as X
+from dragoman.operators.scale import cut
 
 RECORD_SCHEMA = (
     "id string, url string, title string, lang string, category string, source string, "
@@ -60,18 +63,95 @@ _HEADER = (
 )
 
 
+#: Files that a task reads.
+FILES = 1 << 15
+#: Rows and bytes of files that a task hands on at a time.
+ROWS_READ, BYTES_READ = 4096, 1 << 23
+
+
+def _local_folder(spark: SparkSession, root: str) -> str | None:
+    """Path of ``root`` on a mounted file system; None for other file systems, single files, patterns and what is not there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    uri = system.makeQualified(where).toUri()
+    if uri.getScheme() != "file" or any(c in root for c in "*?[]{}\\") or not system.exists(where) or not system.getFileStatus(where).isDirectory():
+        return None
+    return uri.getPath()
+
+
+def _files_by_spark(spark: SparkSession, root: str) -> DataFrame:
+    """(value, path) of every ``*.txt`` below ``root``; the driver holds the list of them."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root, wholetext=True)
+    return files.select("value", F.col("_metadata.file_path").alias("path"))
+
+
+def _files_by_tasks(spark: SparkSession, folder: str) -> DataFrame:
+    """The same rows; tasks list the folders, level by level, and read the files, so the driver holds counts only.
+
+    As in Spark's reader, empty files and names that begin with a dot or an underscore are left out, but ``_name=value`` and
+    folders ``_metadata...`` are not.
+    """
+
+    def hidden(name: str, is_dir: bool) -> bool:
+        kept = "=" in name or is_dir and name.startswith(("_metadata", "_common_metadata"))
+        return name.startswith(".") or name.startswith("_") and not kept or name.endswith("._COPYING_")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for top in batch.column(0).to_pylist():
+                some: list[tuple[bytes, bool]] = []
+                with os.scandir(top) as entries:
+                    for entry in entries:
+                        name, is_dir = os.fsdecode(entry.name), entry.is_dir()
+                        if not hidden(name, is_dir) and (is_dir or name.endswith(".txt") and entry.is_file()):
+                            some.append((entry.path, is_dir))
+                        if len(some) == ROWS_READ:
+                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*some, strict=True)], ["path", "is_dir"])
+                            some = []
+                if some:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*some, strict=True)], ["path", "is_dir"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, paths, size = [], [], 0
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with open(path, "rb") as f:
+                    value = f.read()
+                if not value:
+                    continue
+                values.append(value)
+                # as a URI tells it: letters beyond ASCII stay
+                name = os.fsencode(path).decode(errors="replace")
+                paths.append("file:" + "".join(c if ord(c) > 127 and not c.isspace() and c.isprintable() else quote(c, safe="/_-!.~'()*,;:$&+=@") for c in name))
+                size += len(value)
+                if len(values) == ROWS_READ or size >= BYTES_READ:
+                    yield pa.RecordBatch.from_arrays([pa.array(values, pa.binary()), pa.array(paths, pa.string())], ["value", "path"])
+                    values, paths, size = [], [], 0
+        if values:
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.binary()), pa.array(paths, pa.string())], ["value", "path"])
+
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    dirs, levels, n = spark.createDataFrame([(bytearray(os.fsencode(folder)),)], "path binary"), [], 0
+    while True:
+        found = cut(dirs.repartition(tasks, "path").mapInArrow(listed, "path binary, is_dir boolean"), "corpus-paths")
+        levels.append(found.filter("NOT is_dir").select("path"))
+        counts = found.agg(F.count("*"), F.count_if("is_dir")).first()
+        n += counts[0] - counts[1]
+        if not counts[1]:
+            break
+        dirs = found.filter("is_dir").select("path")
+    files = reduce(DataFrame.unionAll, levels).repartition(max(tasks, -(-n // FILES)), "path")
+    return files.mapInArrow(read, "value binary, path string").select(F.col("value").cast("string").alias("value"), "path")
+
+
 def read_text_corpus(spark: SparkSession, root: str, category: str | None = None) -> DataFrame:
     """Every ``*.txt`` below ``root`` as one row: header fields, else values from the folders.
 
     Folders are ``category/lang``; a ``name=value`` folder counts by its value. With ``category``
     only files of that top folder are taken.
     """
-    files = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.txt")
-        .text(root, wholetext=True)
-        .select("value", F.col("_metadata.file_path").alias("path"))
-    )
+    local = _local_folder(spark, root)
+    files = _files_by_spark(spark, root) if local is None else _files_by_tasks(spark, local)
     base = root.rstrip("/").split("/")[-1]
     parts = F.transform(
         F.split(F.substring_index("path", f"/{base}/", -1), "/"),

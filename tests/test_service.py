@@ -122,3 +122,26 @@ def test_intermediate_tables_leave_no_shuffles(spark):
         time.sleep(0.2)
     assert not shuffles() - before and spark.conf.get(CLEANUP) == "false"
     assert out.agg(F.sum("count")).first()[0] == 1000
+
+
+def test_tasks_list_and_read_what_spark_does(spark, tmp_path):
+    """Folders of any depth, odd names, links, empty and hidden files; the driver's list of files is not needed."""
+    root = tmp_path / "corpus"
+    for name in (
+        "top.txt", "a/b/1.txt", "a/b/empty.txt", "a/b/_hidden.txt", "a/b/.dot.txt", "a/b/_k=1.txt", "a/b/9.md", "a/b/_metadata.txt", "_x/2.txt", ".h/3.txt",
+        "_metadata/4.txt", "_q=2/5.txt", "k=v/en/6.txt", "sp ace/a%20b+c.txt", "a/#h?/7.txt", "a/b/ü.txt", "a/b/c/d/8.txt", "a/x._COPYING_/9.txt", "none/deep/10.md",
+    ):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"" if "empty" in name else f"نص {name}\r\n".encode() + b"\xff")
+    (root / "linked").symlink_to(root / "a" / "b" / "c")
+    (root / "a" / "l.txt").symlink_to(root / "top.txt")
+    (root / "a" / "gone.txt").symlink_to(root / "nothing")
+
+    def rows(df):
+        return sorted((r.path, r.value) for r in df.selectExpr("path", "hex(value) AS value").collect())
+
+    assert R._local_folder(spark, str(root)) == str(root) and R._local_folder(spark, f"{root}/a*") is None and R._local_folder(spark, f"{root}/top.txt") is None
+    got = R._files_by_tasks(spark, str(root))
+    assert rows(got) == rows(R._files_by_spark(spark, str(root))) and got.count() == 12
+    plan = R.read_text_corpus(spark, str(root))._jdf.queryExecution().executedPlan().toString()
+    assert "Scan text" not in plan and "FileScan text" not in plan
