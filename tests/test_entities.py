@@ -119,3 +119,29 @@ def test_latin_text_is_not_normalised_for_keywords(spark):
     rows = {r.doc_id: r for r in N.with_match_text(df).collect()}
     assert rows[1]["_norm"] is None and rows[1]["_folded"] is None
     assert rows[2]["_norm"] == "قسم التسويق"
+
+
+def test_patterns_passed_over_by_guards_find_the_same(spark):
+    """Spans behind a guard and a look ahead are those of the bare patterns, in texts put together from odd pieces."""
+    import random
+
+    rng = random.Random(4)
+    pieces = [
+        "221100", "4447", "CS", "IT 377", "cs401", "12", "3", "2024", "1999", "12/05/2024", "2024-1-3", "7.", "٤٤٤٧", "١٢", "grade:", "MARK", "marK", "العلامة", "درجة",
+        "85", "credit", "Hrs.", "ساعة", "ساعات معتمدة", "JD", "120.50", "NİS", "nıs", "$", "ILS", "دينار", "P", "np", "PP x", "paſſ", "Failed", "DİSMISSED", "withdrawn",
+        "ناجح", "منسحب", "الفصل الأول", "( 3 ساعة )", "د. احمد محمود", "م. سعيد علي", " " * 30, " ", "\n", "é", "́", "_", "x", "-", "/", ".",
+    ]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", " ", "  "]) for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    texts += [f"{a}{gap}{b}" for a in pieces for b in pieces for gap in ("", " ")] + [f"12{' ' * 40}JD 3{' ' * 40}ساعة", "", None]
+    df = N.with_match_text(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8))
+    t = F.col("text")
+    arabic = [N.find_all(t, p, "PERSON", 70 + i, group=1, flags="U") for i, p in enumerate(N.PERSON_PATTERNS)] + [N.find_all(t, N.YEAR, "DATE", 91, flags="U")]
+    bare = F.concat(
+        *[N.find_all(t, p, kind, i) for i, (kind, p) in enumerate(N.REGEX_PATTERNS)],
+        N.find_all(t, N._alternation(dims.STATUS_AR), "ACADEMIC_STATUS", 20, flags=""), N.find_all(t, N._alternation(dims.STATUS_EN), "ACADEMIC_STATUS", 21),
+        N.find_all(t, N.SEMESTER_HEADER, "SEMESTER", 22, flags="U"), N.find_all(t, N.DATE, "DATE", 90, flags="U"),
+        F.when(F.col("_arabic"), F.concat(*arabic)).otherwise(N._none()),
+    )
+    rows = df.select("text", F.concat(N.regex_spans(t, validate=False), N.phrase_spans(t)).alias("got"), bare.alias("want"))
+    rows = rows.select("text", F.col("got").cast("string"), F.col("want").cast("string"), F.size("want").alias("n")).collect()
+    assert [r.text for r in rows if r.got != r.want] == [] and sum(r.n for r in rows) > 5000
