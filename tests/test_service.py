@@ -145,3 +145,16 @@ def test_tasks_list_and_read_what_spark_does(spark, tmp_path):
     assert rows(got) == rows(R._files_by_spark(spark, str(root))) and got.count() == 12
     plan = R.read_text_corpus(spark, str(root))._jdf.queryExecution().executedPlan().toString()
     assert "Scan text" not in plan and "FileScan text" not in plan
+
+
+def test_context_needs_no_more_of_a_text_than_the_budget(spark):
+    """Texts cut to what the budget can use give the same context, whichever overflows it and wherever."""
+    from dragoman.functions import dims
+    from dragoman.operators import ranking
+
+    n = dims.CONTEXT_CHARS
+    sizes = [0, 1, 299, n // 2, n - dims.CONTEXT_TAIL - 1, n - dims.CONTEXT_TAIL, n - 1, n, n + 1, n + 2, 3 * n]
+    rows = [(100 * i + j, k, 1.0 - k / 10, "نx" * (size // 2) + "y" * (size % 2)) for i, a in enumerate(sizes) for j, b in enumerate(sizes) for k, size in enumerate((a, b, 40))]
+    hits = spark.createDataFrame([*rows, (9999, 1, 0.5, None)], "query_id long, chunk_id long, score double, document string")
+    whole = sorted(map(str, ranking.context_budget(hits).collect()))
+    assert sorted(map(str, ranking.context_budget(hits.withColumn("document", ranking.budgeted("document"))).collect())) == whole and len(whole) > 200
